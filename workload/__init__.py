@@ -1,7 +1,7 @@
 """Registered queries over the shared tables, each beside its SQL check."""
 from importlib import import_module
 
-AREAS = ("batches", "comparisons")
+AREAS = ("batches", "comparisons", "checks")
 
 
 def load_all() -> None:
