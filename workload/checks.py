@@ -200,9 +200,9 @@ def threshold_rule(spark, sf):
 
 # ── wording metrics ──────────────────────────────────────────────────────────
 
-def _gram_sql(n: int, tokens: str = "regexp_extract_all(lower(@), '[a-z0-9]+')") -> str:
+def _gram_sql(n: int, tokens: str = "regexp_extract_all(lower(~C~), '[a-z0-9]+')") -> str:
     def side(c):
-        t = tokens.replace("@", c)
+        t = tokens.replace("~C~", c)
         return (f"SELECT run_id, label, array_to_string(t[i:i+{n - 1}], ' ') AS g, count(*) AS c FROM (SELECT run_id, label, {t} AS t FROM pairs), "
                 f"unnest(range(1, len(t) - {n} + 2)) u(i) GROUP BY 1, 2, 3")
     return f"""a{n} AS ({side('answer')}), r{n} AS ({side('reference')}),
@@ -231,7 +231,7 @@ def rouge_l_by_sentence(spark, sf):
     return overlap.rouge_lsum(world.text_pairs(spark, sf), "recall").select("run_id", "label", F.round("raw_score", 4).alias("score"))
 
 
-_B1 = "(' ' || replace(replace(replace(replace(replace(replace(replace(@, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ')"
+_B1 = "(' ' || replace(replace(replace(replace(replace(replace(replace(~C~, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ')"
 _B2 = "regexp_replace(" + _B1 + r""", '([{|}~\[\\\]^_` !"#$%&()*+:;<=>?@/])', ' \1 ', 'g')"""
 _B3 = rf"regexp_replace(regexp_replace(regexp_replace({_B2}, '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g')"
 _BT = f"regexp_extract_all({_B3}, '{_NWS}+')"
@@ -254,11 +254,11 @@ def bleu_scores(spark, sf):
     return overlap.bleu(world.text_pairs(spark, sf)).select("run_id", "label", F.round("raw_score", 4).alias("score"))
 
 
-_MT = r"regexp_extract_all(lower(@), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s]')"
+_MT = r"regexp_extract_all(lower(~C~), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s]')"
 
 
 @query("meteor_scores", f"""
-WITH w AS (SELECT run_id, label, {_MT.replace("@", "answer")} AS ta, {_MT.replace("@", "reference")} AS tr FROM pairs),
+WITH w AS (SELECT run_id, label, {_MT.replace("~C~", "answer")} AS ta, {_MT.replace("~C~", "reference")} AS tr FROM pairs),
 a AS (SELECT run_id, i, t, row_number() OVER (PARTITION BY run_id, t ORDER BY i DESC) AS k FROM (SELECT run_id, unnest(ta) AS t, generate_subscripts(ta, 1) AS i FROM w)),
 r AS (SELECT run_id, i, t, row_number() OVER (PARTITION BY run_id, t ORDER BY i DESC) AS k FROM (SELECT run_id, unnest(tr) AS t, generate_subscripts(tr, 1) AS i FROM w)),
 m AS (SELECT run_id, a.i AS pa, r.i AS pr FROM a JOIN r USING (run_id, t, k)),
