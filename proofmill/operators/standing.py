@@ -125,9 +125,10 @@ def newest_executions(set_executions: DataFrame, plan_executions: DataFrame, run
 
 
 def status_rank() -> Column:
-    """Worst first: Red, Amber, NotRan, Running, Pending, Green."""
+    """What needs looking at first, then what met every check, then what is
+    still under way."""
     # Fixed values
-    order = {"Red": 0, "Amber": 1, "NotRan": 2, "Running": 3, "Pending": 4, "Green": 5}
+    order = {"NotRan": 0, "Red": 1, "Amber": 2, "Green": 3, "Running": 4, "Pending": 5}
     return F.coalesce(*[F.when(F.col("status") == s, F.lit(i)) for s, i in order.items()])
 
 

@@ -369,7 +369,7 @@ def newest_executions(spark, sf):
         "execution_id", "origin", "runs", "outcome")
 
 
-@query("execution_runs_worst_first", """SELECT run_id, execution_id, name, CASE status WHEN 'Red' THEN 0 WHEN 'Amber' THEN 1 WHEN 'NotRan' THEN 2 WHEN 'Running' THEN 3 WHEN 'Pending' THEN 4 ELSE 5 END AS rank
+@query("execution_runs_worst_first", """SELECT run_id, execution_id, name, CASE status WHEN 'NotRan' THEN 0 WHEN 'Red' THEN 1 WHEN 'Amber' THEN 2 WHEN 'Green' THEN 3 WHEN 'Running' THEN 4 ELSE 5 END AS rank
 FROM sruns JOIN scopes ON id = scope_id WHERE execution_id IS NOT NULL ORDER BY rank, lower(name), run_id LIMIT 500""", ["sruns", "scopes"])
 def execution_runs_worst_first(spark, sf):
     names = world.scopes(spark, sf).select(F.col("id").alias("scope_id"), "name")
