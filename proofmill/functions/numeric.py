@@ -233,6 +233,14 @@ def normal_above(z) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series, moved up by 8 so it holds from 0 on."""
+    n = n.cast("double")
+    product = (n + 1) * (n + 2) * (n + 3) * (n + 4) * (n + 5) * (n + 6) * (n + 7) * (n + 8)
+    return let(n + 8, lambda m: (m + 0.5) * F.ln(m) - m + 0.9189385332046727 + 1 / (12 * m) - 1 / (360 * F.pow(m, F.lit(3.0)))
+               + 1 / (1260 * F.pow(m, F.lit(5.0))) - 1 / (1680 * F.pow(m, F.lit(7.0)))) - F.ln(product)
+
+
 def r4(value: Column) -> Column:
     """Four decimals, the precision every statistic is reported at."""
     return F.round(value, 4)

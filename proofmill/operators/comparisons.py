@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import numeric as N
-from ..functions.numeric import let
+from ..functions.numeric import let, log_factorial
 from ..schemas import POWER
 from .keyed import running_before
 
@@ -67,16 +67,6 @@ def newcombe(matched: DataFrame, confidence: float) -> DataFrame:
             .drop("_wa", "_wb"))
 
 
-def _log_factorial(n: Column) -> Column:
-    # ln n!: summed below 32, Stirling's series above, good to 1e-13
-    n = n.cast("double")
-    series = ((n + 0.5) * F.ln(n) - n + 0.9189385332046727 + 1 / (12 * n) - 1 / (360 * n * n * n)
-              + 1 / (1260 * n * n * n * n * n))
-    small = F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), F.lit(0.0),
-                        lambda t, i: t + F.ln(i.cast("double")))
-    return F.when(n < 2, 0.0).when(n < 32, small).otherwise(series)
-
-
 def two_by_two(df: DataFrame, a: Column, b: Column, c: Column, d: Column) -> DataFrame:
     """Pearson's chi-square (no correction) and Fisher's exact p of the table
     [[a, b], [c, d]], and the smallest expected count.
@@ -96,8 +86,8 @@ def two_by_two(df: DataFrame, a: Column, b: Column, c: Column, d: Column) -> Dat
 
     def fisher(s):
         def log_p(x):
-            return (s["k"] - _log_factorial(x) - _log_factorial(s["r1"] - x) - _log_factorial(s["c1"] - x)
-                    - _log_factorial(s["r2"] - s["c1"] + x))
+            return (s["k"] - log_factorial(x) - log_factorial(s["r1"] - x) - log_factorial(s["c1"] - x)
+                    - log_factorial(s["r2"] - s["c1"] + x))
         return let(log_p(s["a"]), lambda seen: F.aggregate(
             F.sequence(s["low"].cast("long"), s["high"].cast("long")), F.lit(0.0),
             lambda total, x: total + let(log_p(x.cast("double")),
@@ -110,8 +100,8 @@ def two_by_two(df: DataFrame, a: Column, b: Column, c: Column, d: Column) -> Dat
         a.alias("a"), r1.alias("r1"), r2.alias("r2"), c1.alias("c1"),
         F.greatest(F.lit(0.0), c1 - r2, F.floor(centre - reach).cast("double")).alias("low"),
         F.least(r1, c1, F.ceil(centre + reach).cast("double")).alias("high"),
-        (_log_factorial(r1) + _log_factorial(r2) + _log_factorial(c1) + _log_factorial(c2)
-         - _log_factorial(n)).alias("k"))
+        (log_factorial(r1) + log_factorial(r2) + log_factorial(c1) + log_factorial(c2)
+         - log_factorial(n)).alias("k"))
     return out.withColumn("p_fisher", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), let(state, fisher))))
 
 

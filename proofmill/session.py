@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,11 @@ def lit_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A DataFrame of plan-time constants: as large as the source text that
     lists them, so it may be broadcast."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The DataFrame written once to the shared folder and read back: for small
+    tables several branches of a plan need, and to cut long lineage."""
+    folder = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
