@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.numeric import let, r4
-from .keyed import join_on
+from .keyed import join_on, spread
 from ..schemas import IN_FLIGHT_STATUSES, JUDGE_ENGINE, MAX_TIMES, POWER
 
 KEYS = ["batch_id", "entry_id", "label"]
@@ -99,13 +99,13 @@ def _add(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def gate(folded: DataFrame, target: float | Column, confidence: float) -> DataFrame:
     """Does each check pass at least `target` of the time?"""
     target = target if isinstance(target, Column) else F.lit(float(target))
-    return _add(folded, gate_columns(F.col("passed"), F.col("evaluated"), target, confidence))
+    return _add(spread(folded), gate_columns(F.col("passed"), F.col("evaluated"), target, confidence))
 
 
 def agreement_gate(folded: DataFrame, target: float | Column, confidence: float) -> DataFrame:
     """Does a judge give its usual verdict at least `target` of the time?"""
     target = target if isinstance(target, Column) else F.lit(float(target))
-    out = (folded.withColumn("agreeing", F.greatest("passed", "failed"))
+    out = (spread(folded).withColumn("agreeing", F.greatest("passed", "failed"))
            .withColumn("usual", F.when(F.col("evaluated") == 0, None)
                        .when(F.col("passed") >= F.col("failed"), "pass").otherwise("fail")))
     return _add(out, gate_columns(F.col("agreeing"), F.col("evaluated"), target, confidence))
@@ -115,6 +115,7 @@ def exact_bounds(folded: DataFrame, confidence: float, passes: str = "passed") -
     """One-sided exact bounds of every pass rate, worked out once per distinct
     (passes, n) and joined back."""
     shapes = folded.select(F.col(passes).alias("_k"), F.col("evaluated").alias("_n")).distinct()
+    shapes = spread(shapes)
     bounds = shapes.filter("_n > 0").select(
         "_k", "_n", N.rate_lower(F.col("_k"), F.col("_n"), confidence).alias("lower"),
         N.rate_upper(F.col("_k"), F.col("_n"), confidence).alias("upper"))
@@ -167,8 +168,8 @@ def gate_rule(n: Column, target: Column, confidence: float) -> Column:
 def gate_rules(targets: DataFrame, confidence: float, limit: int = MAX_TIMES) -> DataFrame:
     """The rule at every size 1..limit for each distinct `target`: one row per
     (target, n). The number of rows depends on the targets, not on the data."""
-    return (targets.select("target").distinct()
-            .withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(limit))))
+    sizes = targets.select("target").distinct().withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(limit))))
+    return (spread(sizes)
             .withColumn("_rule", gate_rule(F.col("n"), F.col("target"), confidence))
             .select("target", "n", "_rule.pass_at_least", "_rule.fail_at_most"))
 
@@ -263,7 +264,7 @@ def one_sample_t(moments: DataFrame, confidence: float, bounds: bool = True) ->
     ahead = F.when(F.col("higher_passes"), F.col("mean") >= F.col("threshold")) \
         .otherwise(F.col("mean") <= F.col("threshold"))
     signed = F.when(F.col("higher_passes"), F.col("t")).otherwise(-F.col("t"))
-    out = (moments
+    out = (spread(moments)
            .withColumn("standard_error", F.when(~single, F.col("sd") / F.sqrt("n")))
            .withColumn("df", F.when(~single, F.col("n") - 1))
            .withColumn("t", F.when(~single & ~flat,

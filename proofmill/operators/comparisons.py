@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import numeric as N
 from ..functions.numeric import let, log_factorial
 from ..schemas import POWER
-from .keyed import running_before
+from .keyed import running_before, spread
 
 RANK_FLOOR = 4   # fewest scores on each side
 PAIR_FLOOR = 6   # fewest pairs
@@ -79,7 +79,7 @@ def two_by_two(df: DataFrame, a: Column, b: Column, c: Column, d: Column) -> Dat
     empty = (r1 == 0) | (r2 == 0) | (c1 == 0) | (c2 == 0)
     determinant = a * d - b * c
     chi = F.when(empty, 0.0).otherwise(n * determinant * determinant / (r1 * r2 * c1 * c2))
-    out = (df.withColumn("chi_square", chi)
+    out = (spread(df).withColumn("chi_square", chi)
            .withColumn("min_expected", F.when(n > 0, F.least(r1, r2) * F.least(c1, c2) / n).otherwise(0.0))
            .withColumn("p_chi_square", F.when(F.col("chi_square") == 0, 1.0)
                        .otherwise(N.chi_square_above(F.col("chi_square"), F.lit(1.0)))))
@@ -93,9 +93,9 @@ def two_by_two(df: DataFrame, a: Column, b: Column, c: Column, d: Column) -> Dat
             lambda total, x: total + let(log_p(x.cast("double")),
                                          lambda l: F.when(l <= seen + 1e-7, F.exp(l)).otherwise(0.0))))
 
-    spread = F.sqrt(r1 * r2 * c1 * c2 / (n * n) / F.greatest(n - 1, F.lit(1.0)))
+    width = F.sqrt(r1 * r2 * c1 * c2 / (n * n) / F.greatest(n - 1, F.lit(1.0)))
     centre = r1 * c1 / n
-    reach = F.greatest(F.abs(a - centre), F.lit(0.0)) + 40 * spread + 40
+    reach = F.greatest(F.abs(a - centre), F.lit(0.0)) + 40 * width + 40
     state = F.struct(
         a.alias("a"), r1.alias("r1"), r2.alias("r2"), c1.alias("c1"),
         F.greatest(F.lit(0.0), c1 - r2, F.floor(centre - reach).cast("double")).alias("low"),
@@ -161,7 +161,7 @@ def compare_means(matched: DataFrame, confidence: float, bounds: bool = True) ->
     c = F.col
     enough = (c("n_a") >= 2) & (c("n_b") >= 2)
     va, vb = c("sd_a") * c("sd_a") / c("n_a"), c("sd_b") * c("sd_b") / c("n_b")
-    out = (matched.withColumn("difference", F.when(enough, c("mean_b") - c("mean_a")))
+    out = (spread(matched).withColumn("difference", F.when(enough, c("mean_b") - c("mean_a")))
            .withColumn("_se2", F.when(enough, va + vb))
            .withColumn("standard_error", F.sqrt("_se2"))
            .withColumn("df", F.when(c("_se2") > 0, c("_se2") * c("_se2")
@@ -246,7 +246,7 @@ def compare_ranks(scores: DataFrame, keys: list[str], confidence: float) -> Data
     exact = (F.least("n_a", "n_b") < 8) & (c("_ties") == 0)
     high = F.greatest(c("u_b"), na * nb - c("u_b"))
     enough = F.least("n_a", "n_b") >= RANK_FLOOR
-    out = (got.withColumn("effect", F.when(enough, c("u_b") / (na * nb)))
+    out = (spread(got).withColumn("effect", F.when(enough, c("u_b") / (na * nb)))
            .withColumn("method", F.when(~enough, None).when(exact, "exact").otherwise("normal"))
            .withColumn("_v", variance)
            .withColumn("_normal", F.when(c("_v") <= 0, 1.0).otherwise(F.least(

@@ -15,6 +15,17 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> Dat
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Groups about to be worked on number by number, spread over all tasks.
+
+    Adaptive execution packs partitions by bytes; a few thousand small rows
+    would land in one task although each costs a millisecond of arithmetic. A
+    named number of partitions is kept. Only grouped rows pass through here.
+    """
+    keys = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t][:6]
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def latest_per(df: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by a total order. The rank filter is pushed
     below the shuffle (a group limit), so each task sends one row per key."""

@@ -12,7 +12,7 @@ from ..functions.numeric import let, log_factorial
 from ..schemas import EVALUATED_STATUSES, JUDGE_ENGINE, MAX_RUNS, MAX_TIMES
 from .batch import runs_allowing
 from .fanout import CONTENT, _comparable
-from .keyed import newest_per
+from .keyed import newest_per, spread
 
 # Fixed values
 HISTORY_RUNS = 200
@@ -96,7 +96,7 @@ def answer_chance(history: DataFrame, rules: DataFrame) -> DataFrame:
     (passed, failed, target) of `history` at each rule size. Histories hold at
     most 200 runs, so distinct shapes are few however many checks there are."""
     shapes = history.select("passed", "failed", "target").distinct()
-    at = shapes.join(rules, "target")
+    at = spread(shapes.join(rules, "target"))
     def from_(k):
         return _passes_at_least(k, F.col("n"), F.col("passed"), F.col("failed"))
     passes = F.when(F.col("pass_at_least").isNull(), 0.0).otherwise(from_(F.col("pass_at_least")))

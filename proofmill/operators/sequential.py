@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..schemas import IN_FLIGHT_STATUSES, JUDGE_ENGINE
 from .batch import KEYS, threshold_value
+from .keyed import spread
 
 LOOKS = 8  # fixed value: the most looks a batch takes
 
@@ -74,7 +75,7 @@ def decide(results: DataFrame, plans: DataFrame, agreement: bool = False) -> Dat
     seen = _at_looks(results, plans, {"evaluated": F.count(F.lit(1)), "passes": F.count_if("passed")})
     counted = F.greatest("passes", F.col("evaluated") - F.col("passes")) if agreement else F.col("passes")
     alpha = 1 - F.col("level")
-    judged = (seen.withColumn("passes", counted)
+    judged = (spread(seen).withColumn("passes", counted)
               .withColumn("_p", N.at_least(F.col("passes"), F.col("evaluated"), F.col("target")))
               .withColumn("_f", N.at_most(F.col("passes"), F.col("evaluated"), F.col("target")))
               .withColumn("verdict", F.when(F.col("_p") <= alpha, "pass").when(F.col("_f") <= alpha, "fail")))
@@ -90,7 +91,7 @@ def decide_mean(scored: DataFrame, plans: DataFrame) -> DataFrame:
     flat = F.col("low_score") == F.col("high_score")
     mean = F.when(flat, F.col("low_score")).otherwise(F.col("total") / F.col("n"))
     alpha = 1 - F.col("level")
-    judged = (seen.withColumn("mean", mean)
+    judged = (spread(seen).withColumn("mean", mean)
               .withColumn("sd", F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(
                   F.col("squares") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0)) / (F.col("n") - 1))))
               .withColumn("t", F.when(~flat, (F.col("mean") - F.col("threshold")) / (F.col("sd") / F.sqrt("n"))))
