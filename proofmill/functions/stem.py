@@ -2,7 +2,7 @@
 function over token arrays with a per-task cache of words seen."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -103,10 +103,11 @@ def stem(word: str) -> str:
     return word
 
 
-def _stems(parts: Iterator[pd.Series], least: int) -> Iterator[pd.Series]:
+def stemmer_of(least: int) -> Callable[[list[str]], list[str]]:
+    """Stems a word list, remembering words seen; shorter ones stay."""
     seen: dict[str, str] = {}
 
-    def one(word):
+    def one(word: str) -> str:
         if len(word) < least:
             return word
         if word not in seen:
@@ -115,17 +116,12 @@ def _stems(parts: Iterator[pd.Series], least: int) -> Iterator[pd.Series]:
             seen[word] = stem(word)
         return seen[word]
 
-    for tokens in parts:
-        yield tokens.map(lambda ws: None if ws is None else [one(w) for w in ws])
+    return lambda words: [one(w) for w in words]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Stems of every word."""
-    yield from _stems(parts, 1)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_long_tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stems of words longer than three letters; shorter ones stay."""
-    yield from _stems(parts, 4)
+    shape = stemmer_of(1)
+    for tokens in parts:
+        yield tokens.map(lambda ws: None if ws is None else shape(ws))

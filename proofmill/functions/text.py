@@ -20,9 +20,9 @@ INVISIBLE = "\u200b\u2060\ufeff\u00ad"
 # Unicode white space, and the four separators Python also strips
 WHITE = "(?U)[\\s\\x1c-\\x1f]"
 # texts with none of these are already composed: marks, jamo, singletons
-_COMPOSABLE = ("[\\p{M}\\u1100-\\u11ff\\u0374\\u037e\\u0387\\u1f71-\\u1fff\\u2000\\u2001\\u2126"
-               "\\u212a\\u212b\\u2329\\u232a\\u2adc\\uf900-\\ufaff\\ufb1d-\\ufb4e]"
-               "|[\\x{1D15E}-\\x{1D1C0}\\x{2F800}-\\x{2FA1D}]")
+_COMPOSABLE = ("[\\p{M}\\u1100-\\u11ff\\u0374\\u037e\\u0387\\u1f71-\\u1fff\\u2000\\u2001\\u2126\\u212a\\u212b\\u2329\\u232a"
+               "\\u2adc\\uf900-\\ufaff\\ufb1d-\\ufb4e\\x{1D15E}-\\x{1D1C0}\\x{2F800}-\\x{2FA1D}]")
+_NOT_ASCII = "[^\\x00-\\x7f]"
 
 
 @F.pandas_udf(T.StringType())
@@ -37,8 +37,10 @@ def normalize_lookalikes(text: Column) -> Column:
     by composing are sent to Python."""
     old = SPACES + SINGLE_QUOTES + DOUBLE_QUOTES + HYPHENS + INVISIBLE
     new = " " * len(SPACES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES) + "-" * len(HYPHENS)
-    plain = F.translate(text, old, new)
-    return F.coalesce(_compose(F.when(plain.rlike(_COMPOSABLE), plain)), plain)
+    special = "[" + old[:len(new)] + INVISIBLE + "]"
+    wide = text.rlike(_NOT_ASCII)
+    plain = F.when(wide & text.rlike(special), F.translate(text, old, new)).otherwise(text)
+    return F.coalesce(_compose(F.when(wide & text.rlike(_COMPOSABLE), plain)), plain)
 
 
 def strip(text: Column) -> Column:
@@ -92,13 +94,3 @@ def bleu_tokens(text: Column, lowercase: bool) -> Column:
                           ("([.,])([^0-9])", " $1 $2"), ("([0-9])(-)", "$1 $2 ")):
         t = F.regexp_replace(t, pattern, swap)
     return words(t)
-
-
-def grams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens as single strings."""
-    if n == 1:
-        return tokens
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))

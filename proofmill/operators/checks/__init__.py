@@ -28,12 +28,14 @@ def option(name: str, default: str) -> Column:
 def outcome(df: DataFrame, error: Column, passed: Column, miss: Column, score: Column | None = None) -> DataFrame:
     """Writes the four result columns from an error text (null when fine), a
     pass condition and the detail of a miss."""
-    failed = error.isNotNull()
-    return df.withColumns({
-        "passed": F.coalesce(~failed & passed, F.lit(False)),
-        "score": F.when(~failed, score).cast("double") if score is not None else F.lit(None).cast("double"),
-        "detail": F.when(failed, error).when(~F.coalesce(passed, F.lit(False)), miss),
-        "errored": failed})
+    # staged first, so each is worked out once however often it is read below
+    staged = df.withColumns({"_error": error, "_passed": passed, "_miss": miss,
+                             "_score": score if score is not None else F.lit(None).cast("double")})
+    failed, met = F.col("_error").isNotNull(), F.coalesce(F.col("_passed"), F.lit(False))
+    return staged.withColumns({
+        "passed": ~failed & met, "score": F.when(~failed, F.col("_score")).cast("double"),
+        "detail": F.when(failed, F.col("_error")).when(~met, F.col("_miss")).cast("string"),
+        "errored": failed}).drop("_error", "_passed", "_miss", "_score")
 
 
 def threshold_columns(score: Column) -> tuple[Column, Column, Column]:

@@ -4,12 +4,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import RESULT, against_threshold, outcome
-from .fixed import contains_columns, exact_columns, json_columns, length_columns, regex_columns
-from .overlap import KEYS, bleu, meteor, rouge_l, rouge_lsum, rouge_n
+from . import RESULT, option, outcome, setting, threshold_columns
+from .fixed import contains_columns, exact_columns, json_columns, length_columns, regex_columns, with_plain_texts
+from .overlap import KEYS, ROUGE_VARIANT, bleu, meteor, rouge
 
 # engines anyone added: name -> a DataFrame function under the check contract
 _ADDED: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -28,49 +28,29 @@ def registered_engines() -> tuple[str, ...]:
     return tuple(_ADDED)
 
 
-def _scored(df: DataFrame, scores: DataFrame) -> DataFrame:
-    return against_threshold(df.join(scores, KEYS, "left"))
-
-
-def _by_setting(df: DataFrame, variants: list[tuple], run) -> DataFrame:
-    """One branch per variant the catalogue lists (a fixed handful); a row with
-    any other settings is errored."""
-    known, parts = F.lit(False), []
-    for condition, arguments in variants:
-        rows = df.filter(condition & ~known)
-        parts.append(_scored(rows, run(rows, *arguments)))
-        known = known | condition
-    parts.append(outcome(df.filter(~F.coalesce(known, F.lit(False))), F.lit("unknown_settings"), F.lit(False), F.lit(None)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _set(key: str, default: str, value: str):
-    return F.coalesce(F.col("engine_settings")[key], F.lit(default)) == value
+def _scored(df: DataFrame, scores: DataFrame, unknown: Column) -> DataFrame:
+    """Scores joined back to their checks; a row's settings may be unknown."""
+    joined = df.join(scores, KEYS, "left")
+    error, passed, miss = threshold_columns(F.round("raw_score", 4))
+    return outcome(joined, F.when(unknown, "unknown_settings").otherwise(error), passed, miss, F.round("raw_score", 4)).drop("raw_score")
 
 
 def _rouge(df: DataFrame) -> DataFrame:
-    seen = (("rougeL", "f1"), ("rougeL", "precision"), ("rougeL", "recall"), ("rouge1", "f1"), ("rouge2", "f1"), ("rougeLsum", "f1"))
-    variants = [(_set("variant", "rougeL", v) & _set("measure", "f1", m) & _set("stemmer", "true", s), (v, m, s == "true"))
-                for v, m in seen for s in ("true", "false")]
-
-    def run(rows, variant, measure, stemmer):
-        if variant == "rougeL":
-            return rouge_l(rows, measure, stemmer)
-        if variant == "rougeLsum":
-            return rouge_lsum(rows, measure, stemmer)
-        return rouge_n(rows, int(variant[5:]), measure, stemmer)
-    return _by_setting(df, variants, run)
+    variant, measure = option("variant", "rougeL"), option("measure", "f1")
+    unknown = ~variant.rlike(ROUGE_VARIANT) | ~measure.isin("f1", "precision", "recall")
+    return _scored(df, rouge(df, variant, measure, setting("stemmer", True)), unknown)
 
 
 def _bleu(df: DataFrame) -> DataFrame:
-    variants = [(_set("smooth_method", "exp", s) & _set("lowercase", "false", low), (s, low == "true"))
-                for s in ("exp", "floor", "add-k", "none") for low in ("false", "true")]
-    return _by_setting(df, variants, bleu)
+    smooth = option("smooth_method", "exp")
+    return _scored(df, bleu(df, smooth, setting("lowercase", False)), ~smooth.isin("exp", "floor", "add-k", "none"))
 
 
 def _meteor(df: DataFrame) -> DataFrame:
-    variants = [(_set("alpha", "0.9", a) & _set("beta", "3.0", "3.0") & _set("gamma", "0.5", "0.5"), (float(a),)) for a in ("0.9", "0.5")]
-    return _by_setting(df, variants, lambda rows, alpha: meteor(rows, alpha, stemmer=True))
+    number = lambda key, default: F.coalesce(F.col("engine_settings")[key], F.lit(default)).try_cast("double")
+    alpha, beta, gamma = number("alpha", "0.9"), number("beta", "3.0"), number("gamma", "0.5")
+    unknown = alpha.isNull() | beta.isNull() | gamma.isNull()
+    return _scored(df, meteor(df, alpha, beta, gamma, stemmer=True), unknown)
 
 
 _METRICS = {"rouge": _rouge, "bleu": _bleu, "meteor": _meteor}
@@ -90,7 +70,7 @@ def score_checks(checks: DataFrame, types: DataFrame, schemas: list[str] | None
     rows = rows if "errored" in checks.columns else rows.withColumn("errored", F.lit(False)).withColumn("detail", F.lit(None).cast("string"))
     rows = rows.withColumnsRenamed({"errored": "_early", "detail": "_why"})
     branches = [m for m in metrics if m in _METRICS] + list(_ADDED)
-    engines = {"exact_match": exact_columns(), "contains": contains_columns(), "regex": regex_columns(),
+    engines = {"exact_match": exact_columns(plain=True), "contains": contains_columns(plain=True), "regex": regex_columns(plain=True),
                "json": json_columns(schemas=schemas), "length": length_columns()}
     error = F.when(F.col("_early"), F.col("_why")).when(F.col("engine").isNull(), "unknown_type") \
         .when(~F.col("engine").isin(*FIXED), "engine_not_available")
@@ -101,7 +81,7 @@ def score_checks(checks: DataFrame, types: DataFrame, schemas: list[str] | None
         passed = F.when(here, p).otherwise(passed)
         miss = F.when(here, m).otherwise(miss)
     here = ~F.coalesce(F.col("engine").isin(*branches), F.lit(False)) | F.col("_early")
-    parts = [outcome(rows.filter(here), error, passed, miss)]
+    parts = [outcome(with_plain_texts(rows.filter(here)), error, passed, miss)]
     for name in branches:
         mine = rows.filter((F.col("engine") == name) & ~F.col("_early"))
         parts.append((_METRICS.get(name) or _ADDED[name])(mine))

@@ -14,33 +14,50 @@ from ...functions.text import fold_case, normalize_lookalikes, strip, words
 from . import option, outcome, setting
 
 
+def with_plain_texts(df: DataFrame) -> DataFrame:
+    """Adds the answer and what it is held against with look-alikes made plain,
+    once per row and only where an engine will read them."""
+    wanted = F.col("engine").isin("exact_match", "contains", "regex") & setting("normalize_lookalikes", True)
+    other = F.when(F.col("engine") == "contains", F.col("config")["substring"]).when(F.col("engine") == "exact_match", F.col("reference"))
+    return (df.withColumn("_plain_answer", F.when(wanted, normalize_lookalikes(F.when(wanted, F.col("answer")))).otherwise(F.col("answer")))
+            .withColumn("_plain_other", F.when(wanted, normalize_lookalikes(F.when(wanted, other))).otherwise(other)))
+
+
 def _readable(text: Column, lookalikes: bool | None) -> Column:
     if lookalikes is None:
         return F.when(setting("normalize_lookalikes", True), normalize_lookalikes(text)).otherwise(text)
     return normalize_lookalikes(text) if lookalikes else text
 
 
+def _pair(other: Column, lookalikes: bool | None, plain: bool) -> tuple[Column, Column]:
+    """The answer and the text it is held against, as they are compared;
+    `plain` when `with_plain_texts` has prepared both."""
+    if plain:
+        return F.col("_plain_answer"), F.col("_plain_other")
+    return _readable(F.col("answer"), lookalikes), _readable(other, lookalikes)
+
+
 def _flag(value: bool | None, name: str, default: bool) -> Column:
     return setting(name, default) if value is None else F.lit(value)
 
 
-def exact_columns(trim=None, case_sensitive=None, lookalikes=None) -> tuple[Column, Column, Column]:
+def exact_columns(trim=None, case_sensitive=None, lookalikes=None, plain=False) -> tuple[Column, Column, Column]:
     def shaped(text):
-        text = _readable(text, lookalikes)
         text = F.when(_flag(trim, "trim", True), strip(text)).otherwise(text)
         return F.when(_flag(case_sensitive, "case_sensitive", True), text).otherwise(fold_case(text))
     error = F.when(F.col("reference").isNull(), "no_reference")
-    return error, shaped(F.col("answer")) == shaped(F.col("reference")), F.lit("differs")
+    answer, reference = _pair(F.col("reference"), lookalikes, plain)
+    return error, shaped(answer) == shaped(reference), F.lit("differs")
 
 
-def contains_columns(case_sensitive=None, negate=None, lookalikes=None) -> tuple[Column, Column, Column]:
+def contains_columns(case_sensitive=None, negate=None, lookalikes=None, plain=False) -> tuple[Column, Column, Column]:
     needle = F.col("config")["substring"]
     error = F.when(needle.isNull() | (needle == ""), "no_substring")
     def shaped(text):
-        text = _readable(text, lookalikes)
         return F.when(_flag(case_sensitive, "case_sensitive", True), text).otherwise(fold_case(text))
     flip = _flag(negate, "negate", False)
-    found = F.contains(shaped(F.col("answer")), shaped(needle))
+    answer, wanted = _pair(needle, lookalikes, plain)
+    found = F.contains(shaped(answer), shaped(wanted))
     return error, found != flip, F.when(flip, "forbidden_found").otherwise("not_found")
 
 
@@ -80,16 +97,18 @@ def _python_match(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Seri
         yield pd.Series([one(*row) for row in zip(answer, pattern, mode, seconds)], dtype="object")
 
 
-def regex_columns(mode=None, negate=None, lookalikes=None) -> tuple[Column, Column, Column]:
+def regex_columns(mode=None, negate=None, lookalikes=None, plain=False) -> tuple[Column, Column, Column]:
     """Portable patterns run in the JVM; others in Python, bounded in time."""
-    answer, pattern = _readable(F.col("answer"), lookalikes), F.col("config")["pattern"]
+    pattern = F.col("config")["pattern"]
+    answer = F.col("_plain_answer") if plain else _readable(F.col("answer"), lookalikes)
+    mine = (F.col("engine") == "regex") if plain else F.lit(True)
     mode = option("mode", "search") if mode is None else F.lit(mode)
     seconds = F.coalesce(F.col("engine_settings")["timeout_seconds"].try_cast("double"), F.lit(1.0))
     known = mode.isin("search", "fullmatch")
     portable = pattern.rlike(_PORTABLE)
     whole = F.concat(F.lit("(?Ud)\\A(?:"), pattern, F.lit(")\\z"))
     java = F.when(portable & (mode == "fullmatch"), whole).when(portable, F.concat(F.lit("(?Ud)"), pattern)).otherwise("")
-    ask = ~portable & known & (pattern != "")
+    ask = mine & ~portable & known & (pattern != "")
     told = _python_match(F.when(ask, answer), F.when(ask, pattern), F.when(ask, mode), F.when(ask, seconds))
     matched = F.when(portable, F.call_function("rlike", answer, java)).otherwise(told == "yes")
     error = (F.when(pattern.isNull() | (pattern == ""), "no_pattern").when(~known, "unknown_mode")

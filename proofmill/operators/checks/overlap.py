@@ -1,12 +1,18 @@
 """Wording metrics: ROUGE, BLEU, METEOR.
 
-Rows are spread by (run_id, label) while they are still whole texts, then
-split into grams. Every later count groups by those two keys and something
-more, so it reuses that placement: one exchange of the texts, none of the
-far larger gram tables. One text is the most a task must hold.
+Both texts of a check stand in one row, so n-gram overlaps and longest common
+subsequences are counted inside the row: no shuffle, and nothing wider than
+the texts is ever made. Texts are cut into words in the JVM; the words of a
+row go to a short Arrow function as one string per side. (Exploding every
+gram and grouping by it was measured at several times the cost.)
+
+METEOR needs positions matched in stages; its rows are spread by (run_id,
+label) while they are still whole texts, and every later window and group
+reuses that placement.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...functions.stem import stem_long_tokens, stem_tokens
-from ...functions.text import bleu_tokens, grams, meteor_tokens, rouge_tokens
+from ...functions.stem import stem_tokens, stemmer_of
+from ...functions.text import bleu_tokens, meteor_tokens, rouge_tokens
 
 KEYS = ["run_id", "label"]
 
@@ -35,32 +41,16 @@ def _measure(name: str, hits: Column, answer: Column, reference: Column) -> Colu
     return F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
-def _overlap(df: DataFrame, answer: Column, reference: Column) -> DataFrame:
-    """Clipped overlap per row and gram length. `answer` and `reference` are
-    arrays of struct(n, gram)."""
-    sides = df.select(*KEYS, F.explode(F.concat(
-        F.transform(answer, lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(1).alias("a"), F.lit(0).alias("r"))),
-        F.transform(reference, lambda g: F.struct(g["n"].alias("n"), g["gram"].alias("gram"), F.lit(0).alias("a"), F.lit(1).alias("r"))),
-    )).alias("g")).select(*KEYS, "g.*")
-    return (sides.groupBy(*KEYS, "n", "gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-            .groupBy(*KEYS, "n").agg(F.sum(F.least("a", "r")).alias("hits"), F.sum("a").alias("in_answer"),
-                                     F.sum("r").alias("in_reference")))
-
-
-def _tagged(tokens: Column, orders: range) -> Column:
-    def tag(n):
-        return F.transform(grams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-    return F.concat(*[tag(n) for n in orders])
-
-
-def rouge_n(df: DataFrame, n: int, measure: str = "f1", stemmer: bool = False) -> DataFrame:
-    """run_id, label, raw_score: shared runs of n words."""
-    shape = (lambda c: stem_long_tokens(rouge_tokens(c))) if stemmer else rouge_tokens
-    texts = _spread(df).select(*KEYS, shape(F.col("answer")).alias("ta"), shape(F.col("reference")).alias("tr"))
-    counted = _overlap(texts, _tagged(F.col("ta"), range(n, n + 1)), _tagged(F.col("tr"), range(n, n + 1)))
-    score = _measure(measure, F.col("hits"), F.col("in_answer"), F.col("in_reference"))
-    return texts.select(*KEYS).join(counted.select(*KEYS, score.alias("raw_score")), KEYS, "left").select(
-        *KEYS, F.coalesce("raw_score", F.lit(0.0)).alias("raw_score"))
+def _overlaps(answer: list[str], reference: list[str], orders: range) -> list[float]:
+    """Clipped overlap of word runs: hits, runs in the answer, runs in the
+    reference, for each length."""
+    out: list[float] = []
+    for n in orders:
+        left, right = (Counter(zip(*[words[i:] for i in range(n)])) for words in (answer, reference))
+        small, large = sorted((left, right), key=len)
+        out += [float(sum(min(count, large[run]) for run, count in small.items() if run in large)),
+                float(max(len(answer) - n + 1, 0)), float(max(len(reference) - n + 1, 0))]
+    return out
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -102,95 +92,108 @@ def _lcs_places(ref: list[str], can: list[str]) -> set[int]:
     return found
 
 
-@F.pandas_udf(T.LongType())
-def _lcs_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _union_hits(refs: list[list[str]], cans: list[list[str]]) -> int:
+    """Sentence by sentence: reference words on a common subsequence with any
+    answer sentence, each word used as often as both texts hold it."""
+    left_r, left_c = Counter(w for s in refs for w in s), Counter(w for s in cans for w in s)
+    total = 0
+    for ref in refs:
+        for i in sorted(set().union(*[_lcs_places(ref, can) for can in cans])):
+            if left_r[ref[i]] > 0 and left_c[ref[i]] > 0:
+                left_r[ref[i]] -= 1
+                left_c[ref[i]] -= 1
+                total += 1
+    return total
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _rouge_counts(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """hits, answer size, reference size of one variant per row; words are
+    separated by spaces, sentences by newlines."""
+    stems = stemmer_of(4)
+
+    def one(answer, reference, variant, stemmed):
+        shape = stems if stemmed else (lambda words: words)
+        if variant == "rougeLsum":
+            cans, refs = ([shape(s.split()) for s in t.split("\n") if s.strip()] for t in (answer, reference))
+            return [float(_union_hits(refs, cans)), float(sum(map(len, cans))), float(sum(map(len, refs)))]
+        a, r = shape(answer.split()), shape(reference.split())
+        if variant == "rougeL":
+            return [float(_lcs(a, r)), float(len(a)), float(len(r))]
+        n = int(variant[5:])
+        return _overlaps(a, r, range(n, n + 1))
+
+    for rows in parts:
+        yield pd.Series([one(*row) for row in zip(*rows)], dtype="object")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _bleu_counts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
-        yield pd.Series([_lcs(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
+        yield pd.Series([_overlaps(x.split(), y.split(), range(1, 5)) for x, y in zip(a, b)], dtype="object")
+
 
+def _complete(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("answer").isNotNull() & F.col("reference").isNotNull())
 
-@F.pandas_udf(T.LongType())
-def _union_lcs_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    from collections import Counter
 
-    def hits(ref_sentences, can_sentences):
-        refs, cans = [list(s) for s in ref_sentences], [list(s) for s in can_sentences]
-        left_r, left_c = Counter(w for s in refs for w in s), Counter(w for s in cans for w in s)
-        total = 0
-        for ref in refs:
-            union = sorted(set().union(*[_lcs_places(ref, can) for can in cans]))
-            for i in union:
-                if left_r[ref[i]] > 0 and left_c[ref[i]] > 0:
-                    left_r[ref[i]] -= 1
-                    left_c[ref[i]] -= 1
-                    total += 1
-        return total
+ROUGE_VARIANT = "^rouge([1-9]|L|Lsum)$"
 
-    for r, c in parts:
-        yield pd.Series([hits(x, y) for x, y in zip(r, c)], dtype="int64")
+
+def rouge(df: DataFrame, variant: Column | str = "rougeL", measure: Column | str = "f1", stemmer: Column | bool = True) -> DataFrame:
+    """run_id, label, raw_score. Variant, measure and stemming may differ by row."""
+    variant, measure, stemmer = (x if isinstance(x, Column) else F.lit(x) for x in (variant, measure, stemmer))
+    def lines(c):
+        return F.array_join(F.transform(F.split(F.col(c), "\n"), lambda s: F.array_join(rouge_tokens(s), " ")), "\n")
+    rows = _complete(df).select(*KEYS, lines("answer").alias("ta"), lines("reference").alias("tr"), variant.alias("v"), measure.alias("ms"), stemmer.alias("st"))
+    counted = rows.filter(F.col("v").rlike(ROUGE_VARIANT)).withColumn("_o", _rouge_counts("ta", "tr", "v", "st"))
+    score = lambda m: _measure(m, F.col("_o")[0], F.col("_o")[1], F.col("_o")[2])
+    return counted.select(*KEYS, F.when(F.col("ms") == "precision", score("precision")).when(F.col("ms") == "recall", score("recall"))
+                          .when(F.col("ms") == "f1", score("f1")).alias("raw_score"))
+
+
+def rouge_n(df: DataFrame, n: int, measure: str = "f1", stemmer: bool = False) -> DataFrame:
+    """Shared runs of n words."""
+    return rouge(df, f"rouge{n}", measure, stemmer)
 
 
 def rouge_l(df: DataFrame, measure: str = "f1", stemmer: bool = False) -> DataFrame:
-    """Longest common subsequence of words; row by row, no shuffle."""
-    shape = (lambda c: stem_long_tokens(rouge_tokens(c))) if stemmer else rouge_tokens
-    texts = df.filter(F.col("answer").isNotNull() & F.col("reference").isNotNull()).select(
-        *KEYS, shape(F.col("answer")).alias("ta"), shape(F.col("reference")).alias("tr"))
-    score = _measure(measure, _lcs_udf("ta", "tr"), F.size("ta"), F.size("tr"))
-    return texts.select(*KEYS, score.alias("raw_score"))
+    """Longest common subsequence of words."""
+    return rouge(df, "rougeL", measure, stemmer)
 
 
 def rouge_lsum(df: DataFrame, measure: str = "f1", stemmer: bool = False) -> DataFrame:
     """The same sentence by sentence (split on newlines), union of matches."""
-    def sentences(c):
-        parts = F.filter(F.split(c, "\n"), lambda s: s != "")
-        return F.filter(F.transform(parts, rouge_tokens), lambda t: F.size(t) > 0)
-    texts = df.filter(F.col("answer").isNotNull() & F.col("reference").isNotNull()).select(
-        *KEYS, sentences(F.col("answer")).alias("sa"), sentences(F.col("reference")).alias("sr"))
-    if stemmer:
-        # words keep their places: stem the flat list, then cut it again by sentence length
-        def stemmed(c):
-            flat = stem_long_tokens(F.flatten(c))
-            return flat, F.transform(c, lambda s: F.size(s))
-        for name in ("sa", "sr"):
-            flat, sizes = stemmed(F.col(name))
-            texts = texts.withColumn("_flat", flat).withColumn("_sizes", sizes).withColumn(name, F.transform(
-                F.sequence(F.lit(1), F.size("_sizes")), lambda i: F.slice(
-                    F.col("_flat"), F.aggregate(F.slice("_sizes", F.lit(1), i - 1), F.lit(0), lambda t, x: t + x) + 1,
-                    F.element_at("_sizes", i)))).drop("_flat", "_sizes")
-    score = _measure(measure, _union_lcs_udf("sr", "sa"), F.size(F.flatten("sa")), F.size(F.flatten("sr")))
-    return texts.select(*KEYS, score.alias("raw_score"))
-
-
-def bleu(df: DataFrame, smooth: str = "exp", lowercase: bool = False) -> DataFrame:
-    """Sentence BLEU up to four words, 0-100."""
-    texts = _spread(df).select(*KEYS, bleu_tokens(F.col("answer"), lowercase).alias("ta"),
-                               bleu_tokens(F.col("reference"), lowercase).alias("tr"))
-    counted = _overlap(texts, _tagged(F.col("ta"), range(1, 5)), _tagged(F.col("tr"), range(1, 5)))
-    wide = counted.groupBy(*KEYS).agg(*[
-        F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{n}")
-        for n in range(1, 5) for c in ("hits", "in_answer")],
-        F.max(F.when(F.col("n") == 1, F.col("in_reference"))).alias("ref_len"))
-    hits = [F.col(f"hits{n}") for n in range(1, 5)]
-    total = [F.col(f"in_answer{n}") for n in range(1, 5)]
-    logs, used, zeros = F.lit(0.0), F.lit(0), F.lit(0)
-    reached = F.lit(True)
+    return rouge(df, "rougeLsum", measure, stemmer)
+
+
+def bleu(df: DataFrame, smooth: Column | str = "exp", lowercase: Column | bool = False) -> DataFrame:
+    """Sentence BLEU up to four words, 0-100. Smoothing (exp, floor, add-k,
+    none) and case may differ by row."""
+    smooth, lowercase = (x if isinstance(x, Column) else F.lit(x) for x in (smooth, lowercase))
+    words = lambda c: F.array_join(bleu_tokens(F.when(lowercase, F.lower(F.col(c))).otherwise(F.col(c)), False), " ")
+    rows = _complete(df).select(*KEYS, words("answer").alias("ta"), words("reference").alias("tr"), smooth.alias("s"))
+    counted = rows.withColumn("_o", _bleu_counts("ta", "tr"))
+    kind = F.col("s")
+    hits, total = [F.col("_o")[3 * n] for n in range(4)], [F.col("_o")[3 * n + 1] for n in range(4)]
+    ref_len = F.col("_o")[2]
+    logs, used, zeros, reached = F.lit(0.0), F.lit(0), F.lit(0), F.lit(True)
     for n in range(4):
-        h, t = hits[n], total[n]
-        if smooth == "add-k" and n > 0:
-            h, t = h + 1, t + 1
+        bump = F.when(kind == "add-k", 1.0).otherwise(0.0) if n else F.lit(0.0)
+        h, t = hits[n] + bump, total[n] + bump
         reached = reached & (t > 0)
         zeros = zeros + F.when(reached & (h == 0), 1).otherwise(0)
-        empty = {"exp": 100 / (F.pow(F.lit(2.0), zeros) * t), "floor": 100 * 0.1 / t}.get(smooth, F.lit(0.0))
+        empty = F.when(kind == "exp", 100 / (F.pow(F.lit(2.0), zeros) * t)).when(kind == "floor", 100 * 0.1 / t).otherwise(0.0)
         precision = F.when(h > 0, 100 * h / t).otherwise(empty)
         logs = logs + F.when(reached, F.when(precision > 0, F.ln(precision)).otherwise(-9999999999.0)).otherwise(0.0)
         used = used + F.when(reached, 1).otherwise(0)
-    brevity = F.when(total[0] >= F.coalesce("ref_len", F.lit(0)), 1.0).otherwise(F.exp(1 - F.col("ref_len") / total[0]))
+    brevity = F.when(total[0] >= ref_len, 1.0).otherwise(F.exp(1 - ref_len / total[0]))
     something = hits[0] + hits[1] + hits[2] + hits[3] > 0
     score = F.when(something, brevity * F.exp(logs / used)).otherwise(0.0)
-    return texts.select(*KEYS).join(wide.select(*KEYS, score.alias("raw_score")), KEYS, "left").select(
-        *KEYS, F.coalesce("raw_score", F.lit(0.0)).alias("raw_score"))
+    return counted.select(*KEYS, F.when(kind.isin("exp", "floor", "add-k", "none"), score).alias("raw_score"))
 
 
-def meteor(df: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, stemmer: bool = False,
+def meteor(df: DataFrame, alpha: Column | float = 0.9, beta: Column | float = 3.0, gamma: Column | float = 0.5, stemmer: bool = False,
            synonyms: DataFrame | None = None) -> DataFrame:
     """Unigram alignment: the same word, then the same stem, then the same
     synonym group (`synonyms`: word, group; words as the stem step left them).
@@ -199,10 +202,11 @@ def meteor(df: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float =
     Each stage numbers what is left per word and meets both sides in one
     group, so no join of positions is made.
     """
-    texts = _spread(df).select(*KEYS, meteor_tokens(F.col("answer")).alias("ta"), meteor_tokens(F.col("reference")).alias("tr"))
+    parameters = [(x if isinstance(x, Column) else F.lit(float(x))).alias(n) for n, x in (("_al", alpha), ("_be", beta), ("_ga", gamma))]
+    texts = _spread(df).select(*KEYS, meteor_tokens(F.col("answer")).alias("ta"), meteor_tokens(F.col("reference")).alias("tr"), *parameters)
     stem = (lambda c: stem_tokens(c)) if stemmer else (lambda c: c)
-    tokens = texts.select(*KEYS, F.col("ta"), F.col("tr"), stem(F.col("ta")).alias("sa"), stem(F.col("tr")).alias("sr"))
-    sizes = tokens.select(*KEYS, F.size("ta").alias("n_a"), F.size("tr").alias("n_r"))
+    tokens = texts.select(*KEYS, "_al", "_be", "_ga", F.col("ta"), F.col("tr"), stem(F.col("ta")).alias("sa"), stem(F.col("tr")).alias("sr"))
+    sizes = tokens.select(*KEYS, "_al", "_be", "_ga", F.size("ta").alias("n_a"), F.size("tr").alias("n_r"))
     def listed(words, stems, side):
         return F.transform(F.arrays_zip(words.alias("w"), stems.alias("s")), lambda z, i: F.struct(
             F.lit(side).alias("side"), i.alias("pos"), z["w"].alias("word"), z["s"].alias("stem")))
@@ -237,5 +241,6 @@ def meteor(df: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float =
     matched = pairs.withColumn("_break", breaks).groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("m"), F.sum("_break").alias("chunks"))
     p, r = F.col("m") / F.col("n_a"), F.col("m") / F.col("n_r")
-    score = p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * F.pow(F.col("chunks") / F.col("m"), F.lit(float(beta))))
+    al, be, ga = F.col("_al"), F.col("_be"), F.col("_ga")
+    score = p * r / (al * p + (1 - al) * r) * (1 - ga * F.pow(F.col("chunks") / F.col("m"), be))
     return sizes.join(matched, KEYS, "left").select(*KEYS, F.coalesce(score, F.lit(0.0)).alias("raw_score"))
