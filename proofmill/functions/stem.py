@@ -20,6 +20,12 @@ STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
          "ate", "iti", "ous", "ive", "ize")
 
 
+# Words the common implementation keeps whole
+IRREGULAR = {"sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "inning": "inning",
+             "outings": "outing", "outing": "outing", "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
+             "exceed": "exceed", "succeed": "succeed"}
+
+
 def _shape(word: str) -> str:
     """c for consonants, v for vowels; y is a vowel after a consonant."""
     out = ""
@@ -53,6 +59,8 @@ def _swap(word: str, table, least: int) -> str:
 
 def stem(word: str) -> str:
     word = word.lower()
+    if word in IRREGULAR:
+        return IRREGULAR[word]
     if len(word) <= 2:
         return word
     # plurals

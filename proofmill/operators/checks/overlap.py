@@ -1,14 +1,13 @@
 """Wording metrics: ROUGE, BLEU, METEOR.
 
 Both texts of a check stand in one row, so n-gram overlaps and longest common
-subsequences are counted inside the row: no shuffle, and nothing wider than
-the texts is ever made. Texts are cut into words in the JVM; the words of a
-row go to a short Arrow function as one string per side. (Exploding every
+subsequences are counted inside the row: one exchange of whole texts, and
+nothing wider is ever made. Texts are cut into words in the JVM; the words of
+a row go to a short Arrow function as one string per side. (Exploding every
 gram and grouping by it was measured at several times the cost.)
 
-METEOR needs positions matched in stages; its rows are spread by (run_id,
-label) while they are still whole texts, and every later window and group
-reuses that placement.
+METEOR needs positions matched in stages; its later windows and groups reuse
+the placement the whole texts were given.
 """
 from __future__ import annotations
 
@@ -28,6 +27,8 @@ KEYS = ["run_id", "label"]
 
 
 def _spread(df: DataFrame) -> DataFrame:
+    """Rows with both texts, spread by run. Scoring costs seconds per megabyte
+    of text and moving it hundredths, so an even spread pays for itself."""
     return df.filter(F.col("answer").isNotNull() & F.col("reference").isNotNull()).repartition(*KEYS)
 
 
@@ -133,10 +134,6 @@ def _bleu_counts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([_overlaps(x.split(), y.split(), range(1, 5)) for x, y in zip(a, b)], dtype="object")
 
 
-def _complete(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("answer").isNotNull() & F.col("reference").isNotNull())
-
-
 ROUGE_VARIANT = "^rouge([1-9]|L|Lsum)$"
 
 
@@ -145,7 +142,7 @@ def rouge(df: DataFrame, variant: Column | str = "rougeL", measure: Column | str
     variant, measure, stemmer = (x if isinstance(x, Column) else F.lit(x) for x in (variant, measure, stemmer))
     def lines(c):
         return F.array_join(F.transform(F.split(F.col(c), "\n"), lambda s: F.array_join(rouge_tokens(s), " ")), "\n")
-    rows = _complete(df).select(*KEYS, lines("answer").alias("ta"), lines("reference").alias("tr"), variant.alias("v"), measure.alias("ms"), stemmer.alias("st"))
+    rows = _spread(df).select(*KEYS, lines("answer").alias("ta"), lines("reference").alias("tr"), variant.alias("v"), measure.alias("ms"), stemmer.alias("st"))
     counted = rows.filter(F.col("v").rlike(ROUGE_VARIANT)).withColumn("_o", _rouge_counts("ta", "tr", "v", "st"))
     score = lambda m: _measure(m, F.col("_o")[0], F.col("_o")[1], F.col("_o")[2])
     return counted.select(*KEYS, F.when(F.col("ms") == "precision", score("precision")).when(F.col("ms") == "recall", score("recall"))
@@ -172,7 +169,7 @@ def bleu(df: DataFrame, smooth: Column | str = "exp", lowercase: Column | bool =
     none) and case may differ by row."""
     smooth, lowercase = (x if isinstance(x, Column) else F.lit(x) for x in (smooth, lowercase))
     words = lambda c: F.array_join(bleu_tokens(F.when(lowercase, F.lower(F.col(c))).otherwise(F.col(c)), False), " ")
-    rows = _complete(df).select(*KEYS, words("answer").alias("ta"), words("reference").alias("tr"), smooth.alias("s"))
+    rows = _spread(df).select(*KEYS, words("answer").alias("ta"), words("reference").alias("tr"), smooth.alias("s"))
     counted = rows.withColumn("_o", _bleu_counts("ta", "tr"))
     kind = F.col("s")
     hits, total = [F.col("_o")[3 * n] for n in range(4)], [F.col("_o")[3 * n + 1] for n in range(4)]
