@@ -105,10 +105,9 @@ def foreign_rows(chosen: DataFrame, rows: DataFrame, dataset_id) -> DataFrame:
 def number_names(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Names 'New Test n', going on from the highest number any test has."""
     number = F.regexp_extract("name", "^New Test ([0-9]{1,18})$", 1).try_cast("long")
-    highest = existing.agg(F.coalesce(F.max(number), F.lit(0)).alias("_top")).withColumn("_all", F.lit(1))
+    highest = existing.agg(F.coalesce(F.max(number), F.lit(0)).alias("top")).scalar()
     placed = number_within(new.withColumn("_all", F.lit(1)), ["_all"], [order], slice_of(order, SLICE), "_n")
-    return (placed.join(highest, "_all").withColumn("name", F.concat(F.lit("New Test "), (F.col("_top") + F.col("_n")).cast("string")))
-            .drop("_all", "_top", "_n"))
+    return placed.withColumn("name", F.concat(F.lit("New Test "), (highest + F.col("_n")).cast("string"))).drop("_all", "_n")
 
 
 def label_key(label: Column) -> Column:

@@ -98,16 +98,3 @@ def running_before(df: DataFrame, keys: list[str], order: list, slices: Column,
     for a in amounts:
         out = out.withColumn(f"before_{a}", F.col(f"_in_{a}") + F.col(f"_before{a}"))
     return out.drop("_slice", *[f"_in_{a}" for a in amounts], *[f"_before{a}" for a in amounts])
-
-
-def place_in_order(df: DataFrame, lead: Column, rest: list[Column], name: str) -> DataFrame:
-    """1, 2, 3, ... over the whole table, ordered by `lead` then `rest`: rows
-    are placed inside their lead value and shifted by the counts before it."""
-    led = df.withColumn("_lead", lead)
-    counts = led.groupBy("_lead").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.orderBy("_lead").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_lead", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_lead").orderBy(*rest))
-    return (led.withColumn("_inside", inside).join(offsets, "_lead")
-            .withColumn(name, (F.col("_inside") + F.col("_before")).cast("long"))
-            .drop("_lead", "_inside", "_before"))

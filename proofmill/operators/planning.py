@@ -274,12 +274,12 @@ def resolve_scope(entries: DataFrame, links: DataFrame) -> DataFrame:
 def estimate_cost(scope_entries: DataFrame, types: DataFrame, times: int) -> DataFrame:
     """Runs and calls per time and in all, with times capped to what a batch
     may create."""
-    judges = types.filter(F.col("engine") == JUDGE_ENGINE).agg(F.collect_set("name").alias("_judges"))  # the catalogue's judge types
-    flat = scope_entries.withColumn("_one", F.lit(1)).join(judges.withColumn("_one", F.lit(1)), "_one")
-    judge_checks = F.size(F.filter("assignments", lambda a: F.array_contains("_judges", a["name"])))
-    per = flat.groupBy("scope_kind", "scope_id").agg(
-        F.count(F.lit(1)).alias("runs_per_time"), F.count_if(F.col("model_output").isNull()).alias("application_per_time"),
-        F.sum(judge_checks).alias("judge_per_time"))
+    judge = types.filter(F.col("engine") == JUDGE_ENGINE).select(F.col("name").alias("_name"), F.lit(1).alias("_judge"))
+    checks = scope_entries.select("scope_kind", "scope_id", "entry_id", F.col("model_output").isNull().alias("_asks"),
+                                  F.explode_outer("assignments.name").alias("_name")).join(judge, "_name", "left")
+    per_entry = checks.groupBy("scope_kind", "scope_id", "entry_id").agg(F.first("_asks").alias("_asks"), F.count("_judge").alias("_judges"))
+    per = per_entry.groupBy("scope_kind", "scope_id").agg(
+        F.count(F.lit(1)).alias("runs_per_time"), F.count_if("_asks").alias("application_per_time"), F.sum("_judges").alias("judge_per_time"))
     most = F.floor(F.lit(MAX_RUNS) / F.col("runs_per_time"))
     capped = F.least(F.lit(min(times, MAX_TIMES)), most)
     return per.withColumn("times", capped.cast("long")).withColumn("capped", F.col("times") < times).withColumns({

@@ -363,14 +363,9 @@ def worst_entries(spark, sf):
     return B.worst_entries(named).withColumn("failed_share", F.round("failed_share", 9))
 
 
-@query("entry_order", """
-SELECT entry_id, test_set_name, name, row_number() OVER (ORDER BY lower(test_set_name), lower(name), CAST(entry_id AS VARCHAR)) AS place
-FROM entries""", ["entries"])
+@query("entry_order", "SELECT entry_id, test_set_name, name FROM entries ORDER BY lower(test_set_name), lower(name), CAST(entry_id AS VARCHAR)", ["entries"])
 def entry_order(spark, sf):
-    """Places in the shown order, counted set by set so no task sorts them all."""
-    from proofmill.operators.keyed import place_in_order
-    rows = world.entries(spark, sf).select("entry_id", "test_set_name", "name")
-    return place_in_order(rows, F.lower(F.coalesce("test_set_name", F.lit(""))), B.entry_order()[1:], "place")
+    return world.entries(spark, sf).orderBy(*B.entry_order()).select("entry_id", "test_set_name", "name")
 
 
 def _scope_batch_runs(spark, sf):

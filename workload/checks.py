@@ -215,20 +215,20 @@ h{n} AS (SELECT run_id, label, coalesce(hits, 0) AS hits, coalesce(na, 0) AS na,
 for _n in (1, 2):
     def _register(n):
         @query(f"rouge_{n}_scores", f"""WITH {_gram_sql(n)}
-SELECT run_id, label, round(CASE WHEN hits = 0 THEN 0.0 ELSE 2 * (hits / na) * (hits / nr) / (hits / na + hits / nr) END, 4) AS score FROM h{n}""", ["pairs"])
+SELECT run_id, label, round(CASE WHEN hits = 0 THEN 0.0 ELSE 2 * (hits / na) * (hits / nr) / (hits / na + hits / nr) END, 6) AS score FROM h{n}""", ["pairs"])
         def rouge_scores(spark, sf):
-            return overlap.rouge_n(world.text_pairs(spark, sf), n).select("run_id", "label", F.round("raw_score", 4).alias("score"))
+            return overlap.rouge_n(world.text_pairs(spark, sf), n).select("run_id", "label", F.round("raw_score", 6).alias("score"))
     _register(_n)
 
 
 @query("rouge_l_scores")
 def rouge_l_scores(spark, sf):
-    return overlap.rouge_l(world.text_pairs(spark, sf), "f1", stemmer=True).select("run_id", "label", F.round("raw_score", 4).alias("score"))
+    return overlap.rouge_l(world.text_pairs(spark, sf), "f1", stemmer=True).select("run_id", "label", F.round("raw_score", 6).alias("score"))
 
 
 @query("rouge_l_by_sentence")
 def rouge_l_by_sentence(spark, sf):
-    return overlap.rouge_lsum(world.text_pairs(spark, sf), "recall").select("run_id", "label", F.round("raw_score", 4).alias("score"))
+    return overlap.rouge_lsum(world.text_pairs(spark, sf), "recall").select("run_id", "label", F.round("raw_score", 6).alias("score"))
 
 
 _B1 = "(' ' || replace(replace(replace(replace(replace(replace(replace(~C~, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ')"
@@ -248,10 +248,10 @@ l AS (SELECT *, CASE WHEN t1 > 0 THEN ln(CASE WHEN c1 > 0 THEN 100 * c1 / t1 ELS
   + CASE WHEN t3 > 0 THEN ln(CASE WHEN c3 > 0 THEN 100 * c3 / t3 ELSE 100 / (pow(2, z3) * t3) END) ELSE 0 END
   + CASE WHEN t4 > 0 THEN ln(CASE WHEN c4 > 0 THEN 100 * c4 / t4 ELSE 100 / (pow(2, z4) * t4) END) ELSE 0 END AS logs,
   (t1 > 0)::INT + (t2 > 0)::INT + (t3 > 0)::INT + (t4 > 0)::INT AS used FROM z)
-SELECT run_id, label, round(CASE WHEN c1 + c2 + c3 + c4 = 0 THEN 0.0 ELSE CASE WHEN t1 >= r THEN 1.0 ELSE exp(1 - r / t1) END * exp(logs / used) END, 4) AS score FROM l""",
+SELECT run_id, label, round(CASE WHEN c1 + c2 + c3 + c4 = 0 THEN 0.0 ELSE CASE WHEN t1 >= r THEN 1.0 ELSE exp(1 - r / t1) END * exp(logs / used) END, 6) AS score FROM l""",
        ["pairs"])
 def bleu_scores(spark, sf):
-    return overlap.bleu(world.text_pairs(spark, sf)).select("run_id", "label", F.round("raw_score", 4).alias("score"))
+    return overlap.bleu(world.text_pairs(spark, sf)).select("run_id", "label", F.round("raw_score", 6).alias("score"))
 
 
 _MT = r"regexp_extract_all(lower(~C~), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s]')"
@@ -264,29 +264,29 @@ r AS (SELECT run_id, i, t, row_number() OVER (PARTITION BY run_id, t ORDER BY i
 m AS (SELECT run_id, a.i AS pa, r.i AS pr FROM a JOIN r USING (run_id, t, k)),
 b AS (SELECT run_id, CASE WHEN pa - lag(pa) OVER o = 1 AND pr - lag(pr) OVER o = 1 THEN 0 ELSE 1 END AS br FROM m WINDOW o AS (PARTITION BY run_id ORDER BY pa)),
 s AS (SELECT run_id, count(*)::DOUBLE AS m, sum(br)::DOUBLE AS c FROM b GROUP BY 1)
-SELECT w.run_id, label, round(coalesce((m / len(ta)) * (m / len(tr)) / (0.9 * m / len(ta) + 0.1 * m / len(tr)) * (1 - 0.5 * pow(c / m, 3)), 0.0), 4) AS score
+SELECT w.run_id, label, round(coalesce((m / len(ta)) * (m / len(tr)) / (0.9 * m / len(ta) + 0.1 * m / len(tr)) * (1 - 0.5 * pow(c / m, 3)), 0.0), 6) AS score
 FROM w LEFT JOIN s USING (run_id)""", ["pairs"])
 def meteor_scores(spark, sf):
-    return overlap.meteor(world.text_pairs(spark, sf)).select("run_id", "label", F.round("raw_score", 4).alias("score"))
+    return overlap.meteor(world.text_pairs(spark, sf)).select("run_id", "label", F.round("raw_score", 6).alias("score"))
 
 
 @query("meteor_with_stems")
 def meteor_with_stems(spark, sf):
-    return overlap.meteor(world.text_pairs(spark, sf), stemmer=True).select("run_id", "label", F.round("raw_score", 4).alias("score"))
+    return overlap.meteor(world.text_pairs(spark, sf), stemmer=True).select("run_id", "label", F.round("raw_score", 6).alias("score"))
 
 
 # ── vectors ──────────────────────────────────────────────────────────────────
 
 @query("cosine_scores", """
 SELECT a.vec_id AS run_id, 'cos' AS label, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) /
-  (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 4) AS score
+  (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def cosine_scores(spark, sf):
     e = world.table(spark, sf, "embeddings")
     v = e.select(F.col("vec_id").alias("run_id"), F.lit("cos").alias("label"), F.col("embedding").alias("answer_vector")).join(
         e.select((F.col("vec_id") - 1).alias("run_id"), F.col("embedding").alias("reference_vector")), "run_id")
     checks = v.select("run_id", "label", F.lit("text").alias("answer"))
-    return vectors.cosine_scores(checks, v).select("run_id", "label", F.round("raw_score", 4).alias("score"))
+    return vectors.cosine_scores(checks, v).select("run_id", "label", F.round("raw_score", 6).alias("score"))
 
 
 @query("token_vector_scores", """
@@ -296,12 +296,12 @@ s AS (SELECT a.run_id, a.i AS ai, a.n AS an, r.i AS ri, r.n AS rn, list_dot_prod
   FROM u a JOIN u r ON a.run_id = r.run_id AND a.side = 'a' AND r.side = 'r'),
 p AS (SELECT run_id, avg(m) AS p FROM (SELECT run_id, ai, max(c) AS m FROM s WHERE ai > 1 AND ai < an AND an > 2 AND rn > 2 GROUP BY 1, 2) GROUP BY 1),
 q AS (SELECT run_id, avg(m) AS r FROM (SELECT run_id, ri, max(c) AS m FROM s WHERE ri > 1 AND ri < rn AND an > 2 AND rn > 2 GROUP BY 1, 2) GROUP BY 1)
-SELECT run_id, 'tok' AS label, round(coalesce(2 * p * r / (p + r), 0.0), 4) AS score FROM (SELECT DISTINCT run_id FROM t) LEFT JOIN p USING (run_id) LEFT JOIN q USING (run_id)""")
+SELECT run_id, 'tok' AS label, round(coalesce(2 * p * r / (p + r), 0.0), 6) AS score FROM (SELECT DISTINCT run_id FROM t) LEFT JOIN p USING (run_id) LEFT JOIN q USING (run_id)""")
 def token_vector_scores(spark, sf):
     pieces = world.table(spark, sf, "embeddings").select(
         F.floor(F.col("vec_id") / 16).cast("long").alias("run_id"), F.lit("tok").alias("label"),
         F.when(F.col("vec_id") % 16 < 8, "answer").otherwise("reference").alias("side"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
-    return vectors.token_vector_scores(vectors.collect_token_vectors(pieces)).select("run_id", "label", F.round("raw_score", 4).alias("score"))
+    return vectors.token_vector_scores(vectors.collect_token_vectors(pieces)).select("run_id", "label", F.round("raw_score", 6).alias("score"))
 
 
 # ── judging ──────────────────────────────────────────────────────────────────

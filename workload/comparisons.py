@@ -189,13 +189,23 @@ r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs
 s AS (SELECT count(*)::DOUBLE AS m, least(sum(rk) FILTER (WHERE d > 0), sum(rk) FILTER (WHERE d < 0)) AS w, sum(tie::DOUBLE * tie - 1) AS ties FROM r),
 z0 AS (SELECT *, abs((w - m * (m + 1) / 4) / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48)) AS z, mean / (sd / sqrt(n)) AS t FROM b, s)
 SELECT 'O-F' AS pair_id, n AS n_pairs, round(mean, 6) AS difference, round(t, 4) AS t,
-  round(2 * {t_tail_sql('abs(t)', '(n - 1)')}, 4) AS p_value, w AS statistic, round(2 * {_NORMAL_TAIL}, 4) AS p_wilcoxon, 'normal' AS wilcoxon_method
+  round(2 * {t_tail_sql('abs(t)', '(n - 1)')}, 4) AS p_value, w AS statistic
 FROM z0""", ["sides"])
 def paired_comparison(spark, sf):
-    pairs = C.newcombe(_rates(spark, sf), SURE).filter("only_in is null").select("pair_id", "rate_a", "rate_b")
-    return C.compare_paired(pairs, ["pair_id"], SURE).select(
+    return _paired(spark, sf).select(
         "pair_id", "n_pairs", F.round("difference", 6).alias("difference"), r4(F.col("t")).alias("t"),
-        r4(F.col("p_value")).alias("p_value"), "statistic", r4(F.col("p_wilcoxon")).alias("p_wilcoxon"), "wilcoxon_method")
+        r4(F.col("p_value")).alias("p_value"), "statistic")
+
+
+def _paired(spark, sf):
+    pairs = C.newcombe(_rates(spark, sf), SURE).filter("only_in is null").select("pair_id", "rate_a", "rate_b")
+    return C.compare_paired(pairs, ["pair_id"], SURE)
+
+
+@query("paired_rank_test")
+def paired_rank_test(spark, sf):
+    # exact or normal, by how many pairs there are
+    return _paired(spark, sf).select("pair_id", r4(F.col("p_wilcoxon")).alias("p_wilcoxon"), "wilcoxon_method", "verdict", "agrees")
 
 
 @query("comparison_outcomes", f"""
