@@ -26,10 +26,12 @@ def local_session(cpus: int | None = None, app: str = "proofmill") -> SparkSessi
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a scratch one where none
-    is named, as in tests."""
+    """The folder the cluster names for checkpoints. One process, as in tests,
+    may do with a scratch folder; executors elsewhere could not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="proofmill-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
