@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, links, mainline, mixing, quality, secrets, templates
+from proofmill.llm import bpe, kdtree, links, mainline, mixing, probminhash, quality, secrets, templates
 from proofmill.llm.tables import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,22 @@ def query(name: str, sql: str | None = None):
 
 
 
+SEARCH_SQL = """
+WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+once AS (SELECT vec_id, min(v) AS v FROM rows GROUP BY vec_id),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM once q JOIN once c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+    SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM pairs) WHERE rank <= 5"""
+
+
+@query("op1_vector_search", SEARCH_SQL)
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products for every fiftieth vector, among all."""
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def _link_sql(rounds: int = links.ROUNDS) -> str:
     """The rules as a table, the rounds of trust written out one after the other."""
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in links.RULES)
@@ -134,6 +150,12 @@ def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+@query("op9_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document: the smallest id of its near duplicates."""
+    return probminhash.classes(table(spark, sf_dir, "documents"))
+
+
 @query("op10_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the classifier's verdict for every document."""
