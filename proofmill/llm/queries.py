@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, kdtree, links, mainline, mixing, probminhash, quality, secrets, templates
+from proofmill.llm import bpe, kdtree, links, mainline, mixing, probminhash, quality, secrets, suffixes, templates
 from proofmill.llm.tables import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,24 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+# texts as hexadecimal digits, two to a byte, so that strings are strings of bytes
+REPEATS_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (SELECT r, p, hash(substr(x, 2 * p + 1, 800)) AS h FROM
+    (SELECT r, x, unnest(range(greatest(0, len(x) // 2 - 399))) AS p FROM texts)),
+twice AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+flagged AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM strings JOIN twice USING (h)),
+spans AS (SELECT r, p, sum((before IS NULL OR p > before + 400)::INT) OVER (PARTITION BY r ORDER BY p) AS span FROM flagged),
+runs AS (SELECT r, span, min(p) AS a, max(p) + 400 AS b FROM spans GROUP BY r, span),
+gaps AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS from_, lead(a) OVER (PARTITION BY r ORDER BY a) AS next FROM runs),
+cut AS (SELECT r, sum(b - a) AS removed, count(*) AS spans,
+    string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS rest
+    FROM gaps JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(rest, x))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (r)"""
+
+
 def _link_sql(rounds: int = links.ROUNDS) -> str:
     """The rules as a table, the rounds of trust written out one after the other."""
     rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in links.RULES)
@@ -67,6 +85,12 @@ SELECT page_id, host, path, r.rule AS rule,
 FROM judged LEFT JOIN t{rounds} USING (host)"""
 
 
+@query("op2_repeated_passages", REPEATS_SQL)
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 400-byte strings."""
+    return suffixes.kept_digests(table(spark, sf_dir, "documents"))
+
+
 @query("op3_url_filter", _link_sql())
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page by rules and by the trust of its host."""
