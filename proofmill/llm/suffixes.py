@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,16 @@ from pyspark.sql import functions as F
 from proofmill.llm.tables import written
 from proofmill.llm.words import _BASE, _UNDO, BYTE_CODES, _powers, chunks, mixed
 
-LENGTH, GRAM, PART, PIECE, BATCH_BYTES = 400, 64, 256, 1 << 20, 1 << 20
+LENGTH, GRAM, PART, PIECE, BATCH_BYTES = 400, 64, 256, 1 << 20, 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+@lru_cache(maxsize=1)
+def _rows() -> tuple[np.ndarray, np.ndarray]:
+    """Powers for a whole piece."""
+    return _powers(_BASE, PIECE + LENGTH), _powers(_UNDO, PIECE + LENGTH + 1)
+
+
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` neighbours."""
     n = len(values) - width + 1
@@ -51,8 +58,8 @@ def segments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
         none = np.zeros(0, np.int64)
         return none, none, none, none
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * _powers(_BASE, n), out=sums[1:])
-    undo = _powers(_UNDO, n + 1)
+    forth, undo = _rows()
+    np.cumsum(BYTE_CODES[data] * forth[:n], out=sums[1:])
     grams = mixed((sums[gram:] - sums[:-gram]) * undo[:n - gram + 1])
     places = np.arange(len(grams), dtype=np.uint64)
     anchor = (_PLACE - (_least((grams & ~_PLACE) | (_PLACE - places), length - gram + 1) & _PLACE)).astype(np.int64)
@@ -73,41 +80,54 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append(np.full(len(gram), first + i))
                     found.append((gram, whole, a + at, b + at))
             if found:
-                taken = batch.take(pa.array(np.concatenate(rows)))
+                taken = batch.select(["doc_id", "version"]).take(pa.array(np.concatenate(rows)))
                 columns = [pa.array(np.concatenate(x)) for x in zip(*found)]
                 yield pa.RecordBatch.from_arrays([taken.column("doc_id"), taken.column("version"), *columns], ["doc_id", "version", "gram", "segment", "first", "last"])
 
 
 def ranks(text: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... symbols, short of `length`."""
-    n, rank, width = len(text), np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    out = [(1, rank)]
+    """Ranks of all suffixes by their first 3, 6, 12, ... symbols, short of `length`."""
+    n, symbol = len(text), np.unique(text, return_inverse=True)[1].astype(np.uint64)
+    size, width = np.uint64(max(int(symbol.max()) + 2, 2).bit_length()), 3
+    key = np.zeros(n, np.uint64)
+    for i in range(width):
+        key <<= size
+        key[:max(n - i, 0)] += symbol[i:] + np.uint64(1)
+    rank = _dense(key, int(size) * width)
+    out = [(1, symbol.astype(np.int64)), (width, rank)]
     while 2 * width <= length:
         rank = _joined(rank, width)
         width *= 2
         out.append((width, rank))
-    return out
+    return [x for x in out if x[0] <= length]
 
 
 def _joined(rank: np.ndarray, shift: int) -> np.ndarray:
     """Ranks by a suffix's own rank and that of the suffix `shift` further on."""
-    key = rank + 1 << 32
-    key[:len(rank) - shift] += rank[shift:] + 1
-    return _dense(key)
-
-
-def _dense(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    new = np.append(0, np.cumsum(key[order[1:]] != key[order[:-1]]))
+    bits = len(rank).bit_length()
+    key = rank.astype(np.uint64) << np.uint64(bits)
+    key[:max(len(rank) - shift, 0)] += rank[shift:].astype(np.uint64) + np.uint64(1)
+    return _dense(key, 2 * bits)
+
+
+def _dense(key: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks of keys of so many bits; a key and its place are sorted as one number where they fit."""
+    place = np.uint64(len(key).bit_length())
+    if bits + int(place) <= 64:
+        both = np.sort(key << place | np.arange(len(key), dtype=np.uint64))
+        order, key = (both & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64), both >> place
+    else:
+        order = np.argsort(key)
+        key = key[order]
     out = np.empty(len(key), np.int64)
-    out[order] = new
+    out[order] = np.append(0, np.cumsum(key[1:] != key[:-1]))
     return out
 
 
 def _common(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Length of the common prefix of suffixes a and b, up to `length` and a bit."""
     n, out = len(levels[0][1]), np.zeros(len(a), np.int64)
-    for width, rank in [levels[-1], *reversed(levels)]:
+    for width, rank in [levels[-1], *[x for x in reversed(levels) for _ in range(2)]]:
         x, y = a + out, b + out
         fit = (x + width <= n) & (y + width <= n)
         same = np.zeros(len(a), bool)
@@ -128,20 +148,26 @@ def _nearest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def factors(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def factors(text: np.ndarray, length: int = LENGTH, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Longest previous and longest next factor of each suffix, exact up to
-    `length`; separators are symbols that occur once."""
+    `length`; separators are symbols that occur once. With `least` = `length`
+    shorter factors are left at 0, which saves measuring them."""
     n = len(text)
     levels = ranks(text, length)
     width, rank = levels[-1]
-    order = np.argsort(_joined(rank, length - width) if width < length else rank, kind="stable")
+    whole = _joined(rank, length - width) if width < length else rank
+    order = np.argsort(whole, kind="stable")
+    inside = np.arange(n) <= n - length
     out = []
     for places in (order, n - 1 - order):
         best = np.zeros(n, np.int64)
         for near in _nearest(places):
             has = (near >= 0) & (near < n)
             own, other = order[has], order[near[has]]
-            best[own] = np.maximum(best[own], _common(levels, own, other, length))
+            if least >= length:
+                best[own] = np.maximum(best[own], length * ((whole[own] == whole[other]) & inside[own] & inside[other]))
+            else:
+                best[own] = np.maximum(best[own], _common(levels, own, other, length))
         out.append(best)
     return out[0], out[1]
 
@@ -162,7 +188,7 @@ def judged_segments(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         symbols += [np.frombuffer(t, np.uint8).astype(np.int64), np.array([256 + i])]
         starts.append(at)
         at += len(t) + 1
-    previous, following = factors(np.concatenate(symbols))
+    previous, following = factors(np.concatenate(symbols), least=LENGTH)
     out = []
     for s, t in zip(starts, texts):
         strings = slice(s, s + len(t) - LENGTH + 1)
