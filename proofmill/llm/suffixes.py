@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from proofmill.llm.tables import written
 from proofmill.llm.words import _BASE, _UNDO, BYTE_CODES, _powers, chunks, mixed
 
-LENGTH, GRAM, PART, PIECE, BATCH_BYTES = 400, 64, 256, 1 << 20, 1 << 19
+LENGTH, GRAM, PART, PIECE, BATCH_BYTES = 400, 64, 1536, 1 << 20, 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
