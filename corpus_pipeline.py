@@ -33,7 +33,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest
     id. Rows without an id stay."""
     firsts = probminhash.classes(docs).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    rows = docs.join(firsts, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    rows = docs.join(firsts.hint("merge"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
     return rows.dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 

@@ -136,9 +136,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(texts: DataFrame) -> DataFrame:
     """(a, b): the members of each bucket with its leader, from (rep, bands)."""
-    opened = texts.select("rep", "bands", F.posexplode("bands").alias("_band", "bucket"))
+    opened = texts.select("rep", F.posexplode("bands").alias("_band", "bucket"))
     sizes = opened.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = opened.join(sizes, "bucket")
+    # joins that grow with the corpus shuffle at every size, so that small runs tell what large ones take
+    members = opened.join(sizes.hint("merge"), "bucket").join(texts.select("rep", "bands").hint("merge"), "rep")
     nth = lambda i: F.element_at("bands", ((F.col("_band") + i) % BANDS + 1).cast("int"))
     finer = F.array(*[F.xxhash64(F.lit(k), "bucket", *[nth(i) for i in range(1, k + 1)]) for k in range(SPLITS)])
     members = written(members.select("rep", "size", finer.alias("buckets")), "members")
@@ -161,9 +162,9 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = written(worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "texts")
     pairs = written(candidates(texts), "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = docs.select("doc_id", "text").join(wanted, "doc_id")
-    compared = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    held = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
+    compared = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
+        held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     links = compared.mapInArrow(_verified, "a long, b long")
     copies = worded.join(texts.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     # an id's own texts, a text's copies and the compared pairs all link

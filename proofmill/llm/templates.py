@@ -47,25 +47,29 @@ def recurring(docs: DataFrame) -> DataFrame:
     """(doc_id, version, places): the lines that go, for each text that loses any."""
     lines = written(_lines(docs).select("doc_id", "version", "place", _leaf().alias("leaf"), _body().alias("body")), "lines")
     # documents of each different line; a line repeated in a document counts once
-    counts = written(lines.select("leaf", "body", "doc_id").distinct().groupBy("leaf", "body").agg(
-        F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first")), "line-counts")
+    counts = written(lines.groupBy("leaf", "body", "doc_id").agg(F.min("version").alias("version"), F.min_by("place", F.struct("version", "place")).alias("place"))
+                     .groupBy("leaf", "body").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "version", "place")).alias("shown")), "line-counts")
     leaves = counts.groupBy("leaf").agg(F.sum("documents").alias("n"), F.count(F.lit(1)).alias("bodies"))
     mixed = written(leaves.filter((F.col("n") >= MIN_DOCUMENTS) & (F.col("bodies") > 1)).select("leaf"), "leaves")
     merged = written(_templates(docs, counts, mixed), "templates")
     alone = counts.join(mixed, "leaf", "left_anti").select("leaf", "body", "documents", "first")
     # exact counts where several lines make one template: a document with two of them counts once
-    by_template = (lines.join(mixed, "leaf", "left_semi").select("leaf", "body", "doc_id").distinct().join(merged, ["leaf", "body"])
+    by_template = (lines.join(mixed.hint("merge"), "leaf", "left_semi").select("leaf", "body", "doc_id").distinct().join(merged, ["leaf", "body"])
                    .select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first")))
     together = merged.join(by_template, ["leaf", "template"]).select("leaf", "body", "documents", "first")
     often = written(alone.unionByName(together).filter(F.col("documents") >= MIN_DOCUMENTS).select("leaf", "body", "first"), "recurring")
-    gone = lines.join(often, ["leaf", "body"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    gone = lines.join(often.hint("merge"), ["leaf", "body"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "version").agg(F.collect_set("place").alias("places"))
 
 
 def _templates(docs: DataFrame, counts: DataFrame, leaves: DataFrame) -> DataFrame:
     """(leaf, body, template) for the different lines of the given leaves."""
-    texts = (_lines(docs).withColumn("leaf", _leaf()).join(leaves, "leaf", "left_semi").withColumn("body", _body())
-             .groupBy("leaf", "body").agg(F.any_value("words").alias("words")))
+    shown = counts.join(leaves, "leaf", "left_semi").select("shown.*")
+    wanted = shown.groupBy("doc_id", "version").agg(F.collect_set("place").alias("places")).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
+    # joins that grow with the corpus shuffle at every size, so that small runs tell what large ones take
+    held = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")))
+    lines = held.select("places", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).filter(F.array_contains("places", F.col("place")))
+    texts = lines.select(_words(F.col("line")).alias("words")).select("words", _leaf().alias("leaf"), _body().alias("body")).dropDuplicates(["leaf", "body"])
     places = texts.join(counts.select("leaf", "body", "documents"), ["leaf", "body"]).select("leaf", "body", "documents", F.posexplode("words").alias("at", "word"))
     constant = places.groupBy("leaf", "at", "word").agg(F.sum("documents").alias("n")).filter(F.col("n") >= MIN_DOCUMENTS).select("leaf", "at", "word", F.lit(True).alias("fixed"))
     marked = places.join(constant, ["leaf", "at", "word"], "left").withColumn("fixed", F.col("fixed").isNotNull() & (F.col("word") != ANY))
@@ -83,7 +87,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     document of its own, sorted last. Blank lines stay.
     """
     gone = recurring(docs).withColumnsRenamed({"doc_id": "_id", "version": "_version"})
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("places", i)), "\n")
     dropped = F.coalesce(F.size("places"), F.lit(0)).cast("long")
