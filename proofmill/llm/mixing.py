@@ -54,7 +54,7 @@ def _drawn(total: Column, own: Column, taken: Column, chance: Column) -> Column:
     """How many of `taken` draws without replacement from `total` blocks fall on
     `own` of them, at the quantile `chance`. Terms over 12 deviations from the
     middle are below rounding and left out."""
-    n, k, m = total.cast("double"), own.cast("double"), taken.cast("double")
+    n, k, m = F.greatest(total, F.lit(1)).cast("double"), own.cast("double"), taken.cast("double")
     middle = F.floor((m + 1) * (k + 1) / (n + 2))
     width = F.ceil(12 * F.sqrt(F.greatest(F.lit(0.0), m * (k / n) * (1 - k / n) * (n - m) / F.greatest(n - 1, F.lit(1.0))))) + 2
     low = F.greatest(F.lit(0), taken - (total - own), middle - width).cast("long")
@@ -70,7 +70,7 @@ def _drawn(total: Column, own: Column, taken: Column, chance: Column) -> Column:
     passed = F.aggregate(terms, F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"), (chance * whole).alias("goal")),
                          lambda a, x: F.struct(following(a["w"], x).alias("w"), (a["s"] + a["w"]).alias("s"),
                                                (a["c"] + F.when(a["s"] + a["w"] < a["goal"], 1).otherwise(0)).alias("c"), a["goal"].alias("goal")), lambda a: a["c"])
-    return F.when((n <= 0) | (low >= high), low).otherwise(F.least(low + passed, high))
+    return F.when(low >= high, low).otherwise(F.least(low + passed, high))
 
 
 def shard_quotas(quotas: DataFrame, levels: int = LEVELS, seed: str = SEED) -> DataFrame:
