@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# keys and indexes only, what a variant path can hold
-_PATH = "^\\$(\\.[A-Za-z_][A-Za-z0-9_-]*|\\[[0-9]+\\]|\\['[^'\\]]+'\\])*$"
+# keys and indexes only, what a variant path can hold; an index is an int
+_PATH = "^\\$(\\.[A-Za-z_][A-Za-z0-9_-]*|\\[[0-9]{1,9}\\]|\\['[^'\\]]+'\\])*$"
 _FENCE = "(?s)\\A\\s*```[A-Za-z]*[ \\t]*\\n(.*?)\\n?[ \\t]*```\\s*\\z"
 
 

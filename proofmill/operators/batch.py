@@ -388,7 +388,10 @@ def roll_up_batches(judged: DataFrame, runs: DataFrame, trial: bool = False) ->
               .when((c("checks_applicable") > 0) & (c("n_none") == c("checks_applicable")), "NotRan")
               .when(c("n_fail") > 0, "Failed")
               .when(c("n_pass") == c("checks_applicable"), "Passed").otherwise("Inconclusive"))
-    return ran.join(tally, "batch_id").withColumn("status", status).drop("nothing_ran")
+    # a batch without checks has a status too
+    counts = [x for x in tally.columns if x.startswith(("checks_", "n_"))]
+    whole = ran.join(tally, "batch_id", "left").fillna(0, counts).fillna(False, ["stopped"])
+    return whole.withColumn("status", status).drop("nothing_ran")
 
 
 def entry_outcomes(run_outcomes: DataFrame) -> DataFrame:

@@ -38,15 +38,19 @@ def outcome(df: DataFrame, error: Column, passed: Column, miss: Column, score: C
         "errored": failed}).drop("_error", "_passed", "_miss", "_score")
 
 
+_NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$"
+
+
 def threshold_columns(score: Column) -> tuple[Column, Column, Column]:
     """(error, passed, miss) of a four-decimal score against its threshold, in
     the direction the catalogue row declares; equality passes."""
     raw = F.col("config")["threshold"]
-    number = raw.try_cast("double")
+    number = F.when(strip(raw).rlike(_NUMBER), strip(raw).try_cast("double"))
     error = (F.when(F.col("reference").isNull(), "no_reference")
              .when(raw.isNull() | (strip(raw) == ""), "no_threshold").when(number.isNull(), "threshold_not_number")
              .when(F.col("comparison").isNull() | ~F.col("comparison").isin("gte", "lte"), "no_comparison"))
-    passed = F.when(F.col("comparison") == "gte", score >= number).otherwise(score <= number)
+    # NaN compares false either way; Spark alone would order it above all numbers
+    passed = ~F.isnan(number) & F.when(F.col("comparison") == "gte", score >= number).otherwise(score <= number)
     miss = F.when(F.col("comparison") == "gte", "below_threshold").otherwise("above_threshold")
     return error, passed, miss
 

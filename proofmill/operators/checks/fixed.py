@@ -63,9 +63,11 @@ def contains_columns(case_sensitive=None, negate=None, lookalikes=None, plain=Fa
 
 # Patterns both regex dialects read alike and that cannot backtrack badly:
 # plain characters, classes, escapes and anchors, each with at most one
-# quantifier; flat groups without one. Everything else goes to Python.
-_ATOM = ("(?:[^\\\\\\[\\](){}*+?|^$.]|\\.|\\\\[dDwWsSbB.\\\\\\[\\](){}*+?|^$/-]|\\[\\^?(?:[A-Za-z0-9 _.,:;!@#%&=/'\"<>~-]"
-         "|\\\\[dws.\\]\\[-])+\\])(?:(?:[*+?]|\\{[0-9]{1,3}(?:,[0-9]{0,3})?\\})\\??)?")
+# quantifier; flat groups without one. Classes hold single characters and the
+# usual ranges: the dialects part over && and -- and over ranges that run
+# backwards. Everything else goes to Python, which also finds what is invalid.
+_ATOM = ("(?:[^\\\\\\[\\](){}*+?|^$.]|\\.|\\\\[dDwWsSbB.\\\\\\[\\](){}*+?|^$/-]|\\[\\^?(?:a-z|A-Z|0-9|a-f|A-F|[A-Za-z0-9 _.,:;!@#%=/'\"<>~](?!-)"
+         "|\\\\[dws.\\]\\[-])+\\])(?:(?:[*+?]|\\{[0-9]{1,3},?\\})\\??)?")
 _PORTABLE = (f"^(?:\\(\\?i\\))?\\^?(?:{_ATOM}|\\((?:\\?:)?(?:{_ATOM}|\\|)*\\)){{1,60}}"
              f"(?:\\|(?:{_ATOM}){{1,40}})?\\$?$")
 

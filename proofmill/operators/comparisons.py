@@ -265,6 +265,12 @@ def compare_ranks(scores: DataFrame, keys: list[str], confidence: float) -> Data
 
 # ── every pair at once ───────────────────────────────────────────────────────
 
+def _exact_only(value):
+    """The function below runs for every row, whatever branch its result is
+    used in: rows that take the normal tail hand it nothing to count."""
+    return F.coalesce(F.when(F.col("wilcoxon_method") == "exact", value), F.lit(0)).cast("long")
+
+
 def compare_paired(pairs: DataFrame, keys: list[str], confidence: float) -> DataFrame:
     """One verdict over all (entry, check) pairs: the paired t-test on rate
     differences, and Wilcoxon's signed ranks beside it. `pairs` has keys,
@@ -299,7 +305,7 @@ def compare_paired(pairs: DataFrame, keys: list[str], confidence: float) -> Data
            .withColumn("_v", n * (n + 1) * (2 * n + 1) / 24 - c("_ties") / 48)
            .withColumn("p_wilcoxon", F.when(~enough, None).when(n == 0, 1.0)
                        .when(c("wilcoxon_method") == "exact", F.least(F.lit(1.0), 2 * _signed_tail_udf(
-                           F.coalesce(c("statistic"), F.lit(0.0)).cast("long"), F.coalesce(F.least("n_ranked", F.lit(50)), F.lit(0)))))
+                           _exact_only(c("statistic")), _exact_only(c("n_ranked")))))
                        .when(c("_v") <= 0, 1.0)
                        .otherwise(F.least(F.lit(1.0), 2 * N.normal_above(F.abs((c("statistic") - n * (n + 1) / 4) / F.sqrt("_v"))))))
            .withColumn("agrees", (c("p_wilcoxon") <= 1 - confidence) == (c("verdict") != "no_difference")))

@@ -272,17 +272,16 @@ def resolve_scope(entries: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def estimate_cost(scope_entries: DataFrame, types: DataFrame, times: int) -> DataFrame:
-    """Runs and calls per time and in all, with times capped to what a batch
-    may create."""
+    """Runs and calls per time and in all for the times asked for. A count no
+    batch may have is named in `problem` and never lowered."""
     judge = types.filter(F.col("engine") == JUDGE_ENGINE).select(F.col("name").alias("_name"), F.lit(1).alias("_judge"))
     checks = scope_entries.select("scope_kind", "scope_id", "entry_id", F.col("model_output").isNull().alias("_asks"),
                                   F.explode_outer("assignments.name").alias("_name")).join(judge, "_name", "left")
     per_entry = checks.groupBy("scope_kind", "scope_id", "entry_id").agg(F.first("_asks").alias("_asks"), F.count("_judge").alias("_judges"))
     per = per_entry.groupBy("scope_kind", "scope_id").agg(
         F.count(F.lit(1)).alias("runs_per_time"), F.count_if("_asks").alias("application_per_time"), F.sum("_judges").alias("judge_per_time"))
-    most = F.floor(F.lit(MAX_RUNS) / F.col("runs_per_time"))
-    capped = F.least(F.lit(min(times, MAX_TIMES)), most)
-    return per.withColumn("times", capped.cast("long")).withColumn("capped", F.col("times") < times).withColumns({
+    problem = F.when(F.lit(times > MAX_TIMES), "too_many_times").when(F.col("runs_per_time") * times > MAX_RUNS, "too_many_runs")
+    return per.withColumn("times", F.lit(times).cast("long")).withColumn("problem", problem).withColumns({
         "runs_total": F.col("times") * F.col("runs_per_time"), "application_total": F.col("times") * F.col("application_per_time"),
         "judge_total": F.col("times") * F.col("judge_per_time")})
 

@@ -101,7 +101,7 @@ def does_not_contain_checks(spark, sf):
     return fixed.check_contains(_needles(spark, sf), case_sensitive=False, negate=True, lookalikes=False).select(*RES)
 
 
-_PAT = "CASE lang WHEN 'en' THEN '[A-Z][a-z]+ the [a-z]+' WHEN 'fr' THEN '(?i)EAU(x|s)' WHEN 'de' THEN '(' ELSE '(?P<w>que) [a-z]+' END"
+_PAT = "CASE lang WHEN 'en' THEN '[A-Z][a-z]+ the [a-z]+' WHEN 'fr' THEN '(?i)EAU(x|s)' WHEN 'de' THEN elt(1 + run_id % 4, '(', '[z-a]', 'a{3,1}', '[a--z]') ELSE CASE WHEN run_id % 2 = 0 THEN '[a&&b]' ELSE '(?P<w>que) [a-z]+' END END"
 
 
 def _patterned(spark, sf):
@@ -110,7 +110,7 @@ def _patterned(spark, sf):
     return _checks(d, f"'pattern', {_PAT}")
 
 
-_PAT_OK = f"CASE WHEN lang = 'de' THEN NULL ELSE {{}}(text, CASE lang WHEN 'en' THEN '[A-Z][a-z]+ the [a-z]+' WHEN 'fr' THEN '(?i)EAU(x|s)' ELSE '(?P<w>que) [a-z]+' END) END"
+_PAT_OK = f"CASE WHEN lang = 'de' THEN NULL ELSE {{}}(text, CASE lang WHEN 'en' THEN '[A-Z][a-z]+ the [a-z]+' WHEN 'fr' THEN '(?i)EAU(x|s)' ELSE CASE WHEN run_id % 2 = 0 THEN '[a&&b]' ELSE '(?P<w>que) [a-z]+' END END) END"
 _PT = "(SELECT doc_id AS run_id, 're' AS label, text, lang FROM documents)"
 
 
@@ -182,9 +182,9 @@ def character_limits(spark, sf):
 
 
 @query("threshold_rule", """
-SELECT run_id, label, coalesce(e IS NULL AND CASE WHEN cmp = 'gte' THEN s >= 0.5 ELSE s <= 0.5 END, false) AS passed,
+SELECT run_id, label, coalesce(e IS NULL AND run_id % 7 > 0 AND CASE WHEN cmp = 'gte' THEN s >= 0.5 ELSE s <= 0.5 END, false) AS passed,
   CASE WHEN e IS NULL THEN s END AS score, CASE WHEN e IS NOT NULL THEN e
-    WHEN NOT CASE WHEN cmp = 'gte' THEN s >= 0.5 ELSE s <= 0.5 END THEN CASE WHEN cmp = 'gte' THEN 'below_threshold' ELSE 'above_threshold' END END AS detail,
+    WHEN run_id % 7 = 0 OR NOT CASE WHEN cmp = 'gte' THEN s >= 0.5 ELSE s <= 0.5 END THEN CASE WHEN cmp = 'gte' THEN 'below_threshold' ELSE 'above_threshold' END END AS detail,
   e IS NOT NULL AS errored
 FROM (SELECT event_id AS run_id, 'score' AS label, round(value / 100, 4) AS s,
   CASE WHEN event_type = 'signup' THEN 'lte' WHEN event_type = 'error' THEN NULL ELSE 'gte' END AS cmp,
@@ -193,7 +193,7 @@ def threshold_rule(spark, sf):
     e = world.table(spark, sf, "events").select(
         F.col("event_id").alias("run_id"), F.lit("score").alias("label"), F.lit("").alias("answer"), F.lit("").alias("reference"),
         (F.col("value") / 100).alias("raw_score"), "event_type",
-        F.expr("map('threshold', CASE event_type WHEN 'view' THEN 'high' WHEN 'click' THEN ' ' ELSE '0.5' END)").alias("config"),
+        F.expr("map('threshold', CASE WHEN event_type = 'view' THEN if(event_id % 2 = 0, 'high', '0.5d') WHEN event_type = 'click' THEN ' ' WHEN event_id % 7 = 0 THEN 'NaN' ELSE '0.5' END)").alias("config"),
         F.expr("CASE WHEN event_type = 'signup' THEN 'lte' WHEN event_type = 'error' THEN NULL ELSE 'gte' END").alias("comparison"))
     return against_threshold(e).select(*RES)
 

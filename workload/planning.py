@@ -294,8 +294,8 @@ def resolved_scopes(spark, sf):
 
 
 @query("batch_costs", """
-SELECT scope_kind, scope_id, r AS runs_per_time, a AS application_per_time, r AS judge_per_time, t AS times, t < 600 AS capped, t * r AS runs_total, t * a AS application_total, t * r AS judge_total
-FROM (SELECT scope_kind, scope_id, count(*) AS r, count(*) FILTER (WHERE model_output IS NULL) AS a, least(600, 10000 // count(*)) AS t FROM scoped GROUP BY 1, 2)""", ["scoped"])
+SELECT scope_kind, scope_id, r AS runs_per_time, a AS application_per_time, r AS judge_per_time, t AS times, CASE WHEN r * t > 10000 THEN 'too_many_runs' END AS problem, t * r AS runs_total, t * a AS application_total, t * r AS judge_total
+FROM (SELECT scope_kind, scope_id, count(*) AS r, count(*) FILTER (WHERE model_output IS NULL) AS a, 600::BIGINT AS t FROM scoped GROUP BY 1, 2)""", ["scoped"])
 def batch_costs(spark, sf):
     return P.estimate_cost(_scoped(spark, sf), check_types(spark), 600)
 
