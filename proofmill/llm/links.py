@@ -58,9 +58,9 @@ def seeds(judged: DataFrame) -> DataFrame:
     scaled to sum to one over all hosts."""
     by = judged.filter("rule is not null").groupBy("host").agg(
         F.avg((F.col("verdict") == "allow").cast("double")).alias("good"), F.avg((F.col("verdict") == "block").cast("double")).alias("bad"))
-    total = by.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return by.join(F.broadcast(total)).select("host", share("good", "all_good").alias("trust"), share("bad", "all_bad").alias("distrust"))
+    total = by.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()  # two numbers
+    share = lambda c: F.col(c) / total[c] if total[c] else F.lit(0.0)
+    return by.select("host", share("good").alias("trust"), share("bad").alias("distrust"))
 
 
 def spread_trust(links: DataFrame, start: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -263,7 +263,8 @@ def repeats(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     told = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = written(told.mapInArrow(_anchored, f"doc_id {kind}, version long, gram long, segment long, first long, last long"), "anchors")
-    often = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # as a table of its own: a join that follows its grouping could not split a hot gram
+    often = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "grams")
     live = written(rows.join(often, "gram"), "live")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "version", "first", "last")
     distinct = written(live.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")), "segments")
