@@ -454,23 +454,34 @@ def status_counts(prefix: str = "") -> list[Column]:
             for s in ("Pending", "Running", "Green", "Amber", "Red", "NotRan")]
 
 
-def batch_progress(runs: DataFrame) -> DataFrame:
-    """Runs by status, times done (no run open) and times wholly cancelled, and
-    calls finished and in flight, from two grouped counts. Reads `asks_app`
-    (0/1: the run asks the application) and `judge_checks` (judge calls)."""
+STOP_REASON = "Stopped before it ran: the batch was stopped"  # fixed value: the error of a run that a stop cancelled
+
+
+def batch_progress(runs: DataFrame, plans: DataFrame) -> DataFrame:
+    """Runs by status, done and cancelled; times done (no run open) and times
+    wholly cancelled by a stop; calls planned, finished and in flight.
+
+    A run is cancelled when it did not run and its error is the stop's. Only
+    Running runs have calls in flight. An ended run that no stop cancelled asked
+    the application; its judge calls count unless it is NotRan. `runs`: status,
+    error, `asks_app` (0/1) and `judge_checks`; `plans`: batch_id,
+    times_requested, app_per_time, judge_per_time.
+    """
+    cancelled = (F.col("status") == "NotRan") & F.col("error").eqNullSafe(F.lit(STOP_REASON))
+    running = F.col("status") == "Running"
+    calls = {"app_done": (~_open() & ~cancelled, "asks_app"), "app_open": (running, "asks_app"),
+             "judge_done": (~_open() & (F.col("status") != "NotRan"), "judge_checks"), "judge_open": (running, "judge_checks")}
     by_time = runs.groupBy("batch_id", "batch_index").agg(
-        *status_counts("_"), F.count(F.lit(1)).alias("_runs"), F.bool_or(_open()).alias("_open"),
-        F.bool_and(F.col("status") == "NotRan").alias("_cancelled"),
-        F.sum(F.when(~_open() & (F.col("status") != "NotRan"), F.col("asks_app")).otherwise(0)).alias("_app_done"),
-        F.sum(F.when(_open(), F.col("asks_app")).otherwise(0)).alias("_app_open"),
-        F.sum(F.when(~_open() & (F.col("status") != "NotRan"), F.col("judge_checks")).otherwise(0)).alias("_judge_done"),
-        F.sum(F.when(_open(), F.col("judge_checks")).otherwise(0)).alias("_judge_open"))
-    return by_time.groupBy("batch_id").agg(
-        F.sum("_runs").alias("runs"),
+        *status_counts("_"), F.count(F.lit(1)).alias("_runs"), F.bool_or(_open()).alias("_open"), F.count_if(~_open()).alias("_done"),
+        F.count_if(cancelled).alias("_cancelled"), *[F.sum(F.when(when, F.col(c)).otherwise(0)).alias(f"_{n}") for n, (when, c) in calls.items()])
+    counted = by_time.groupBy("batch_id").agg(
+        F.sum("_runs").alias("runs"), F.sum("_done").alias("runs_done"), F.sum("_cancelled").alias("runs_cancelled"),
         *[F.sum(f"_{s}").alias(s) for s in ("pending", "running", "green", "amber", "red", "notran")],
         F.count_if(~F.col("_open")).alias("times_done"),
-        F.count_if(F.col("_cancelled")).alias("times_cancelled"),
-        *[F.sum(f"_{c}").alias(c) for c in ("app_done", "app_open", "judge_done", "judge_open")])
+        F.count_if(F.col("_cancelled") == F.col("_runs")).alias("times_cancelled"),
+        *[F.sum(f"_{c}").alias(c) for c in calls])
+    planned = plans.select("batch_id", "times_requested", *[(F.col(f"{c}_per_time") * F.col("times_requested")).alias(f"{c}_planned") for c in ("app", "judge")])
+    return counted.join(planned, "batch_id", "left")
 
 
 def live_status(runs: DataFrame, batches: DataFrame) -> DataFrame:

@@ -21,6 +21,9 @@ GOAL = 0.9
 WITHIN = 0.05
 LIKELY = 0.9
 TARGET_STEP = 0.05
+CONFIDENCE_STEPS = (0.999, 0.99, 0.95, 0.9, 0.85, 0.8)
+LEAST_GAIN = 0.005  # what a change must add to the best chance to be worth a mention
+LEAST_UNDECIDED = 0.05  # below it every check is almost sure to be told
 SCORE_SIZES = (10, 15, 20, 25, 30, 40, 50, 60, 75, 100, 125, 150, 200, 250, 300, 400, 500, 600, 750, 1000)
 
 
@@ -94,9 +97,12 @@ def _passes_at_least(k: Column, n: Column, passed: Column, failed: Column) -> Co
 def answer_chance(history: DataFrame, rules: DataFrame) -> DataFrame:
     """The chance that n runs pass, fail or stay undecided, for each distinct
     (passed, failed, target) of `history` at each rule size. Histories hold at
-    most 200 runs, so distinct shapes are few however many checks there are."""
-    shapes = history.select("passed", "failed", "target").distinct()
-    at = spread(shapes.join(rules, "target"))
+    most 200 runs, so distinct shapes are few however many checks there are.
+    No history counts as none passed and none failed. Where scopes mix targets
+    the rules come from `size_grid`."""
+    none = {"passed": 0, "failed": 0}
+    shapes = history.select("passed", "failed", "target").fillna(none).distinct()
+    at = spread(shapes.join(rules if "peak" in rules.columns else rules.withColumn("peak", F.lit(True)), "target"))
     def from_(k):
         return _passes_at_least(k, F.col("n"), F.col("passed"), F.col("failed"))
     passes = F.when(F.col("pass_at_least").isNull(), 0.0).otherwise(from_(F.col("pass_at_least")))
@@ -129,6 +135,15 @@ def sizes(rules: DataFrame) -> DataFrame:
     return runs_allowing(rules).select("target", "n")
 
 
+def size_grid(rules: DataFrame) -> DataFrame:
+    """The rules of every target at every size that is a peak of any of them;
+    `peak` says of which. A scope is planned at the peaks of its own targets,
+    and there every check of it needs its chance."""
+    peaks = sizes(rules).withColumn("_peak", F.lit(True))
+    at = rules.join(peaks.select("n").distinct(), "n").join(peaks, ["target", "n"], "left")
+    return at.withColumn("peak", F.col("_peak").isNotNull()).drop("_peak")
+
+
 def score_sizes(floor: int, limit: int) -> tuple[int, ...]:
     return tuple(sorted({n for n in (floor, *SCORE_SIZES) if floor <= n <= limit}))
 
@@ -136,21 +151,24 @@ def score_sizes(floor: int, limit: int) -> tuple[int, ...]:
 # ── the plan of a batch ──────────────────────────────────────────────────────
 
 def _shapes(checks: DataFrame) -> DataFrame:
-    """Equal checks of a scope counted once: scope_id, passed, failed, target, m."""
-    return checks.filter(~F.col("certain")).groupBy("scope_id", "passed", "failed", "target").agg(F.count(F.lit(1)).alias("m"))
+    """Equal checks of a scope counted once: scope_id, passed, failed, target, certain, m."""
+    return checks.fillna({"passed": 0, "failed": 0}).groupBy("scope_id", "passed", "failed", "target", "certain").agg(F.count(F.lit(1)).alias("m"))
 
 
-def _logs(shaped: DataFrame, chances: DataFrame, extra: list[str] = []) -> DataFrame:
-    """Per (scope, size): the log of the product of answer chances, zeros apart."""
-    at = shaped.join(chances, ["passed", "failed", "target"])
-    return at.groupBy("scope_id", *extra, "n").agg(
+def _logs(shaped: DataFrame, chances: DataFrame) -> DataFrame:
+    """Per (scope, size): the log of the product of answer chances, zeros apart,
+    and for how many checks the size is a peak. A certain check is answered."""
+    at = shaped.join(chances, ["passed", "failed", "target"]).withColumn("answer", F.when(F.col("certain"), 1.0).otherwise(F.col("answer")))
+    return at.groupBy("scope_id", "n").agg(
         F.sum(F.when(F.col("answer") > 0, F.col("m") * F.ln("answer")).otherwise(0.0)).alias("log"),
-        F.sum(F.when(F.col("answer") > 0, 0).otherwise(F.col("m"))).alias("zeros"))
+        F.sum(F.when(F.col("answer") > 0, 0).otherwise(F.col("m"))).alias("zeros"),
+        F.sum(F.when(F.col("peak"), F.col("m")).otherwise(0)).alias("peaks"))
 
 
 def odds_curve(checks: DataFrame, chances: DataFrame) -> DataFrame:
-    """(scope_id, n, chance): the chance every check gets an answer."""
-    return _logs(_shapes(checks), chances).select("scope_id", "n", F.when(F.col("zeros") > 0, 0.0).otherwise(F.exp("log")).alias("chance"))
+    """(scope_id, n, chance): the chance every check gets an answer, at every
+    size that is a peak of one of the scope's targets."""
+    return _logs(_shapes(checks), chances).filter("peaks > 0").select("scope_id", "n", F.when(F.col("zeros") > 0, 0.0).otherwise(F.exp("log")).alias("chance"))
 
 
 def plan(curve: DataFrame, keys: list[str] = ["scope_id"]) -> DataFrame:
@@ -170,18 +188,29 @@ def plan(curve: DataFrame, keys: list[str] = ["scope_id"]) -> DataFrame:
 
 def outcome_split(checks: DataFrame, chances: DataFrame, planned: DataFrame) -> DataFrame:
     """How a batch of each scope's planned size would most likely end, and the
-    check most likely to stay undecided (none when all are almost sure)."""
+    check most likely to stay undecided (none when all are almost sure). A
+    certain check ends as its history mostly did; there is no split while one
+    has no history."""
     at = _shapes(checks).join(planned.select("scope_id", F.col("times").alias("n")), "scope_id").join(chances, ["passed", "failed", "target", "n"])
+    sure, runs = F.col("certain"), F.col("passed_runs") + F.col("failed_runs")
+    at = at.withColumnsRenamed({"passed": "passed_runs", "failed": "failed_runs"})
+    lost = F.col("passed_runs") * 2 < runs
+    at = (at.withColumn("passes", F.when(sure, F.when(lost, 0.0).otherwise(1.0)).otherwise(F.col("passes")))
+          .withColumn("fails", F.when(sure, F.when(lost, 1.0).otherwise(0.0)).otherwise(F.col("fails")))
+          .withColumn("undecided", F.when(sure, 0.0).otherwise(F.col("undecided"))))
     def product(c):
         zero = F.sum(F.when(c > 0, 0).otherwise(F.col("m")))
         return F.when(zero > 0, 0.0).otherwise(F.exp(F.sum(F.when(c > 0, F.col("m") * F.ln(c)).otherwise(0.0))))
+    shape = F.struct(F.col("passed_runs").alias("passed"), F.col("failed_runs").alias("failed"), "target")
     split = at.groupBy("scope_id", "n").agg(product(F.col("passes")).alias("passed"), (1 - product(1 - F.col("fails"))).alias("failed"),
-                                            F.max(F.struct("undecided", *[F.struct("passed", "failed", "target").alias("shape")])).alias("_u"))
-    first = checks.filter(~F.col("certain")).groupBy("scope_id", "passed", "failed", "target").agg(F.min("label").alias("likely_undecided"))
+                                            F.bool_or(sure & (runs == 0)).alias("_unseen"), F.max(F.struct("undecided", shape.alias("shape"))).alias("_u"))
+    first = checks.filter(~F.col("certain")).fillna({"passed": 0, "failed": 0}).groupBy("scope_id", "passed", "failed", "target").agg(F.min("label").alias("likely_undecided"))
     first = first.select(F.col("scope_id").alias("_s"), F.struct("passed", "failed", "target").alias("_shape"), "likely_undecided")
     out = split.join(first, (F.col("scope_id") == F.col("_s")) & (F.col("_u.shape") == F.col("_shape")), "left")
-    return out.select("scope_id", "n", "passed", "failed", F.greatest(F.lit(0.0), 1 - F.col("passed") - F.col("failed")).alias("inconclusive"),
-                      F.when(F.col("_u.undecided") >= 0.05, F.col("likely_undecided")).alias("likely_undecided"))
+    seen = lambda c: F.when(~F.col("_unseen"), c)
+    return out.select("scope_id", "n", seen(F.col("passed")).alias("passed"), seen(F.col("failed")).alias("failed"),
+                      seen(F.greatest(F.lit(0.0), 1 - F.col("passed") - F.col("failed"))).alias("inconclusive"),
+                      F.when(F.col("_u.undecided") >= LEAST_UNDECIDED, F.col("likely_undecided")).alias("likely_undecided"))
 
 
 def outlook(checks: DataFrame) -> DataFrame:
@@ -200,64 +229,89 @@ def lower_targets(target: Column, minimum: float) -> Column:
     return F.filter(steps, lambda t: t >= minimum - 1e-9)
 
 
+def less_sure(confidence: float, minimum: float) -> float | None:
+    """The next lower level of confidence a batch may ask for."""
+    return next((c for c in CONFIDENCE_STEPS if minimum - 1e-9 <= c < confidence - 1e-9), None)
+
+
+def _helping(changed: DataFrame, planned: DataFrame) -> DataFrame:
+    """Changed plans that reach the goal with fewer runs, reach it where
+    nothing did, or raise the best chance."""
+    found = planned.select("scope_id", F.col("reaches").alias("_reaches"), F.col("best_chance").alias("_best"))
+    helps = F.when(F.col("reaches").isNotNull(), F.col("_reaches").isNull() | (F.col("reaches") < F.col("_reaches"))).otherwise(
+        F.col("_reaches").isNull() & (F.col("best_chance") > F.col("_best") + LEAST_GAIN))
+    return changed.join(found, "scope_id").filter(helps).drop("_reaches", "_best")
+
+
+def less_sure_options(checks: DataFrame, chances: DataFrame, planned: DataFrame, confidence: float) -> DataFrame:
+    """Scopes that a lower confidence helps; `chances` are those at `confidence`."""
+    return _helping(plan(odds_curve(checks, chances)), planned).select(
+        "scope_id", F.lit("less_sure").alias("kind"), F.lit(confidence).alias("new_confidence"), "reaches", "best_chance", "times", "chance")
+
+
 def cheaper_options(checks: DataFrame, chances: DataFrame, planned: DataFrame, minimum: float = 0.5) -> DataFrame:
     """Changes to one kind of check that help: a lower target for one check, or
-    leaving one out. Kept only when they reach the goal with fewer runs, reach
-    it where nothing did, or raise the best chance.
+    leaving one out.
 
-    `chances` must hold every lower target too. A changed scope is its total
-    minus the check plus the changed check, so no scope is built again; equal
-    checks of a scope give one option.
+    `chances` must hold every lower target too (`size_grid`). A changed scope is
+    its total minus the check plus the changed check, so no scope is built
+    again; equal checks of a scope give one option.
     """
     shaped = _shapes(checks)
     totals = _logs(shaped, chances)
     many = F.sum("m").over(W.partitionBy("scope_id"))
     # options are distinct shapes of a scope (bounded by the history limit), not its checks
-    base = shaped.withColumn("_checks", many)
-    own = chances.select("passed", "failed", F.col("target").alias("_t"), "n", F.col("answer").alias("_new"))
-    mine = chances.select("passed", "failed", "target", "n", F.col("answer").alias("_old"))
+    base = shaped.withColumn("_checks", many).filter(~F.col("certain"))
+    own = chances.select("passed", "failed", F.col("target").alias("_t"), "n", F.col("answer").alias("_new"), F.col("peak").alias("_new_peak"))
+    mine = chances.select("passed", "failed", "target", "n", F.col("answer").alias("_old"), F.col("peak").alias("_old_peak"))
     lowered = base.withColumn("_t", F.explode(lower_targets(F.col("target"), minimum))).withColumn("kind", F.lit("lower_target"))
     left = base.filter("_checks > 1").withColumn("_t", F.col("target")).withColumn("kind", F.lit("leave_out"))
     options = lowered.unionByName(left)
     points = (options.join(mine, ["passed", "failed", "target"]).join(totals, ["scope_id", "n"]).join(own, ["passed", "failed", "_t", "n"]))
+    lower = F.col("kind") == "lower_target"
+    points = points.filter((F.col("peaks") > F.col("_old_peak").cast("int")) | (lower & F.col("_new_peak")))
     zeros = F.col("zeros") - F.when(F.col("_old") > 0, 0).otherwise(1)
     log = F.col("log") - F.when(F.col("_old") > 0, F.ln("_old")).otherwise(0.0)
-    new = F.when(F.col("kind") == "leave_out", 1.0).otherwise(F.col("_new"))
+    new = F.when(lower, F.col("_new")).otherwise(1.0)
     chance = F.when((zeros > 0) | (new <= 0), 0.0).otherwise(F.exp(log + F.ln(new)))
     keys = ["scope_id", "kind", "passed", "failed", "target", "_t"]
     changed = plan(points.select(*keys, "n", chance.alias("chance")), keys)
-    found = planned.select("scope_id", F.col("reaches").alias("_reaches"), F.col("best_chance").alias("_best"))
-    helps = F.when(F.col("reaches").isNotNull(), F.col("_reaches").isNull() | (F.col("reaches") < F.col("_reaches"))).otherwise(
-        F.col("_reaches").isNull() & (F.col("best_chance") > F.col("_best") + 0.005))
-    return changed.join(found, "scope_id").filter(helps).select(
-        "scope_id", "kind", "passed", "failed", "target", F.when(F.col("kind") == "lower_target", F.col("_t")).alias("new_target"),
+    return _helping(changed, planned).select(
+        "scope_id", "kind", "passed", "failed", "target", F.when(lower, F.col("_t")).alias("new_target"),
         "reaches", "best_chance", "times", "chance")
 
 
 def fewest_left_out(checks: DataFrame, chances: DataFrame) -> DataFrame:
     """The fewest checks to leave out together, hardest first, for the rest to
-    reach the goal; one check at least stays. Per (scope, left_out, times).
+    reach the goal, in scopes that do not reach it whole; one check at least
+    stays, a certain one if there is any. Per (scope, left_out, times).
 
     Equal checks sit together in the order, so the running product goes over
     distinct shapes, and how many of the last shape go is one division.
     """
-    shaped = _shapes(checks)
-    alone = chances.groupBy("passed", "failed", "target").agg(F.max("answer").alias("_alone"))
+    every = _shapes(checks)
+    shaped = every.filter(~F.col("certain")).drop("certain")
+    alone = chances.filter("peak").groupBy("passed", "failed", "target").agg(F.max("answer").alias("_alone"))
     at = shaped.join(alone, ["passed", "failed", "target"]).join(chances, ["passed", "failed", "target"])
+    certain = every.filter("certain").join(chances.filter("peak"), ["passed", "failed", "target"]).select("scope_id", "n", F.lit(True).alias("_sure")).distinct()
     order = [F.col("_alone"), F.col("target"), F.col("passed"), F.col("failed")]
     rest = W.partitionBy("scope_id", "n").orderBy(*[o.desc() for o in order]).rowsBetween(W.unboundedPreceding, -1)
     all_of = W.partitionBy("scope_id", "n")
     log = F.when(F.col("answer") > 0, F.ln("answer")).otherwise(-1e9)
     placed = (at.withColumn("_log", log).withColumn("_easier", F.coalesce(F.sum(F.col("m") * F.col("_log")).over(rest), F.lit(0.0)))
-              .withColumn("_easier_n", F.coalesce(F.sum("m").over(rest), F.lit(0))).withColumn("_total", F.sum("m").over(all_of)))
+              .withColumn("_easier_n", F.coalesce(F.sum("m").over(rest), F.lit(0))).withColumn("_total", F.sum("m").over(all_of))
+              .withColumn("_easier_peak", F.coalesce(F.max("peak").over(rest), F.lit(False))))
     goal = math.log(GOAL)
     # of this shape, the most that may stay beside everything easier
     stay = F.when(F.col("_easier") < goal - 1e-12, -1).when(F.col("_log") >= -1e-15, F.col("m")).otherwise(
         F.least(F.col("m"), F.floor((goal - F.col("_easier")) / F.col("_log") + 1e-9)))
-    kept = placed.withColumn("_stay", stay).filter("_stay >= 0").withColumn("_kept", F.col("_easier_n") + F.col("_stay")).filter("_kept >= 1")
-    per_size = kept.groupBy("scope_id", "n").agg(F.max("_kept").alias("_kept"), F.first("_total").alias("_total"))
-    return per_size.groupBy("scope_id").agg(F.min(F.struct((F.col("_total") - F.col("_kept")).alias("left_out"), F.col("n").alias("times"))).alias("_b")) \
-        .select("scope_id", "_b.left_out", "_b.times")
+    kept = (placed.withColumn("_stay", stay).filter("_stay >= 0").withColumn("_kept", F.col("_easier_n") + F.col("_stay")).filter("_kept >= 1")
+            .join(certain, ["scope_id", "n"], "left").filter(F.col("_easier_peak") | (F.col("peak") & (F.col("_stay") > 0)) | F.col("_sure"))
+            .select("scope_id", "n", "_kept", "_total"))
+    # beside certain checks every other one may go
+    none = certain.join(shaped.groupBy("scope_id").agg(F.sum("m").alias("_total")), "scope_id").select("scope_id", "n", F.lit(0).cast("long").alias("_kept"), "_total")
+    fewest = F.min(F.struct((F.col("_total") - F.col("_kept")).alias("left_out"), F.col("n").alias("times")))
+    return kept.unionByName(none).groupBy("scope_id").agg(fewest.alias("_b")).select("scope_id", "_b.left_out", "_b.times").filter("left_out > 0")
 
 
 # ── cost and warnings ────────────────────────────────────────────────────────

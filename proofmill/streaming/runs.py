@@ -1,4 +1,5 @@
-"""The run life cycle as streams: newest state, progress, stale runs, waves.
+"""The run life cycle as streams: newest state, stale runs, waves; progress
+is counted from the table of newest states.
 
 Results leave through `to_table`: each micro-batch overwrites its own folder,
 so a replayed batch changes nothing, and a reader takes each key's newest row.
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.keyed import latest_per
+from ..schemas import RUN_STATUSES
 from ..session import shared_folder
 
 
@@ -44,12 +46,34 @@ def newest_rows(spark: SparkSession, folder: str, keys: list[str], schema) -> Da
     return latest_per(rows, keys, [F.desc("epoch")]).drop("epoch")
 
 
+RUN_STATE = "run_id long, batch_id string, status string, us long"
+
+
 def stream_run_state(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Newest status per run; a repeated event changes nothing, as the newest
-    by (time, event) is the same whichever copy is seen. Update mode."""
-    newest = F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id"))
-    return (events.withWatermark("ts", late).groupBy("run_id").agg(newest.alias("s"))
-            .select("run_id", F.col("s.status").alias("status"), F.col("s.ts").alias("ts")))
+    by (time, event) is the same whichever copy is seen. Update mode.
+
+    A run's state goes once the watermark reaches its newest event: any event
+    let in later is newer.
+    """
+    def newest(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = best = tuple(state.get) if state.exists else None
+        for part in parts:
+            top = part.sort_values(["us", "event_id"]).iloc[-1]
+            if best is None or (top["us"], top["event_id"]) > best[:2]:
+                best = (int(top["us"]), int(top["event_id"]), top["status"], top["batch_id"])
+        state.update(best)
+        state.setTimeoutTimestamp(max(best[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        if best != before:
+            yield pd.DataFrame({"run_id": [key[0]], "batch_id": [best[3]], "status": [best[2]], "us": [best[0]]})
+
+    rows = events.withWatermark("ts", late).select("run_id", "batch_id", "event_id", "status", "ts", F.unix_micros("ts").alias("us"))
+    out = rows.groupBy("run_id").applyInPandasWithState(newest, RUN_STATE, "us long, event_id long, status string, batch_id string",
+                                                        "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select("run_id", "batch_id", "status", F.timestamp_micros("us").alias("ts"))
 
 
 def claim_once(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -57,10 +81,9 @@ def claim_once(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "status"])
 
 
-def stream_progress(events: DataFrame) -> DataFrame:
-    """Runs by status per batch as they finish. Update mode."""
-    return events.groupBy("batch_id").agg(F.count(F.lit(1)).alias("runs"), *[
-        F.count_if(F.col("status") == s).alias(s.lower()) for s in ("Pending", "Green", "Amber", "Red", "NotRan")])
+def progress(states: DataFrame) -> DataFrame:
+    """Runs by newest status per batch, from one row per run."""
+    return states.groupBy("batch_id").agg(F.count(F.lit(1)).alias("runs"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in RUN_STATUSES])
 
 
 def windowed_outcomes(events: DataFrame, every: str = "1 hour", slide: str | None = None, late: str = "1 day") -> DataFrame:
@@ -75,39 +98,39 @@ def stale_pending(runs: DataFrame, now, minutes: int = 15) -> DataFrame:
     return runs.filter((F.col("status") == "Pending") & (F.col("created_at") < F.lit(now) - F.make_interval(mins=F.lit(minutes))))
 
 
-STALE = "run_id long, pending_since timestamp"
+STALE = "run_id long, us long"
 
 
 def stream_stale_pending(events: DataFrame, minutes: int = 15, late: str = "1 hour") -> DataFrame:
     """Runs still pending when the watermark passes their start by the
-    threshold. Append mode; a run that moved on drops its state."""
-    wait = minutes * 60_000
+    threshold: (run_id, pending_since). Append mode.
+
+    That a run moved on is remembered until the watermark reaches its newest
+    event, so a late or repeated start does not open it again; earlier events
+    are too late to be let in.
+    """
+    wait = minutes * 60_000_000
 
     def watch(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        since, moved, last = state.get if state.exists else (None, False, 0)
         if state.hasTimedOut:
-            (since,) = state.get
             state.remove()
-            yield pd.DataFrame({"run_id": [key[0]], "pending_since": [pd.Timestamp(since, unit="ms")]})
+            if not moved:
+                yield pd.DataFrame({"run_id": [key[0]], "us": [since]})
             return
-        since = state.get[0] if state.exists else None
-        moved = False
         for part in parts:
-            pending = part.loc[part["status"] == "Pending", "ts"]
-            moved = moved or bool((part["status"] != "Pending").any())
-            if len(pending):
-                first = int(pending.min().timestamp() * 1000)
+            pending = part["status"] == "Pending"
+            moved = moved or bool((~pending).any())
+            last = max(last, int(part["us"].max()))
+            if pending.any():
+                first = int(part.loc[pending, "us"].min())
                 since = first if since is None else min(since, first)
-        if moved or since is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((since,))
-        state.setTimeoutTimestamp(max(since + wait, state.getCurrentWatermarkMs() + 1))
-        return
-        yield  # makes this a generator
+        state.update((since, moved, last))
+        state.setTimeoutTimestamp(max((last if moved else since + wait) // 1000, state.getCurrentWatermarkMs()) + 1)
 
-    return (events.withWatermark("ts", late).select("run_id", "ts", "status").groupBy("run_id")
-            .applyInPandasWithState(watch, STALE, "since long", "append", GroupStateTimeout.EventTimeTimeout))
+    out = (events.withWatermark("ts", late).select("run_id", "ts", "status", F.unix_micros("ts").alias("us")).groupBy("run_id")
+           .applyInPandasWithState(watch, STALE, "since long, moved boolean, last long", "append", GroupStateTimeout.EventTimeTimeout))
+    return out.select("run_id", F.timestamp_micros("us").alias("pending_since"))
 
 
 DECISIONS = "batch_id string, entry_id long, label string, verdict string, at_time int, passes int, evaluated int"
@@ -119,43 +142,54 @@ def _tails(k: int, n: int, p: float) -> tuple[float, float]:
     return math.fsum(term[k:]), math.fsum(term[:k + 1])
 
 
-def stream_sequential(results: DataFrame, looks: dict[str, list[int]], levels: dict[str, float], target: float) -> DataFrame:
+def stream_sequential(results: DataFrame, plans: DataFrame, agreement: bool = False) -> DataFrame:
     """Each check's decision, once, when a wave is complete; it never changes.
-
-    State is a handful of counts per check, filled part by part, so a check
-    with most of the results is never held whole. A result of a wave already
-    judged is late and ignored. Append mode.
+    A check that no look decides comes out undecided after the last. Append mode.
+
+    `plans` is a table: batch_id, looks (int array), level, target; results of
+    other batches are no business of this stream. With `agreement`, the runs
+    that gave the usual verdict count. A replayed result changes nothing: the
+    times seen of the waves still open are state, at most as many as a batch
+    has times, and a result of a wave already judged is late and ignored. What
+    stays of a decided check is a row of empty lists.
     """
     def judge(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        plan = looks[key[0]]
-        seen, good, decided, done, verdict = state.get if state.exists else ([0] * len(plan), [0] * len(plan), [0] * len(plan), 0, None)
-        seen, good, decided = list(seen), list(good), list(decided)
-        edges = [0, *plan]
+        times, fine, good, done, n, k, closed = state.get if state.exists else ([], [], [], 0, 0, 0, False)
+        times, fine, good = list(times), list(fine), list(good)
+        plan = None
         for part in parts:
-            if verdict is not None:
+            plan = [int(x) for x in part["looks"].iloc[0]]
+            level, target = float(part["level"].iloc[0]), float(part["target"].iloc[0])
+            if closed:
                 continue
-            slot = pd.cut(part["batch_index"], edges, labels=False)
-            for i in range(done, len(plan)):
-                mine = part[slot == i]
-                fine = mine[~mine["errored"]]
-                seen[i] += len(mine)
-                decided[i] += len(fine)
-                good[i] += int(fine["passed"].sum())
+            edge = plan[done - 1] if done else 0
+            new = part[(part["batch_index"] > edge) & (part["batch_index"] <= plan[-1]) & ~part["batch_index"].isin(times)].drop_duplicates("batch_index")
+            decided = (~new["errored"].astype(bool)) & new["passed"].notna()
+            times += [int(x) for x in new["batch_index"]]
+            fine += [bool(x) for x in decided]
+            good += [bool(x) for x in decided & new["passed"].fillna(False).astype(bool)]
         out = []
-        # a wave is complete when every time of it has come
-        while verdict is None and done < len(plan) and seen[done] >= edges[done + 1] - edges[done]:
-            done += 1
-            n, k = sum(decided[:done]), sum(good[:done])
+        while plan and not closed and done < len(plan):
+            edge = plan[done - 1] if done else 0
+            wave = [i for i, t in enumerate(times) if t <= plan[done]]
+            if len(wave) < plan[done] - edge:
+                break
+            n, k, done = n + sum(fine[i] for i in wave), k + sum(good[i] for i in wave), done + 1
+            rest = [i for i, t in enumerate(times) if t > plan[done - 1]]
+            times, fine, good = ([x[i] for i in rest] for x in (times, fine, good))
+            counted, verdict = max(k, n - k) if agreement else k, None
             if n:
-                up, down = _tails(k, n, target)
-                alpha = 1 - levels[key[0]]
-                verdict = "pass" if up <= alpha else "fail" if down <= alpha else None
-                if verdict:
-                    out.append((*key, verdict, plan[done - 1], k, n))
-        state.update((seen, good, decided, done, verdict))
+                up, down = _tails(counted, n, target)
+                verdict = "pass" if up <= 1 - level else "fail" if down <= 1 - level else None
+            if verdict or done == len(plan):
+                closed, times, fine, good = True, [], [], []
+                out.append((*key, verdict, plan[done - 1] if verdict else None, counted, n))
+        state.update((times, fine, good, done, n, k, closed))
         if out:
-            yield pd.DataFrame(out, columns=["batch_id", "entry_id", "label", "verdict", "at_time", "passes", "evaluated"])
+            rows = pd.DataFrame(out, columns=["batch_id", "entry_id", "label", "verdict", "at_time", "passes", "evaluated"])
+            yield rows.astype({"at_time": "Int32"})
 
-    return (results.select("batch_id", "entry_id", "label", "batch_index", "passed", "errored").groupBy("batch_id", "entry_id", "label")
-            .applyInPandasWithState(judge, DECISIONS, "seen array<int>, good array<int>, decided array<int>, done int, verdict string",
+    planned = results.join(plans.select("batch_id", "looks", "level", "target"), "batch_id")
+    return (planned.select("batch_id", "entry_id", "label", "batch_index", "passed", "errored", "looks", "level", "target").groupBy("batch_id", "entry_id", "label")
+            .applyInPandasWithState(judge, DECISIONS, "times array<int>, fine array<boolean>, good array<boolean>, done int, n int, k int, closed boolean",
                                     "append", GroupStateTimeout.NoTimeout))

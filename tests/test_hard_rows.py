@@ -6,6 +6,7 @@ from proofmill.operators import batch as B
 from proofmill.operators import comparisons as C
 from proofmill.operators import planning as P
 from proofmill.operators.checks import against_threshold, fixed
+from proofmill.streaming import runs as R
 
 
 def test_bad_patterns_are_their_own_error(spark):
@@ -50,3 +51,47 @@ def test_asked_times_are_never_lowered(spark):
                                        F.lit(None).cast("string").alias("model_output"), F.expr("array(named_struct('name', 't'))").alias("assignments"))
     row = P.estimate_cost(scope, types, 600).collect()[0]
     assert (row.times, row.problem, row.runs_total) == (600, "too_many_runs", 7_200_000)
+
+
+def test_progress_counts_attempts_and_what_runs(spark):
+    rows = [(1, "Green", None), (1, "Running", None), (2, "NotRan", B.STOP_REASON), (3, "NotRan", "no reply"), (3, "Pending", None)]
+    runs = spark.createDataFrame([("b", *r) for r in rows], "batch_id string, batch_index int, status string, error string").selectExpr("*", "1 AS asks_app", "2 AS judge_checks")
+    plans = spark.createDataFrame([("b", 30, 1, 2)], "batch_id string, times_requested int, app_per_time int, judge_per_time int")
+    row = B.batch_progress(runs, plans).collect()[0]
+    assert (row.app_done, row.app_open, row.judge_done, row.judge_open) == (2, 1, 2, 2)
+    assert (row.runs_done, row.runs_cancelled, row.times_done, row.times_cancelled, row.app_planned, row.judge_planned) == (3, 1, 1, 1, 30, 60)
+
+
+def _planned(spark, checks):
+    rows = spark.createDataFrame(checks, "scope_id int, label string, passed long, failed long, target double, certain boolean")
+    rules = B.gate_rules(spark.createDataFrame([(0.8,), (0.95,)], "target double"), 0.95, 120)
+    return rows, P.answer_chance(rows, P.size_grid(rules))
+
+
+def test_checks_of_two_targets_are_planned_at_common_sizes(spark):
+    rows, chances = _planned(spark, [(1, "a", 40, 0, 0.8, False), (1, "b", 40, 0, 0.95, False), (2, "a", 40, 0, 0.8, False)])
+    curve = {(r.scope_id, r.n): r.chance for r in P.odds_curve(rows, chances).collect()}
+    assert curve[1, 14] < 0.05 and curve[1, 30] < 0.05 and curve[1, 59] > 0.3
+    alone = {n for s, n in curve if s == 2}
+    assert alone < {n for s, n in curve if s == 1} and 59 not in alone
+
+
+def test_beside_certain_checks_all_others_may_go(spark):
+    bad = [("a", 10, 10), ("b", 12, 8)]
+    rows, chances = _planned(spark, [(1, n, p, f, 0.8, False) for n, p, f in bad] + [(1, "sure", 40, 0, 0.8, True)]
+                             + [(2, n, p, f, 0.8, False) for n, p, f in bad] + [(3, "a", 0, 200, 0.8, False)])
+    got = {r.scope_id: (r.left_out, r.times) for r in P.fewest_left_out(rows, chances).collect()}
+    assert 3 not in got and got[1][0] <= 2 and got.get(2, (1,))[0] == 1
+
+
+def test_a_late_start_does_not_open_a_run_again(spark, tmp_path):
+    for i, rows in enumerate(([(1, 1, "2024-01-01 00:00:00", "Pending"), (2, 1, "2024-01-01 00:05:00", "Green"), (3, 2, "2024-01-01 00:00:00", "Pending")],
+                              [(1, 1, "2024-01-01 00:00:00", "Pending"), (4, 3, "2024-01-01 00:20:00", "Green")], [(5, 4, "2024-01-02 00:00:00", "Green")])):
+        df = spark.createDataFrame(rows, "event_id long, run_id long, t string, status string").selectExpr("event_id", "run_id", "'b' AS batch_id", "timestamp(t) AS ts", "status")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = lambda: spark.readStream.schema("event_id long, run_id long, batch_id string, ts timestamp, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    folder, _ = R.to_table(R.stream_stale_pending(stream()), "append", "stale")
+    assert [r.run_id for r in spark.read.schema("run_id long, pending_since timestamp").parquet(folder).collect()] == [2]
+    folder, _ = R.to_table(R.stream_run_state(stream()), "update", "state")
+    rows = R.progress(R.newest_rows(spark, folder, ["run_id"], "run_id long, batch_id string, status string, ts timestamp")).collect()
+    assert [(r.runs, r.pending, r.green) for r in rows] == [(4, 1, 3)]

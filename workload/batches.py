@@ -385,17 +385,27 @@ sb AS (SELECT *, quarter(created_at) AS batch_index, CASE WHEN weight > 400000 T
 
 
 @query("batch_progress", f"""WITH {_SB_SQL},
+ss AS (SELECT * REPLACE (CASE WHEN status = 'Pending' AND run_id % 3 = 0 THEN 'Running' ELSE status END AS status), status = 'NotRan' AND run_id % 2 = 0 AS halted FROM sb),
 t AS (SELECT batch_id, count(*) FILTER (WHERE NOT o) AS times_done, count(*) FILTER (WHERE c) AS times_cancelled
-  FROM (SELECT batch_id, batch_index, bool_or(open) AS o, bool_and(status = 'NotRan') AS c FROM sb GROUP BY 1, 2) GROUP BY 1),
-r AS (SELECT batch_id, count(*) AS runs, {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in
-  ('Pending', 'Running', 'Green', 'Amber', 'Red', 'NotRan'))},
-  CAST(coalesce(sum(asks_app) FILTER (WHERE NOT open AND status <> 'NotRan'), 0) AS BIGINT) AS app_done,
-  CAST(coalesce(sum(asks_app) FILTER (WHERE open), 0) AS BIGINT) AS app_open,
-  CAST(coalesce(sum(judge_checks) FILTER (WHERE NOT open AND status <> 'NotRan'), 0) AS BIGINT) AS judge_done,
-  CAST(coalesce(sum(judge_checks) FILTER (WHERE open), 0) AS BIGINT) AS judge_open FROM sb GROUP BY 1)
+  FROM (SELECT batch_id, batch_index, bool_or(open) AS o, bool_and(halted) AS c FROM ss GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT batch_id, count(*) AS runs, count(*) FILTER (WHERE NOT open) AS runs_done, count(*) FILTER (WHERE halted) AS runs_cancelled,
+  {', '.join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in ('Pending', 'Running', 'Green', 'Amber', 'Red', 'NotRan'))},
+  CAST(coalesce(sum(asks_app) FILTER (WHERE NOT open AND NOT halted), 0) AS BIGINT) AS app_done,
+  CAST(coalesce(sum(asks_app) FILTER (WHERE status = 'Running'), 0) AS BIGINT) AS app_open,
+  CAST(coalesce(sum(judge_checks) FILTER (WHERE status IN ('Green', 'Amber', 'Red')), 0) AS BIGINT) AS judge_done,
+  CAST(coalesce(sum(judge_checks) FILTER (WHERE status = 'Running'), 0) AS BIGINT) AS judge_open,
+  count(DISTINCT batch_index) AS times_requested, count(DISTINCT batch_index) * max(asks_app)::BIGINT AS app_planned,
+  count(DISTINCT batch_index) * max(judge_checks)::BIGINT AS judge_planned FROM ss GROUP BY 1)
 SELECT * FROM r JOIN t USING (batch_id)""", ["sruns"])
 def batch_progress(spark, sf):
-    return B.batch_progress(_scope_batch_runs(spark, sf))
+    """A third of the open runs are running, and a stop cancelled every other
+    run that did not run."""
+    runs = _scope_batch_runs(spark, sf)
+    runs = (runs.withColumn("error", F.when((F.col("status") == "NotRan") & (F.col("run_id") % 2 == 0), B.STOP_REASON))
+            .withColumn("status", F.when((F.col("status") == "Pending") & (F.col("run_id") % 3 == 0), "Running").otherwise(F.col("status"))))
+    plans = runs.groupBy("batch_id").agg(F.count_distinct("batch_index").alias("times_requested"), F.max("asks_app").cast("long").alias("app_per_time"),
+                                         F.max("judge_checks").cast("long").alias("judge_per_time"))
+    return B.batch_progress(runs, plans)
 
 
 @query("live_batch_status", """

@@ -46,14 +46,14 @@ def _rates(spark, sf):
 
 
 _UNEVEN = """
-ea AS (SELECT DISTINCT l_suppkey AS entry_id, l_returnflag AS label FROM lineitem WHERE l_quantity > 49 AND l_linestatus = 'F'),
-eb AS (SELECT DISTINCT l_suppkey AS entry_id, l_returnflag AS label FROM lineitem WHERE l_quantity > 49 AND l_linestatus = 'O')"""
+ea AS (SELECT DISTINCT l_suppkey AS entry_id, l_returnflag || '-' || CAST(l_quantity AS INTEGER) AS label FROM lineitem WHERE l_linestatus = 'F'),
+eb AS (SELECT DISTINCT l_suppkey AS entry_id, l_returnflag || '-' || CAST(l_quantity AS INTEGER) AS label FROM lineitem WHERE l_linestatus = 'O')"""
 
 
 def _uneven(spark, sf):
-    li = world.table(spark, sf, "lineitem").filter("l_quantity > 49")
+    li = world.table(spark, sf, "lineitem")
     side = lambda s: li.filter(F.col("l_linestatus") == s).select(
-        F.lit("O-F").alias("pair_id"), F.col("l_suppkey").alias("entry_id"), F.col("l_returnflag").alias("label")).distinct()
+        F.lit("O-F").alias("pair_id"), F.col("l_suppkey").alias("entry_id"), F.concat_ws("-", "l_returnflag", F.col("l_quantity").cast("int").cast("string")).alias("label")).distinct()
     return C.match_batches(side("F"), side("O"))
 
 

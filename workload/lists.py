@@ -355,9 +355,9 @@ def searched_dataset_rows(spark, sf):
 _XC = ", ".join(f"count(r.run_id) FILTER (WHERE r.status = '{s}') AS \"{s}\"" for s in STATUSES)
 
 
-@query("listed_executions", f"""SELECT e.execution_id, e.scope_id, e.origin, {_XC}, count(r.run_id) AS runs FROM execs e LEFT JOIN (SELECT * FROM sruns WHERE weight > 100000) r USING (execution_id) GROUP BY 1, 2, 3""", ["execs", "sruns"])
+@query("listed_executions", f"""SELECT e.execution_id, e.scope_id, e.origin, {_XC}, count(r.run_id) AS runs FROM execs e LEFT JOIN sruns r USING (execution_id) GROUP BY 1, 2, 3""", ["execs", "sruns"])
 def listed_executions(spark, sf):
-    runs = world.scope_runs(spark, sf).filter("weight > 100000")
+    runs = world.scope_runs(spark, sf)
     return S.list_executions(world.executions(spark, sf), runs).select("execution_id", "scope_id", "origin", *STATUSES, "runs")
 
 

@@ -29,17 +29,18 @@ def look_schedules(spark, sf):
     return s.withColumn("looks", F.array_join(Q.looks(F.col("first"), F.col("maximum")), ","))
 
 
-# batch F looks six times up to 90, batch O three times up to 100; even levels
+# batch F looks from its 45th time to its last, batch O from its 60th; even levels
 def _plans(spark, sf):
-    rows = world.plain_results(spark, sf).groupBy("batch_id").agg(F.count(F.lit(1)).alias("_n"))
-    f = F.col("batch_id") == "F"
-    p = rows.withColumn("looks", Q.looks(F.when(f, 45).otherwise(60), F.when(f, 90).otherwise(100)))
-    p = p.withColumn("looks", F.when(f, F.col("looks")).otherwise(F.array(F.lit(60), F.lit(80), F.lit(100))))
+    size = world.timed_results(spark, sf).groupBy("batch_id").agg(F.max("batch_index").alias("_n"))
+    p = size.withColumn("looks", Q.looks(F.when(F.col("batch_id") == "F", 45).otherwise(60), F.col("_n")))
     return p.withColumn("level", Q.even_level(F.col("looks"), 0.95)).withColumn("target", F.lit(0.9)).drop("_n")
 
 
-view("plooks", """SELECT 'F' AS batch_id, CAST(45 + round_even(45.0 / 7 * i, 0) AS BIGINT) AS look, 1 - 0.05 / 8 AS level FROM generate_series(0, 7) g(i)
-UNION ALL SELECT 'O', u, 1 - 0.05 / 3 FROM (VALUES (60), (80), (100)) t(u)""")
+view("plooks", """
+WITH x AS (SELECT *, least(8, m - f + 1) AS c FROM (SELECT batch_id, CASE WHEN batch_id = 'F' THEN 45 ELSE 60 END AS f, max(batch_index) AS m FROM results GROUP BY 1)),
+p AS (SELECT DISTINCT batch_id, CASE WHEN m <= f THEN f ELSE f + CAST(round_even((m - f)::DOUBLE / (c - 1) * i, 0) AS BIGINT) END AS look FROM x, generate_series(0, 7) g(i) WHERE i < greatest(c, 1)
+  UNION SELECT batch_id, greatest(m, f) FROM x)
+SELECT batch_id, look, 1 - 0.05 / count(*) OVER (PARTITION BY batch_id) AS level FROM p""", ["results"])
 view("at_looks", """SELECT r.batch_id, r.entry_id, r.label, l.look, l.level, count(*) AS evaluated, count(*) FILTER (WHERE r.passed) AS passes,
   avg(r.score) AS mean, stddev_samp(r.score) AS sd FROM ran r JOIN plooks l ON l.batch_id = r.batch_id AND r.batch_index <= l.look WHERE NOT r.errored GROUP BY 1, 2, 3, 4, 5""", ["ran", "plooks"])
 
@@ -108,29 +109,34 @@ def sequential_scores(spark, sf):
 
 
 @query("batch_advances", f"""WITH {_decided_sql('passes')},
-u AS (SELECT batch_id, count(*) - count(verdict) AS undecided FROM decided GROUP BY 1)
-SELECT batch_id, undecided, batch_id = 'O' OR undecided = 0 AS done, CASE WHEN batch_id = 'F' AND undecided > 0 THEN 52 END AS first, CASE WHEN batch_id = 'F' AND undecided > 0 THEN 58 END AS last FROM u""", ["at_looks"])
+u AS (SELECT batch_id, count(*) - count(verdict) AS undecided FROM decided GROUP BY 1),
+l AS (SELECT batch_id, list(look ORDER BY look) AS looks FROM plooks GROUP BY 1),
+nx AS (SELECT batch_id, coalesce(undecided, 0) AS undecided, looks, batch_id = 'O' OR coalesce(undecided, 0) = 0 OR len(looks) <= 2 AS done FROM l LEFT JOIN u USING (batch_id))
+SELECT batch_id, undecided, done, CASE WHEN NOT done THEN CAST(looks[2] + 1 AS INTEGER) END AS first, CASE WHEN NOT done THEN CAST(looks[3] AS INTEGER) END AS last FROM nx""", ["at_looks", "plooks"])
 def batch_advances(spark, sf):
-    plans = _plans(spark, sf).withColumn("waves_released", F.when(F.col("batch_id") == "F", 2).otherwise(3))
+    plans = _plans(spark, sf).withColumn("waves_released", F.when(F.col("batch_id") == "F", 2).otherwise(F.size("looks")))
     decided = sequential_verdicts(spark, sf)
     return Q.advance(plans, decided.select("batch_id", "entry_id", "label"), decided)
 
 
-@query("stalled_batches", "SELECT batch_id FROM sbatches b WHERE runs > 1 AND status = 'Running' AND batch_id NOT IN (SELECT batch_id FROM sruns WHERE batch_id IS NOT NULL AND weight > 400000 AND status IN ('Pending', 'Running'))", ["sbatches", "sruns"])
+@query("stalled_batches", "SELECT batch_id FROM sbatches b WHERE runs > 1 AND status = 'Running' AND batch_id NOT IN (SELECT batch_id FROM sruns WHERE batch_id IS NOT NULL AND weight > 400000 AND status = 'Pending')", ["sbatches", "sruns"])
 def stalled_batches(spark, sf):
     batches = world.scope_batches(spark, sf).withColumn("waves_released", F.when(F.col("runs") > 1, F.col("runs")))
-    return Q.stalled_batches(batches, world.scope_runs(spark, sf).filter("batch_id is not null and weight > 400000")).select("batch_id")
+    runs = world.scope_runs(spark, sf).filter("batch_id is not null")
+    # cheap runs were cancelled since
+    runs = runs.withColumn("status", F.when(F.col("weight") > 400000, F.col("status")).otherwise("NotRan"))
+    return Q.stalled_batches(batches, runs).select("batch_id")
 
 
 # ── planning ─────────────────────────────────────────────────────────────────
 
-def _history(spark, sf, limit=60):
+def _history(spark, sf):
     runs = world.batch_runs(spark, sf).withColumn("executed_at", F.col("batch_index"))
-    return P.check_history(runs, world.ran_results(spark, sf), limit)
+    return P.check_history(runs, world.ran_results(spark, sf))
 
 
 view("hist", """
-WITH n AS (SELECT run_id FROM runs_b WHERE status <> 'NotRan' QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY batch_index DESC, run_id DESC) <= 60)
+WITH n AS (SELECT run_id FROM runs_b WHERE status <> 'NotRan' QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY batch_index DESC, run_id DESC) <= 200)
 SELECT entry_id, label, count(*) AS runs, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed, count(score) AS scores, avg(score) AS mean, stddev_samp(score) AS sd
 FROM ran JOIN n USING (run_id) WHERE NOT errored GROUP BY 1, 2""", ["runs_b", "ran"])
 
@@ -142,8 +148,8 @@ def check_histories(spark, sf):
 
 @query("standalone_histories", """
 SELECT o_custkey AS test_id, o_orderkey AS run_id FROM (SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
-  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 5) WHERE o_orderstatus = 'F'
-QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 2""")
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 1000) WHERE o_orderstatus = 'F'
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 200""")
 def standalone_histories(spark, sf):
     """A copy matches its test when the order was filled."""
     o = world.table(spark, sf, "orders")
@@ -154,7 +160,7 @@ def standalone_histories(spark, sf):
     content = lambda key, text: [F.col(key), text.alias("input"), F.lit(None).cast("string").alias("expected_output"), F.lit("r").alias("model_output"), checks.alias("assignments")]
     copies = o.select(*content("o_orderkey", F.concat(F.lit("q-"), "o_orderstatus"))).withColumnRenamed("o_orderkey", "run_id")
     tests = world.table(spark, sf, "customer").select(*content("c_custkey", F.lit("q-F"))).withColumnRenamed("c_custkey", "test_id")
-    return P.standalone_history(runs, copies, tests, limit=2, scan=5)
+    return P.standalone_history(runs, copies, tests)
 
 
 def _targeted(spark, sf):
@@ -163,14 +169,9 @@ def _targeted(spark, sf):
     return _history(spark, sf).join(e, "entry_id").withColumn("target", F.lit(0.8)).withColumn("certain", F.col("label") == "N")
 
 
-def _rules(spark, *targets, limit=1000):
+def _peaks(spark, *targets, confidence=0.95):
     rows = spark.createDataFrame([(t,) for t in targets], "target double")
-    return kept(B.gate_rules(rows, 0.95, limit), "rules")
-
-
-def _peaks(spark, *targets):
-    rules = _rules(spark, *targets)
-    return rules.join(P.sizes(rules), ["target", "n"])
+    return P.size_grid(kept(B.gate_rules(rows, confidence), "rules"))
 
 
 _R8 = _RULES_1000.replace("0.9", "0.8")
@@ -217,8 +218,8 @@ best AS (SELECT c.scope_id, r.reaches, max(chance) AS best_chance FROM curve c J
 pl AS (SELECT b.scope_id, b.reaches, b.best_chance, CASE WHEN b.reaches IS NULL THEN min(c.n) FILTER (WHERE c.chance >= b.best_chance - 0.05) END AS worth FROM best b JOIN curve c USING (scope_id) GROUP BY 1, 2, 3)"""
 
 
-def _chances(spark, sf, checks, *targets):
-    return kept(P.answer_chance(checks, _peaks(spark, *targets)), "chances")
+def _chances(spark, sf, checks, *targets, confidence=0.95):
+    return kept(P.answer_chance(checks, _peaks(spark, *targets, confidence=confidence)), "chances")
 
 
 @query("odds_curves", f"WITH {_CURVE_SQL} SELECT scope_id, CAST(n AS INTEGER) AS n, round(chance, 4) AS chance FROM curve", ["hist", "entries"])
@@ -260,21 +261,22 @@ def check_outlooks(spark, sf):
 @query("cheaper_options")
 def cheaper_options(spark, sf):
     checks = _targeted(spark, sf)
-    targets = (0.8, 0.75, 0.7, 0.65)
-    shapes = checks.select("passed", "failed").distinct().withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
-    # every target at every size any of them peaks at
-    rules = _rules(spark, *targets)
-    grid = rules.join(P.sizes(rules).select("n").distinct(), "n")
-    chances = kept(P.answer_chance(shapes, grid), "chances")
+    shapes = checks.select("passed", "failed", F.explode(F.array(*[F.lit(t) for t in (0.8, 0.75, 0.7, 0.65)])).alias("target")).distinct()
+    chances = _chances(spark, sf, shapes, 0.8, 0.75, 0.7, 0.65)
     planned = P.plan(P.odds_curve(checks, chances))
-    return P.cheaper_options(checks, chances, planned).withColumn("best_chance", r4(F.col("best_chance"))).withColumn("chance", r4(F.col("chance")))
+    lower = P.less_sure(0.95, 0.8)
+    less = P.less_sure_options(checks, _chances(spark, sf, checks, 0.8, confidence=lower), planned, lower)
+    options = P.cheaper_options(checks, chances, planned).unionByName(less, allowMissingColumns=True)
+    return options.withColumn("best_chance", r4(F.col("best_chance"))).withColumn("chance", r4(F.col("chance")))
 
 
 @query("fewest_left_out", f"""WITH {_CURVE_SQL},
 al AS (SELECT passed, failed, max(passes + fails) AS alone FROM ch GROUP BY 1, 2),
 o AS (SELECT c.scope_id, c.passed, c.failed, row_number() OVER (PARTITION BY scope_id ORDER BY alone DESC, c.passed DESC, c.failed DESC, label) AS k, count(*) OVER (PARTITION BY scope_id) AS total FROM cks c JOIN al USING (passed, failed)),
-run AS (SELECT o.scope_id, ch.n, o.k, o.total, sum(ln(greatest(passes + fails, 1e-300))) OVER (PARTITION BY o.scope_id, ch.n ORDER BY k) AS lg FROM o JOIN ch USING (passed, failed))
-SELECT scope_id, min(total - k) AS left_out, CAST(min_by(n, (total - k) * 100000 + n) AS INTEGER) AS times FROM run WHERE lg >= ln(0.9) GROUP BY 1""", ["hist", "entries"])
+run AS (SELECT o.scope_id, ch.n, o.k, o.total, sum(ln(greatest(passes + fails, 1e-300))) OVER (PARTITION BY o.scope_id, ch.n ORDER BY k) AS lg FROM o JOIN ch USING (passed, failed)),
+ways AS (SELECT scope_id, total - k AS left_out, n FROM run WHERE lg >= ln(0.9)
+  UNION ALL SELECT scope_id, max(total), (SELECT min(n) FROM ch) FROM o WHERE scope_id IN (SELECT test_set_id FROM hist JOIN entries USING (entry_id) WHERE label = 'N') GROUP BY 1)
+SELECT scope_id, min(left_out) AS left_out, CAST(min_by(n, left_out * 100000 + n) AS INTEGER) AS times FROM ways GROUP BY 1 HAVING min(left_out) > 0""", ["hist", "entries"])
 def fewest_left_out(spark, sf):
     checks = _targeted(spark, sf)
     return P.fewest_left_out(checks, _chances(spark, sf, checks, 0.8))

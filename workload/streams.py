@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from proofmill.operators.checks import outcome
 from proofmill.operators.checks.dispatch import register_engine, registered_engines, score_checks
-from proofmill.session import shared_folder
+from proofmill.operators.sequential import even_level, looks
+from proofmill.session import kept, shared_folder
 from proofmill.sources.catalogue import check_types
 from proofmill.streaming import runs as R
 
@@ -26,11 +27,14 @@ def _events(spark, sf):
                     F.concat(F.lit("b"), F.floor(F.col("user_id") / 10).cast("string")).alias("batch_id"))
 
 
+STATES = "run_id long, batch_id string, status string, ts timestamp"
+
+
 @query("live_run_state", "SELECT run_id, status FROM revents QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1", ["revents"])
 def live_run_state(spark, sf):
     """The last state of each run once the stream has read everything."""
     folder, _ = R.to_table(R.stream_run_state(_events(spark, sf), "60 days"), "update", "state")
-    return R.newest_rows(spark, folder, ["run_id"], "run_id long, status string, ts timestamp").drop("ts")
+    return R.newest_rows(spark, folder, ["run_id"], STATES).select("run_id", "status")
 
 
 @query("claimed_events", "SELECT run_id, status FROM revents GROUP BY 1, 2", ["revents"])
@@ -40,13 +44,15 @@ def claimed_events(spark, sf):
     return spark.read.schema("run_id long, status string").parquet(folder).select("run_id", "status")
 
 
-_SC = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in ("Pending", "Green", "Amber", "Red", "NotRan"))
+_SC = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in ("Pending", "Running", "Green", "Amber", "Red", "NotRan"))
 
 
-@query("live_progress", f"SELECT batch_id, count(*) AS runs, {_SC} FROM revents GROUP BY 1", ["revents"])
+@query("live_progress", f"""SELECT batch_id, count(*) AS runs, {_SC} FROM (SELECT * FROM revents
+  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY 1""", ["revents"])
 def live_progress(spark, sf):
-    folder, _ = R.to_table(R.stream_progress(_events(spark, sf)), "update", "progress")
-    return R.newest_rows(spark, folder, ["batch_id"], "batch_id string, runs long, pending long, green long, amber long, red long, notran long")
+    """Progress of each batch by what its runs are now."""
+    folder, _ = R.to_table(R.stream_run_state(_events(spark, sf), "60 days"), "update", "progress")
+    return R.progress(R.newest_rows(spark, folder, ["run_id"], STATES))
 
 
 @query("windowed_outcomes", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, status, count(*) AS runs FROM revents GROUP BY 1, 2", ["revents"])
@@ -83,17 +89,47 @@ def stale_pending_stream(spark, sf):
     return spark.read.schema("run_id long, pending_since timestamp").parquet(folder).select("run_id")
 
 
-@query("streamed_decisions")
-def streamed_decisions(spark, sf):
-    """Wave decisions from a stream of result files, each made once."""
+def _streamed_sql(counted: str) -> str:
+    return f"""
+WITH r AS (SELECT *, batch_id || '-' || entry_id || '-' || label AS b FROM results),
+x AS (SELECT b, entry_id, label, 10 AS f, m, least(8, m - 9) AS c FROM (SELECT b, entry_id, label, max(batch_index) AS m FROM r GROUP BY ALL)),
+p AS (SELECT DISTINCT b, m, CASE WHEN m <= f THEN f ELSE f + CAST(round_even((m - f)::DOUBLE / (c - 1) * i, 0) AS BIGINT) END AS look FROM x, generate_series(0, 7) g(i) WHERE i < greatest(c, 1)
+  UNION SELECT b, m, greatest(m, f) FROM x),
+lv AS (SELECT *, 0.05 / count(*) OVER (PARTITION BY b) AS alpha FROM p),
+a AS (SELECT b, entry_id, label, look, alpha, count(*) FILTER (WHERE NOT errored) AS evaluated, count(*) FILTER (WHERE NOT errored AND passed) AS passes
+  FROM r JOIN lv USING (b) WHERE m >= 10 AND batch_index <= look GROUP BY ALL),
+k AS (SELECT *, {counted} AS k FROM a),
+v AS (SELECT *, CASE WHEN evaluated = 0 THEN NULL WHEN {world.binomial_sql('at_least', 'k', 'evaluated', '0.9')} <= alpha THEN 'pass'
+  WHEN {world.binomial_sql('at_most', 'k', 'evaluated', '0.9')} <= alpha THEN 'fail' END AS verdict FROM k)
+SELECT b AS batch_id, entry_id, label, verdict, CAST(CASE WHEN verdict IS NOT NULL THEN look END AS INTEGER) AS at_time, CAST(k AS INTEGER) AS passes, CAST(evaluated AS INTEGER) AS evaluated
+FROM v QUALIFY row_number() OVER (PARTITION BY b ORDER BY verdict IS NULL, CASE WHEN verdict IS NULL THEN -look ELSE look END) = 1"""
+
+
+def _streamed(spark, sf, agreement=False):
+    """Every check is a batch of its own with looks from its tenth time to its
+    last; all results come twice."""
     folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
-    rows = world.timed_results(spark, sf).withColumn("batch_index", F.col("batch_index").cast("int"))
+    rows = world.timed_results(spark, sf).withColumn("batch_index", F.col("batch_index").cast("int")).withColumn("batch_id", F.concat_ws("-", "batch_id", "entry_id", "label"))
     rows.select("batch_id", "entry_id", "label", "batch_index", "passed", "errored").write.parquet(folder)
-    stream = spark.readStream.schema("batch_id string, entry_id long, label string, batch_index int, passed boolean, errored boolean").option(
-        "maxFilesPerTrigger", 3).parquet(folder)
-    looks = {"F": [40, 50, 60], "O": [40, 60]}
-    out, _ = R.to_table(R.stream_sequential(stream, looks, {"F": 0.98, "O": 0.975}, 0.9), "append", "decisions")
-    return spark.read.schema(R.DECISIONS).parquet(out)
+    kind = "batch_id string, entry_id long, label string, batch_index int, passed boolean, errored boolean"
+    plans = spark.read.schema(kind).parquet(folder).groupBy("batch_id").agg(F.max("batch_index").alias("m")).withColumn("looks", looks(F.lit(10), F.col("m")))
+    plans = plans.select("batch_id", "looks", even_level(F.col("looks"), 0.95).alias("level"), F.lit(0.9).alias("target"))
+    once = spark.readStream.schema(kind).option("maxFilesPerTrigger", 3).parquet(folder)
+    again = spark.readStream.schema(kind).option("maxFilesPerTrigger", 2).parquet(folder)
+    out, _ = R.to_table(R.stream_sequential(once.unionByName(again), kept(plans, "plans"), agreement), "append", "decisions")
+    return spark.read.schema(R.DECISIONS).parquet(out).drop("epoch")
+
+
+@query("streamed_decisions", _streamed_sql("passes"), ["results"])
+def streamed_decisions(spark, sf):
+    """Wave decisions from a stream of result files, each made once."""
+    return _streamed(spark, sf)
+
+
+@query("streamed_agreement", _streamed_sql("greatest(passes, evaluated - passes)"), ["results"])
+def streamed_agreement(spark, sf):
+    """The same for how often runs agree with the usual verdict."""
+    return _streamed(spark, sf, agreement=True)
 
 
 def _starts_with(df):
