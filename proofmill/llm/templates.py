@@ -54,7 +54,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     merged = written(_templates(docs, counts, mixed), "templates")
     alone = counts.join(mixed, "leaf", "left_anti").select("leaf", "body", "documents", "first")
     # exact counts where several lines make one template: a document with two of them counts once
-    by_template = (lines.join(mixed.hint("merge"), "leaf", "left_semi").select("leaf", "body", "doc_id").distinct().join(merged, ["leaf", "body"])
+    by_template = (lines.select("leaf", "body", "doc_id").join(merged.hint("merge"), ["leaf", "body"])
                    .select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first")))
     together = merged.join(by_template, ["leaf", "template"]).select("leaf", "body", "documents", "first")
     often = written(alone.unionByName(together).filter(F.col("documents") >= MIN_DOCUMENTS).select("leaf", "body", "first"), "recurring")
