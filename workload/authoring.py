@@ -170,9 +170,10 @@ def tests_after_delete(spark, sf):
 
 
 @query("described_datasets", """SELECT u.id, count(d.id) AS rows, md5(min_by(d.input, d.position)) AS first_prompt
-FROM (SELECT 'src' || r AS id FROM generate_series(0, 24) g(r)) u LEFT JOIN drows d ON d.dataset_id = u.id GROUP BY 1""", ["drows"])
+FROM (SELECT source AS id FROM documents WHERE source IS NOT NULL UNION SELECT 'src' || n_nationkey FROM nation) u LEFT JOIN drows d ON d.dataset_id = u.id GROUP BY 1""", ["drows"])
 def described_datasets(spark, sf):
-    sets = spark.range(25).select(F.expr("concat('src', id)").alias("id"))
+    named = world.table(spark, sf, "documents").filter("source is not null").select(F.col("source").alias("id"))
+    sets = named.union(world.table(spark, sf, "nation").select(F.concat(F.lit("src"), "n_nationkey"))).distinct()
     return A.describe_datasets(sets, world.dataset_rows(spark, sf)).select("id", "rows", F.md5(F.col("first_prompt").cast("binary")).alias("first_prompt"))
 
 
