@@ -8,7 +8,9 @@ from .text import strip
 
 # keys and indexes only, what a variant path can hold; an index is an int
 _PATH = "^\\$(\\.[A-Za-z_][A-Za-z0-9_-]*|\\[[0-9]{1,9}\\]|\\['[^'\\]]+'\\])*$"
-_FENCE = "(?s)\\A\\s*```[A-Za-z]*[ \\t]*\\n(.*?)\\n?[ \\t]*```\\s*\\z"
+_MARK = "```"
+# JSON text in parts: strings, numbers, all between them
+_PARTS = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+|-'
 
 
 def full_path(path: Column) -> Column:
@@ -45,13 +47,34 @@ def answer_of(value: Column) -> Column:
 
 
 def unfenced(text: Column) -> Column:
-    """The inside of a Markdown fence when the whole text is one."""
-    return F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(text)
+    """The inside of a Markdown fence when the whole text is one: its first line
+    is a mark and at most a language name, and it ends with a mark."""
+    whole = strip(text)
+    opening = F.substring_index(whole, "\n", 1)
+    language = F.rtrim(F.substr(opening, F.lit(len(_MARK) + 1)), F.lit(" \t"))
+    rest = F.substr(whole, F.length(opening) + 2)
+    inside = F.rtrim(F.left(rest, F.length(rest) - len(_MARK)), F.lit(" \t"))
+    inside = F.when(inside.endswith("\n"), F.left(inside, F.length(inside) - 1)).otherwise(inside)
+    fenced = opening.startswith(_MARK) & ~language.rlike("[^A-Za-z]") & rest.endswith(_MARK)
+    return F.when(fenced, inside).otherwise(text)
+
+
+def _number_text(number: Column) -> Column:
+    """One spelling for every number of one value; a whole number that no double
+    holds keeps its digits."""
+    value = number.try_cast("double")
+    short = F.when((value == F.floor(value)) & (F.abs(value) < 1e15), value.cast("long").cast("string")).otherwise(value.cast("string"))
+    exact = value.try_cast("decimal(38,0)").eqNullSafe(number.try_cast("decimal(38,0)"))
+    return F.when(number.rlike("[.eE]") | (F.length(number) < 16) | exact, short).otherwise(number)
+
+
+def _even(value: Column) -> Column:
+    """A value's JSON text, keys sorted, its numbers spelled by value at any depth."""
+    parts = F.regexp_extract_all(F.to_json(value), F.lit(_PARTS), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^-?[0-9]"), _number_text(x)).otherwise(x)), "")
 
 
 def same_json(a: Column, b: Column) -> Column:
-    """Equal values: numbers by value, everything else type for type, object
-    keys in any order (variant text keeps keys sorted)."""
-    numbers = (kind_of(a) == "number") & (kind_of(b) == "number")
-    return F.when(numbers, F.try_variant_get(a, "$", "double") == F.try_variant_get(b, "$", "double")).otherwise(
-        (kind_of(a) == kind_of(b)) & (F.to_json(a) == F.to_json(b)))
+    """Equal values: numbers by value at any depth, everything else type for
+    type, object keys in any order (variant text keeps keys sorted)."""
+    return (kind_of(a) == kind_of(b)) & (_even(a) == _even(b))

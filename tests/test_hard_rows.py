@@ -95,3 +95,16 @@ def test_a_late_start_does_not_open_a_run_again(spark, tmp_path):
     folder, _ = R.to_table(R.stream_run_state(stream()), "update", "state")
     rows = R.progress(R.newest_rows(spark, folder, ["run_id"], "run_id long, batch_id string, status string, ts timestamp")).collect()
     assert [(r.runs, r.pending, r.green) for r in rows] == [(4, 1, 3)]
+
+
+def test_json_numbers_are_equal_by_value_at_any_depth(spark):
+    rows = [('{"a":1e2}', '{"a":100}', True), ('[1.50, {"b": "1e2 \\"x"}]', '[1.5, {"b": "1e2 \\"x"}]', True), ('{"a":"100"}', '{"a":100}', False), ("1e20", "100000000000000000000", True),
+            ("[9007199254740993]", "[9007199254740992]", False), ("-0.0", "0", True), ("true", "1", False), ("[1,2]", "[12]", False), ("[0.1]", "[1e-1]", True), ('{"b":1,"a":2}', '{"a":2.0,"b":1}', True)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", J.same_json(F.try_parse_json("a"), F.try_parse_json("b")).alias("got")).collect())
+
+
+def test_fences(spark):
+    rows = [("```json\n{}\n```", "{}"), (" \n```\n{}```  \n", "{}"), ("```", "```"), ("```\n```", ""), ("``````", "``````"), ("```json {}```", "```json {}```"), ("```js9\n{}\n```", "```js9\n{}\n```"),
+            ("```json \t\n{}\n\n \t```", "{}\n"), ("```\n{}\n``` x", "```\n{}\n``` x"), (None, None)]
+    assert all(r.want == r.got for r in spark.createDataFrame(rows, "t string, want string").select("want", J.unfenced(F.col("t")).alias("got")).collect() if r.want or r.got)
