@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from proofmill.llm.tables import written
 
-ROUNDS, DAMPING, BLOCK_SHARE, CUT_EVERY = 8, 0.85, 0.5, 4
+ROUNDS, DAMPING, BLOCK_SHARE, CUT_EVERY, SALTS = 8, 0.85, 0.5, 4, 16
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -102,5 +102,8 @@ def filtered(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     bad = F.col("distrust") > BLOCK_SHARE * (F.col("trust") + F.col("distrust"))
     # a rule settles its pages: only the others need their host's scores looked up
     ruled = judged.filter("rule is not null").withColumns({"trust": F.lit(None).cast("double"), "distrust": F.lit(None).cast("double")})
-    other = judged.filter("rule is null").join(scores, "host", "left").fillna(0.0, ["trust", "distrust"]).withColumn("verdict", F.when(bad, "block").otherwise("allow"))
+    # pages of one host are dealt over SALTS tasks; scores hold one row per host and are copied to each
+    salted = judged.filter("rule is null").withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    copies = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    other = salted.join(copies, ["host", "_salt"], "left").fillna(0.0, ["trust", "distrust"]).withColumn("verdict", F.when(bad, "block").otherwise("allow"))
     return ruled.unionByName(other.select(ruled.columns))
