@@ -289,7 +289,9 @@ def repeats(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     more = more.groupBy("gram", "segment").agg(F.sort_array(F.collect_set("lead")).alias("singles"))
     found = judged.select("gram", "segment", F.col("earlier" if keep_first else "either").alias("runs")).join(more, ["gram", "segment"], "left")
     none = F.array().cast("array<int>")
-    own = live.join(distinct.select("gram", "segment", "n", F.col("place").alias("_front")), ["gram", "segment"]).join(found, ["gram", "segment"], "left")
+    # one table, one join: two in a row could not split a segment that stands in most documents
+    known = written(distinct.select("gram", "segment", "n", F.col("place").alias("_front")).join(found, ["gram", "segment"], "left"), "known")
+    own = live.join(known, ["gram", "segment"])
     copied = F.col("n") > 1
     if keep_first:
         copied &= ~place.eqNullSafe(F.col("_front"))
