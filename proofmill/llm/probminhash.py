@@ -7,12 +7,17 @@ stops as soon as its next arrival is later than every slot's first, so long
 texts need hardly more than one arrival each. Two texts agree in a slot with
 the chance of their probability Jaccard. Bands of `ROWS` slots bring likely
 pairs together; each is then compared exactly, and linked when the Jaccard of
-its five-word shingles is at least 0.8.
-
-Texts of the same words are one text from the start. In a bucket of any size
-members are compared with its leader only: the member whose own buckets are
-the fullest, hence the text the others were copied from. Buckets also split
-by one and by two further bands, each part with a leader of its own.
+its five-word shingles is at least 0.8. That Jaccard has no weights, so every
+text has bands over weights of 1; a text with repeated shingles has the
+weighted ones as well.
+
+Texts of the same words are one text from the start. The members of a bucket
+are first compared with its leader: the member whose own buckets are the
+fullest, hence the text the others were copied from. Buckets also split by one
+and by two further bands, each part with a leader of its own. The links so far
+make groups; then members of one bucket in different groups are all compared
+with each other, so a bucket of copies costs one comparison a member, and no
+pair of a bucket is left out.
 """
 from __future__ import annotations
 
@@ -27,7 +32,7 @@ from proofmill.llm.groups import connected
 from proofmill.llm.tables import written
 from proofmill.llm.words import Words, chunks, mixed, words
 
-SHINGLE, SLOTS, ROWS, SPLITS = 5, 96, 4, 3
+SHINGLE, SLOTS, ROWS, SPLITS, SALTS, BITS = 5, 96, 4, 3, 16, 1024
 BANDS = SLOTS // ROWS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(52)
@@ -81,6 +86,27 @@ def bands(who: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def banded(text: np.ndarray, shingle: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of n texts, one after the other, and where each text's begin
+    and end: `BANDS` over weights of 1, then, for texts with repeated shingles,
+    `BANDS` over their weights."""
+    again = np.bincount(text, times > 1, n) > 0
+    plain = bands(signatures(text, shingle, np.ones(len(text)), n))
+    own = again[text]
+    weighted = bands(signatures((np.cumsum(again) - 1)[text[own]], shingle[own], times[own], int(again.sum())))
+    out = np.concatenate([plain, weighted])
+    order = np.argsort(np.concatenate([np.arange(n), np.flatnonzero(again)]), kind="stable")
+    return out[order].ravel(), np.append(0, np.cumsum(np.where(again, 2 * BANDS, BANDS)))
+
+
+def bitmaps(text: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """`BITS` bits of each of n texts, as longs: those its shingles fall on."""
+    out = np.zeros((n, BITS // 64), np.uint64)
+    bit = mixed(shingle + np.uint64(7)) % np.uint64(BITS)
+    np.bitwise_or.at(out, (text, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def sequence_keys(found: Words, n: int) -> np.ndarray:
     """Two hashes of the word sequence of each text."""
     out = np.zeros((2, n), np.uint64)
@@ -103,10 +129,12 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = words(data[lo:hi], offsets[at - first:upto - first + 1] - lo)
                 n = upto - at
                 keys = sequence_keys(found, n)
-                prints = bands(signatures(*shingles(found), n))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(prints.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(found.counts.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), lists],
-                                                 ["doc_id", "n_words", "key_a", "key_b", "bands"])
+                text, shingle, times = shingles(found)
+                lists, ends = banded(text, shingle, times, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(found.counts.astype(np.int64)), pa.array(np.bincount(text, minlength=n)), pa.array(keys[0]), pa.array(keys[1]),
+                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lists)),
+                                                  pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BITS // 64, BITS // 64), pa.int32()), pa.array(bitmaps(text, shingle, n).ravel()))],
+                                                 ["doc_id", "n_words", "n_shingles", "key_a", "key_b", "bands", "bits"])
 
 
 def _unique(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +155,15 @@ def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
     return (5 * shared >= 4 * (na + nb - shared)) & (na + nb > 0)
 
 
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bits allow a Jaccard of 0.8."""
+    for batch in batches:
+        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        x, y = (batch.column(i).flatten().to_numpy().view(np.uint64).reshape(len(n), -1) for i in (4, 5))
+        both = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+        yield batch.select([0, 1]).filter(pa.array(5 * both >= 4 * (n + m - both)))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
@@ -134,22 +171,65 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows.select(["a", "b"]).filter(keep)
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """(a, b): the members of each bucket with its leader, from (rep, bands)."""
-    opened = texts.select("rep", F.posexplode("bands").alias("_band", "bucket"))
+def buckets(texts: DataFrame) -> DataFrame:
+    """(rep, fame, buckets) from (rep, bands): a row for
+    each bucket that a text shares, the bucket first and then its finer parts;
+    fame is how full the text's buckets are."""
+    opened = texts.select("rep", "bands", F.posexplode("bands").alias("_band", "bucket"))
+    # a band that the weights do not change is there once
+    opened = opened.filter((F.col("_band") < BANDS) | (F.col("bucket") != F.get("bands", F.col("_band") - BANDS))).drop("bands")
     sizes = opened.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # joins that grow with the corpus shuffle at every size, so that small runs tell what large ones take
     members = opened.join(sizes.hint("merge"), "bucket").join(texts.select("rep", "bands").hint("merge"), "rep")
-    nth = lambda i: F.element_at("bands", ((F.col("_band") + i) % BANDS + 1).cast("int"))
-    finer = F.array(*[F.xxhash64(F.lit(k), "bucket", *[nth(i) for i in range(1, k + 1)]) for k in range(SPLITS)])
+    lane = F.floor(F.col("_band") / BANDS) * BANDS
+    nth = lambda i: F.element_at("bands", (lane + (F.col("_band") + i) % BANDS + 1).cast("int"))
+    finer = F.array("bucket", *[F.xxhash64(F.lit(k), "bucket", *[nth(i) for i in range(1, k + 1)]) for k in range(1, SPLITS)])
     members = written(members.select("rep", "size", finer.alias("buckets")), "members")
     fame = members.groupBy("rep").agg(F.sum("size").alias("fame"))
-    placed = members.join(fame, "rep").select("rep", "fame", F.explode("buckets").alias("bucket"))
-    leaders = placed.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("_top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = placed.join(leaders.select("bucket", (-F.col("_top.rep")).alias("b")), "bucket").filter("rep <> b")
+    return members.join(fame, "rep").select("rep", "fame", "buckets")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
 
 
+def candidates(members: DataFrame) -> DataFrame:
+    """(a, b): the members of each bucket and of its parts with their leader."""
+    placed = members.select("rep", "fame", F.explode("buckets").alias("bucket"))
+    leaders = placed.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("_top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return _ordered(placed.join(leaders.select("bucket", (-F.col("_top.rep")).alias("b")), "bucket").filter("rep <> b"))
+
+
+def others(members: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a bucket whose texts are in different groups of
+    `roots` and may reach 0.8, but for the pairs `done`.
+
+    A shingle whose bit the other text has not set is not shared, so the bits
+    bound the Jaccard from above: no pair of 0.8 is left out. Of two groups one
+    is not the leader's: only members outside the leader's group meet the whole
+    bucket, dealt over `SALTS` tasks.
+    """
+    placed = members.select("rep", "fame", F.col("buckets")[0].alias("bucket"))
+    placed = placed.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    led = placed.groupBy("bucket").agg(F.max_by("root", F.struct("fame", -F.col("rep"))).alias("_led"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+    placed = placed.drop("fame").join(led.filter("_low < _high").drop("_low", "_high").hint("merge"), "bucket")
+    placed = written(placed.join(texts.select("rep", "n_shingles", "bits").hint("merge"), "rep"), "unlike")
+    inside = placed.select("bucket", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("_salt"), "rep", "root", "n_shingles", "bits")
+    outside = placed.filter("root <> _led").select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.col("rep").alias("b"), F.col("root").alias("_root"), F.col("n_shingles").alias("_n"), F.col("bits").alias("_bits"))
+    met = inside.join(outside.hint("merge"), ["bucket", "_salt"]).filter(F.col("root") != F.col("_root"))
+    met = met.select("rep", "b", "n_shingles", "_n", "bits", "_bits").mapInArrow(_possible, "rep long, b long")
+    return _ordered(met).join(done.hint("merge"), ["a", "b"], "left_anti")
+
+
+def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose texts have a Jaccard of at least 0.8."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    held = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
+    compared = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
+        held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    return compared.mapInArrow(_verified, "a long, b long")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for each row of `docs`: the smallest id of its group.
 
@@ -157,17 +237,15 @@ def classes(docs: DataFrame) -> DataFrame:
     that share an id are one document; a null id has a null class. Columns
     other than doc_id and text are not read.
     """
-    prints = written(docs.select("doc_id", "text").mapInArrow(_printed, "doc_id long, n_words long, key_a long, key_b long, bands array<long>"), "prints")
+    prints = written(docs.select("doc_id", "text").mapInArrow(_printed, "doc_id long, n_words long, n_shingles long, key_a long, key_b long, bands array<long>, bits array<long>"), "prints")
     worded = prints.filter("n_words > 0 and doc_id is not null")
-    texts = written(worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "texts")
-    pairs = written(candidates(texts), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
-    compared = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
-        held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    links = compared.mapInArrow(_verified, "a long, b long")
+    texts = written(worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "texts")
+    members = written(buckets(texts), "buckets")
+    pairs = written(candidates(members), "pairs")
     copies = worded.join(texts.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     # an id's own texts, a text's copies and the compared pairs all link
-    roots = connected(links.unionByName(copies.distinct()))
+    groups = written(connected(linked(docs, pairs).unionByName(copies.distinct())), "groups")
+    rest = written(others(members, texts, groups, pairs), "others")
+    roots = connected(linked(docs, rest).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return docs.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("class_id"))

@@ -267,6 +267,29 @@ def test_near_duplicates(spark, rows):
     assert [r.class_id for r in got if r.doc_id is None] == [None]
 
 
+def test_pairs_inside_a_family_of_boilerplate(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 150)
+    docs = []
+    for i in range(150):  # 0.84 to each other, 0.79 or less to all others: the leader of a bucket is like few of them
+        both = prose(rng, 6)
+        docs += [(2 * i + k, f"{passage} {both} {prose(rng, 14)}", "s") for k in range(2)]
+    got = {r.doc_id: r.class_id for r in probminhash.classes(documents(spark, docs)).collect()}
+    assert got == near(docs) and len(set(got.values())) == 150
+
+
+def test_bands_cover_the_unweighted_measure():
+    text = np.repeat([0, 1], 100)
+    shingle = np.concatenate([np.arange(100), np.arange(10, 110)]).astype(np.uint64)
+    times = np.where(np.arange(200) % 100 < 10, 10**6, 1)  # what one text repeats often the other has once or not at all
+    found, ends = probminhash.banded(text, shingle, times, 2)
+    plain, _ = probminhash.banded(text, shingle, np.ones(200, int), 2)
+    assert list(ends) == [0, 2 * probminhash.BANDS, 4 * probminhash.BANDS]
+    assert set(plain[:probminhash.BANDS]) & set(plain[probminhash.BANDS:])
+    assert set(found[:probminhash.BANDS]) == set(plain[:probminhash.BANDS])
+    assert not set(found[probminhash.BANDS:ends[1]]) & set(found[ends[1] + probminhash.BANDS:])
+
+
 def test_slots_agree_as_often_as_texts_do():
     agree = []
     for seed in range(30):
