@@ -146,6 +146,14 @@ def test_rules_and_trust(spark):
     assert links.filtered(df).count() == len(pages)
 
 
+def test_distrust_reaches_far_hosts(spark):
+    pages = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(11)] + [(11, "http://h11.net/", '<a href="http://x.com/de/1">'), (12, "http://x.com/de/1", "")]
+    got = {r.page_id: r.verdict for r in links.filtered(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "block" for i in range(13)}
+    small = spark.createDataFrame([(0.0, 1e-14, True), (1e-14, 1e-14, False), (2e-14, 1e-14, False)], "t double, d double, bad boolean")
+    assert small.filter(links.blocked(F.col("t"), F.col("d")) != F.col("bad")).count() == 0
+
+
 @pytest.mark.parametrize("page, text", [
     ("<p>a<b>b</b> c<p>d &amp; e<div class='comments'>x</div>", "ab c\nd & e"), (None, ""), ("", ""), ("plain  text", "plain text"),
     ("<article><header><h1>T</h1></header><section class=comments><p>c</p></section><p>x<br>y</p></article><footer>f</footer>", "T\nx y"),
