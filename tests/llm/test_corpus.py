@@ -210,6 +210,21 @@ def test_network_finds_held_out_secrets():
     assert (p == (y[225:] == 1)).mean() > 0.95
 
 
+@pytest.mark.parametrize("labelled", [0, 60])
+def test_network_reads_small_and_lopsided_tables(spark, labelled):
+    rng = random.Random(21)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    docs = [(i, f'token = "{key()}"', "s") for i in range(labelled)]
+    # one long document supplies nearly all candidates
+    docs += [(1000, " ".join(f"https://www.example.com/pages/{i:06d}/index" for i in range(20_000)), "s"), (1001, "the key " + key().upper()[:40] + " here", "s")]
+    net = secrets.fit(documents(spark, docs))
+    assert net is not None and net.threshold <= 1
+    got = {r.doc_id: r.spans for r in secrets.findings(documents(spark, docs), net).collect()}
+    assert got[1000] == ""  # addresses are no secrets
+    hidden = [('token = "' if labelled else 'set secret = "', "".join(rng.choice("0123456789abcdef") for _ in range(40)), '"' if labelled else '" for')]
+    assert net.probability(secrets.windows([(a + b + c, len(a), len(a) + len(b)) for a, b, c in hidden]))[0] >= net.threshold
+
+
 def test_mix(spark, rows):
     got = mixing.plan(documents(spark, rows)).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
