@@ -221,8 +221,9 @@ def test_network_reads_small_and_lopsided_tables(spark, labelled):
     assert net is not None and net.threshold <= 1
     got = {r.doc_id: r.spans for r in secrets.findings(documents(spark, docs), net).collect()}
     assert got[1000] == ""  # addresses are no secrets
-    hidden = [('token = "' if labelled else 'set secret = "', "".join(rng.choice("0123456789abcdef") for _ in range(40)), '"' if labelled else '" for')]
-    assert net.probability(secrets.windows([(a + b + c, len(a), len(a) + len(b)) for a, b, c in hidden]))[0] >= net.threshold
+    left, right = ('token = "', '"') if labelled else ('set secret = "', '" for')
+    hidden = [(left + key() + right, len(left), len(left) + 40) for _ in range(40)]
+    assert (net.probability(secrets.windows(hidden)) >= net.threshold).mean() >= 0.8
 
 
 def test_mix(spark, rows):
