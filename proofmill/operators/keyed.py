@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from proofmill.session import kept
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join on keys that may be null, keeping the left side's keys."""
@@ -98,3 +100,23 @@ def running_before(df: DataFrame, keys: list[str], order: list, slices: Column,
     for a in amounts:
         out = out.withColumn(f"before_{a}", F.col(f"_in_{a}") + F.col(f"_before{a}"))
     return out.drop("_slice", *[f"_in_{a}" for a in amounts], *[f"_before{a}" for a in amounts])
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """1, 2, 3, ... over the whole table by a total order.
+
+    Rows are dealt by ranges of the order, which evens them out whatever the
+    values are, and written; the ranges' sizes, one number a partition, are
+    added up on the driver; rows are numbered inside their range. No task sees
+    more than its range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ordered")
+    before, starts = 0, []
+    for r in sorted(dealt.groupBy("_range").count().collect()):
+        starts.append((r[0], before))
+        before += r[1]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_range int, _before long"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return (dealt.withColumn("_inside", inside).join(offsets, "_range")
+            .withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before"))
