@@ -1,13 +1,14 @@
 """The registered queries of these operators over the shared tables, and their SQL."""
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmill.llm import bpe, kdtree, links, mainline, mixing, probminhash, quality, secrets, suffixes, templates
+from proofmill.llm import bpe, kdtree, links, mainline, mixing, periodic, piecemerge, probminhash, quality, resample, secrets, suffixes, templates
 from proofmill.llm.tables import table
 
 CORPUS_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +186,93 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and the classifier's verdict for every document."""
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("probability")
+
+
+def replanted(doc_id, words: list[bytes]) -> list[bytes]:
+    """In one document of ten, by its id, all words from some place on repeat
+    with one period."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+# the CRC-32 of the bytes of a text, by a table of what eight bits do
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(n, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY n) AS t FROM range(256) r(n))"
+
+
+def _crc_sql(column: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({column}))), lambda i: ('0x' || substr(hex(encode({column})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda s, b: xor(s >> 8, t[1 + (xor(s, b) & 255)])), 4294967295)"
+
+
+RUNS_SQL = rf"""
+WITH {_CRC_TABLE},
+split AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+told AS (SELECT r, doc_id, w, len(w) AS n, {_crc_sql("coalesce(doc_id::VARCHAR, '')")} AS h FROM split, crc),
+aims AS (SELECT *, (h // 10) % greatest(n, 1) AS a, doc_id IS NOT NULL AND h % 10 = 0 AND n > 0 AS planted FROM told),
+again AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM aims),
+texts AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM again),
+grams AS (SELECT r, i, hash(w[i + 1:i + 6]) AS g FROM (SELECT r, w, unnest(range(n - 5)) AS i FROM texts WHERE n >= 12)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS d FROM grams x JOIN grams y ON x.r = y.r AND x.g = y.g AND x.i < y.i),
+stretches AS (SELECT r, d, min(i) AS start, count(*) + 5 AS depth FROM (
+    SELECT r, d, i, i - row_number() OVER (PARTITION BY r, d ORDER BY i) AS island FROM pairs) GROUP BY r, d, island),
+runs AS (SELECT r, start, depth + d AS length, min(d) AS period FROM stretches WHERE depth >= d AND depth + d >= 12 GROUP BY r, start, depth + d),
+told_runs AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS shown,
+    arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS best FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+rest AS (SELECT r, string_agg(w[i + 1], ' ' ORDER BY i) AS kept FROM (SELECT r, w, unnest(range(n)) AS i FROM texts) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.p::BIGINT AS period,
+    (1000 * best.l // best.p)::BIGINT AS exponent_milli, sha256(coalesce(shown, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM texts LEFT JOIN told_runs USING (r) LEFT JOIN rest USING (r)"""
+
+
+@query("op11_periodic_runs", RUNS_SQL)
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often and how long each document repeats itself without a gap."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), reread=replanted)
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    shown = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.when(F.size("runs") > 0, longest)
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_best.s").alias("start"), (-F.col("_best.l")).alias("length"), F.col("_best.p").alias("period"),
+        F.floor(-1000 * F.col("_best.l") / F.col("_best.p")).cast("long").alias("exponent_milli"),
+        F.sha2(shown, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+RESAMPLE_SQL = rf"""
+WITH {_CRC_TABLE},
+texts AS (SELECT row_number() OVER () AS r, doc_id, text, true AS own FROM documents UNION ALL SELECT -row_number() OVER (), NULL, text, false FROM benchmark),
+split AS (SELECT r, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (SELECT r, own, array_to_string(w[i:i + k - 1], ' ') AS f FROM (SELECT r, own, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, range(1, 4) g(k))),
+hashed AS (SELECT f, {_crc_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM features), crc),
+counts AS (SELECT b AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM range(10000) x(b) LEFT JOIN
+    (SELECT bucket, sum(own::INT) AS s, sum((NOT own)::INT) AS t FROM features JOIN hashed USING (f) GROUP BY bucket) ON b = bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ()) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((sum(t) OVER ()) + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+weights AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE own GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score
+    FROM split LEFT JOIN weights USING (r) WHERE own),
+placed AS (SELECT *, row_number() OVER (ORDER BY n >= 20 DESC, score DESC, doc_id NULLS LAST, n_features, weight) AS place, sum((n >= 20)::INT) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND place <= 5 * fit // 100 THEN place END::BIGINT AS rank FROM placed"""
+
+
+@query("op12_importance_resampling", RESAMPLE_SQL)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn by their likeness to the benchmark's texts."""
+    return resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def piece_model() -> bytes:
+    import public_tokenizers
+    return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+
+
+@query("op13_token_counts")
+def piece_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens each document has, and whether they pass the limit."""
+    return piecemerge.token_counts(table(spark, sf_dir, "documents"), piece_model(), 4096)

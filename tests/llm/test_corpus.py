@@ -53,7 +53,7 @@ def test_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(CORPUS_QUERIES))
 def test_runs_on_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert CORPUS_QUERIES[name](spark, str(tmp_path)).count() == 0
 
