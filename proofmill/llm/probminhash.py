@@ -15,8 +15,12 @@ Texts of the same words are one text from the start. The members of a bucket
 are first compared with its leader: the member whose own buckets are the
 fullest, hence the text the others were copied from. Buckets also split by one
 and by two further bands, each part with a leader of its own. The links so far
-make groups; then members of one bucket in different groups are all compared
-with each other, so a bucket of copies costs one comparison a member, and no
+make groups. What is left are the buckets whose members are in several groups:
+their texts meet by an exact prefix filter. Every text puts its shingles in one
+common order, rare ones first. Of a pair at 0.8 or more the longer text has one
+of its first n - ceil(0.8 n) + 1 shingles among the first n - ceil(8/9 n) + 1
+of the other, where n is either text's own number. So a bucket of copies costs
+one comparison a member, texts that share but a passage meet nowhere, and no
 pair of a bucket is left out.
 """
 from __future__ import annotations
@@ -26,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofmill.llm.groups import connected
 from proofmill.llm.tables import written
 from proofmill.llm.words import Words, chunks, mixed, words
 
-SHINGLE, SLOTS, ROWS, SPLITS, SALTS, BITS = 5, 96, 4, 3, 16, 1024
+SHINGLE, SLOTS, ROWS, SPLITS, PART = 5, 96, 4, 3, 1024
 BANDS = SLOTS // ROWS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(52)
@@ -99,14 +104,6 @@ def banded(text: np.ndarray, shingle: np.ndarray, times: np.ndarray, n: int) ->
     return out[order].ravel(), np.append(0, np.cumsum(np.where(again, 2 * BANDS, BANDS)))
 
 
-def bitmaps(text: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
-    """`BITS` bits of each of n texts, as longs: those its shingles fall on."""
-    out = np.zeros((n, BITS // 64), np.uint64)
-    bit = mixed(shingle + np.uint64(7)) % np.uint64(BITS)
-    np.bitwise_or.at(out, (text, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    return out.view(np.int64)
-
-
 def sequence_keys(found: Words, n: int) -> np.ndarray:
     """Two hashes of the word sequence of each text."""
     out = np.zeros((2, n), np.uint64)
@@ -132,9 +129,8 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text, shingle, times = shingles(found)
                 lists, ends = banded(text, shingle, times, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(found.counts.astype(np.int64)), pa.array(np.bincount(text, minlength=n)), pa.array(keys[0]), pa.array(keys[1]),
-                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lists)),
-                                                  pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BITS // 64, BITS // 64), pa.int32()), pa.array(bitmaps(text, shingle, n).ravel()))],
-                                                 ["doc_id", "n_words", "n_shingles", "key_a", "key_b", "bands", "bits"])
+                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lists))],
+                                                 ["doc_id", "n_words", "n_shingles", "key_a", "key_b", "bands"])
 
 
 def _unique(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,13 +151,17 @@ def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
     return (5 * shared >= 4 * (na + nb - shared)) & (na + nb > 0)
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bits allow a Jaccard of 0.8."""
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different shingle of each text."""
     for batch in batches:
-        n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        x, y = (batch.column(i).flatten().to_numpy().view(np.uint64).reshape(len(n), -1) for i in (4, 5))
-        both = np.minimum(n - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-        yield batch.select([0, 1]).filter(pa.array(5 * both >= 4 * (n + m - both)))
+        for first, last, data, offsets in chunks(batch.column("text"), 1 << 20):
+            for at in range(first, last, 2048):
+                upto = min(last, at + 2048)
+                lo, hi = offsets[at - first], offsets[upto - first]
+                text, shingle, _ = shingles(words(data[lo:hi], offsets[at - first:upto - first + 1] - lo))
+                rows = batch.select(["rep", "version", "root", "size"]).take(pa.array(text + at))
+                sizes = np.bincount(text, minlength=upto - at)[text]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sizes, pa.int64()), pa.array(shingle.view(np.int64))], ["rep", "version", "root", "size", "n", "shingle"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,25 +200,46 @@ def candidates(members: DataFrame) -> DataFrame:
     return _ordered(placed.join(leaders.select("bucket", (-F.col("_top.rep")).alias("b")), "bucket").filter("rep <> b"))
 
 
-def others(members: DataFrame, texts: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a bucket whose texts are in different groups of
-    `roots` and may reach 0.8, but for the pairs `done`.
+def unlike(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rep, root, size): the texts of buckets whose members are in several
+    groups of `roots`; size is how many of these texts the group has."""
+    placed = members.select("rep", F.col("buckets")[0].alias("bucket"))
+    placed = placed.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed_ = placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("bucket")
+    texts = written(placed.join(mixed_.hint("merge"), "bucket").select("rep", "root").distinct(), "unlike")
+    return texts.join(texts.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select("rep", "root", "size")
+
 
-    A shingle whose bit the other text has not set is not shared, so the bits
-    bound the Jaccard from above: no pair of 0.8 is left out. Of two groups one
-    is not the leader's: only members outside the leader's group meet the whole
-    bucket, dealt over `SALTS` tasks.
+def others(docs: DataFrame, open_: DataFrame, done: DataFrame) -> DataFrame:
+    """(a, b): the pairs of the texts `open_`, in different groups, that may
+    reach 0.8 by the prefix filter, but for the pairs `done`.
+
+    A shingle that one group alone has brings nothing together. Of two groups
+    one is not the largest at a shingle: only texts outside that one meet all
+    others, a frequent shingle's texts dealt over tasks of `PART`. Whether the
+    lengths allow 0.8, and whether enough shingles follow the shared one, is
+    part of the join.
     """
-    placed = members.select("rep", "fame", F.col("buckets")[0].alias("bucket"))
-    placed = placed.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    led = placed.groupBy("bucket").agg(F.max_by("root", F.struct("fame", -F.col("rep"))).alias("_led"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-    placed = placed.drop("fame").join(led.filter("_low < _high").drop("_low", "_high").hint("merge"), "bucket")
-    placed = written(placed.join(texts.select("rep", "n_shingles", "bits").hint("merge"), "rep"), "unlike")
-    inside = placed.select("bucket", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int").alias("_salt"), "rep", "root", "n_shingles", "bits")
-    outside = placed.filter("root <> _led").select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.col("rep").alias("b"), F.col("root").alias("_root"), F.col("n_shingles").alias("_n"), F.col("bits").alias("_bits"))
-    met = inside.join(outside.hint("merge"), ["bucket", "_salt"]).filter(F.col("root") != F.col("_root"))
-    met = met.select("rep", "b", "n_shingles", "_n", "bits", "_bits").mapInArrow(_possible, "rep long, b long")
-    return _ordered(met).join(done.hint("merge"), ["a", "b"], "left_anti")
+    held = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("version")).join(open_.hint("merge"), "rep")
+    rows = written(held.mapInArrow(_opened, "rep long, version long, root long, size long, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.max_by("root", F.struct("size", "root")).alias("_led"),
+                                        F.min("root").alias("_low"), F.max("root").alias("_high")).filter("often > 1")
+    often = often.select("shingle", "often", "_led", (F.col("_low") < F.col("_high")).alias("_several"))
+    ranked = rows.drop("size").join(often.hint("merge"), "shingle", "left")
+    place = F.dense_rank().over(W.partitionBy("rep", "version").orderBy(F.coalesce("often", F.lit(1)), "shingle"))  # rows may repeat
+    ranked = ranked.withColumn("place", place.cast("long"))
+    long, short = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1, F.col("n") - F.ceil(F.col("n") * 8 / 9) + 1
+    front = ranked.filter((F.col("place") <= long) & F.col("_several")).select(
+        "shingle", "rep", "version", "root", "n", "place", (F.col("place") <= short).alias("short"), "_led", F.ceil(F.col("often") / PART).cast("int").alias("_parts"))
+    front = written(front.dropDuplicates(["shingle", "rep", "version"]), "fronts")
+    inside = front.withColumn("_part", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int")).drop("_led", "_parts")
+    outside = front.filter("root <> _led").select("shingle", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("rep").alias("b"),
+                                                  F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("place").alias("_place"), F.col("short").alias("_short"))
+    left = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place")) + 1
+    near = (F.col("root") != F.col("_root")) & (5 * F.least("n", "_n") >= 4 * F.greatest("n", "_n")) & (9 * left >= 4 * (F.col("n") + F.col("_n")))
+    near &= F.when(F.col("n") >= F.col("_n"), F.col("_short")).otherwise(F.col("short"))
+    met = inside.alias("x").join(outside.hint("merge").alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x._part") == F.col("y._part")) & near)
+    return _ordered(met.select("rep", "b")).join(done.hint("merge"), ["a", "b"], "left_anti")
 
 
 def linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -237,15 +258,15 @@ def classes(docs: DataFrame) -> DataFrame:
     that share an id are one document; a null id has a null class. Columns
     other than doc_id and text are not read.
     """
-    prints = written(docs.select("doc_id", "text").mapInArrow(_printed, "doc_id long, n_words long, n_shingles long, key_a long, key_b long, bands array<long>, bits array<long>"), "prints")
+    prints = written(docs.select("doc_id", "text").mapInArrow(_printed, "doc_id long, n_words long, n_shingles long, key_a long, key_b long, bands array<long>"), "prints")
     worded = prints.filter("n_words > 0 and doc_id is not null")
-    texts = written(worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")), "texts")
+    texts = written(worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "texts")
     members = written(buckets(texts), "buckets")
     pairs = written(candidates(members), "pairs")
     copies = worded.join(texts.select("key_a", "key_b", "rep"), ["key_a", "key_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
     # an id's own texts, a text's copies and the compared pairs all link
     groups = written(connected(linked(docs, pairs).unionByName(copies.distinct())), "groups")
-    rest = written(others(members, texts, groups, pairs), "others")
+    rest = written(others(docs, unlike(members, groups), pairs), "others")
     roots = connected(linked(docs, rest).unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return docs.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("root", "doc_id").alias("class_id"))
