@@ -70,7 +70,7 @@ def _moves() -> np.ndarray:
     return out
 
 
-def _longer(state: np.ndarray, at: np.ndarray, ids: np.ndarray, flat: list[bytes], head: Head) -> np.ndarray:
+def _longer(state: np.ndarray, at: np.ndarray, ids: np.ndarray, names: list[bytes], codes: np.ndarray, head: Head) -> np.ndarray:
     """CRCs moved on by a space and the words at `at`."""
     out = np.empty(len(at), np.uint32)
     own = ids[at]
@@ -79,21 +79,28 @@ def _longer(state: np.ndarray, at: np.ndarray, ids: np.ndarray, flat: list[bytes
     moved = moves[size, 0, s & 255] ^ moves[size, 1, s >> 8 & 255] ^ moves[size, 2, s >> 16 & 255] ^ moves[size, 3, s >> 24]
     out[known] = moved ^ head.spaced[own[known]]
     rest = np.flatnonzero(~known)
-    out[rest] = [crc32(b" " + flat[i], c) for i, c in zip(at[rest].tolist(), state[rest].tolist())]
+    out[rest] = [crc32(b" " + names[i], c) for i, c in zip(codes[at[rest]].tolist(), state[rest].tolist())]
     return out
 
 
+def _coded(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+    """The different words of some texts, and which of them each word is."""
+    found = pa.array([w for t in texts for w in t], pa.binary()).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
+
+
 def buckets(texts: list[list[bytes]], head: Head) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all features of some texts, and the text of each."""
     sizes = np.array([len(t) for t in texts])
-    flat = [w for t in texts for w in t]
-    n, get = len(flat), head.place.get
+    names, codes = _coded(texts)
+    n, get = len(codes), head.place.get
     own = np.repeat(np.arange(len(texts)), sizes)
-    ids = np.fromiter((get(w, -1) for w in flat), np.int64, n)
-    state = np.empty(n, np.uint32)
-    state[ids >= 0] = head.crc[ids[ids >= 0]]
-    rest = np.flatnonzero(ids < 0)
-    state[rest] = [crc32(flat[i]) for i in rest.tolist()]
+    places = np.fromiter((get(w, -1) for w in names), np.int64, len(names))
+    known = places >= 0
+    crc = np.empty(len(names), np.uint32)
+    crc[known] = head.crc[places[known]]
+    crc[~known] = [crc32(names[i]) for i in np.flatnonzero(~known).tolist()]
+    ids, state = places[codes], crc[codes]
     parts, owners = [state % BUCKETS], [own]
     for more in range(1, min(GRAM, n)):
         inside = np.flatnonzero(own[:-more] == own[more:])
@@ -105,9 +112,9 @@ def buckets(texts: list[list[bytes]], head: Head) -> tuple[np.ndarray, np.ndarra
             seen = (head.pair[where] == key) & (ids[inside] >= 0) & (ids[at] >= 0)
             now = np.empty(len(inside), np.uint32)
             now[seen] = head.pair_crc[where[seen]]
-            now[~seen] = _longer(before[~seen], at[~seen], ids, flat, head)
+            now[~seen] = _longer(before[~seen], at[~seen], ids, names, codes, head)
         else:
-            now = _longer(before, at, ids, flat, head)
+            now = _longer(before, at, ids, names, codes, head)
         state = np.zeros(n, np.uint32)
         state[inside] = now
         parts.append(now % BUCKETS)
@@ -130,23 +137,30 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The most frequent words and pairs of a task's texts. A full table drops
-    its rarer half: what is frequent in the task stays, and no result depends
-    on it."""
+    """The most frequent words and pairs of a task's texts. What occurs once in
+    a chunk is not counted there, and a full table drops its rarer half: what
+    is frequent in the task stays, and no result depends on it."""
     single: Counter = Counter()
     double: Counter = Counter()
     for batch in batches:
         for _, texts in _texts(batch, 0):
-            for words in texts:
-                single.update(words)
-                double.update(pairwise(words))
+            names, ids = _coded(texts)
+            own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            times = np.bincount(ids, minlength=len(names))
+            some = np.flatnonzero(times > 1)
+            single.update(dict(zip([names[i] for i in some.tolist()], times[some].tolist())))
+            pair = np.sort((ids[:-1] << 32 | ids[1:])[own[:-1] == own[1:]])
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else pair
+            times = np.diff(np.append(first, len(pair)))
+            some = pair[first[times > 1]].tolist()
+            double.update(dict(zip([(names[k >> 32], names[k & 0xFFFFFFFF]) for k in some], times[times > 1].tolist())))
             for table in (single, double):
                 if len(table) > COUNTED:
                     few = dict(table.most_common(COUNTED // 2))
                     table.clear()
                     table.update(few)
     rows = [(w, None, c) for w, c in single.most_common(HEAD_WORDS) if len(w) <= HEAD_BYTES]
-    rows += [(a, b, c) for (a, b), c in double.most_common(HEAD_PAIRS) if max(len(a), len(b)) <= HEAD_BYTES and c > 1]
+    rows += [(a, b, c) for (a, b), c in double.most_common(HEAD_PAIRS) if max(len(a), len(b)) <= HEAD_BYTES]
     a, b, c = zip(*rows) if rows else ((), (), ())
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.int64())], ["a", "b", "n"])
 
