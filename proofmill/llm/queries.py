@@ -150,17 +150,19 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEMPLATE_SQL = r"""
 WITH texts AS (SELECT DISTINCT doc_id, text FROM documents),
 split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM texts WHERE text IS NOT NULL),
-worded AS (SELECT doc_id, text, place, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
-    lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS words FROM split),
-lines AS (SELECT doc_id, text, place, words, len(words)::VARCHAR || ' ' || array_to_string(words[1:3], ' ') AS leaf, array_to_string(words, ' ') AS body
-    FROM worded WHERE len(words) >= 5),
+worded AS (SELECT doc_id, text, place, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw FROM split),
+masked AS (SELECT *, list_transform(raw, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS words FROM worded WHERE len(raw) > 0),
+lines AS (SELECT doc_id, text, place, words, array_to_string(raw, ' ') AS body,
+    CASE WHEN len(raw) < 5 THEN 'S' || array_to_string(raw, ' ') ELSE len(words)::VARCHAR || ' ' || array_to_string(words[1:3], ' ') END AS leaf FROM masked),
 counts AS (SELECT leaf, body, any_value(words) AS words, count(DISTINCT coalesce(doc_id, -1)) AS documents FROM lines GROUP BY leaf, body),
-places AS (SELECT leaf, body, documents, unnest(words) AS word, unnest(range(len(words))) AS place FROM counts),
+places AS (SELECT leaf, body, documents, len(words) AS len_words, unnest(words) AS word, unnest(range(len(words))) AS place FROM counts),
 constants AS (SELECT leaf, place, word, sum(documents) >= 3 AND word <> '<*>' AS fixed FROM places GROUP BY leaf, place, word),
-marked AS (SELECT leaf, body, string_agg(CASE WHEN fixed THEN word ELSE '<*>' END, ' ' ORDER BY place) AS shown, avg(fixed::INT) AS share
+marked AS (SELECT leaf, body, string_agg(CASE WHEN fixed THEN word ELSE '<*>' END, ' ' ORDER BY place) AS shown, any_value(len_words) AS len_words,
+    sum(fixed::INT) FILTER (place >= 3) AS same, avg(fixed::INT) FILTER (place >= 3) AS share
     FROM places JOIN constants USING (leaf, place, word) GROUP BY leaf, body),
-merged AS (SELECT leaf, body, CASE WHEN share >= 0.6 THEN 'T' || shown ELSE 'L' || body END AS template FROM marked),
-often AS (SELECT leaf, template, min(doc_id) AS first FROM lines JOIN merged USING (leaf, body) GROUP BY leaf, template HAVING count(DISTINCT coalesce(doc_id, -1)) >= 3),
+merged AS (SELECT leaf, body, len_words >= 20 AS long, CASE WHEN share >= 0.6 AND same >= 2 AND left(leaf, 1) <> 'S' THEN 'T' || shown ELSE 'L' || body END AS template FROM marked),
+often AS (SELECT leaf, template, min(doc_id) AS first FROM lines JOIN merged USING (leaf, body) GROUP BY leaf, template, long
+    HAVING count(DISTINCT coalesce(doc_id, -1)) >= CASE WHEN long THEN 2 ELSE 3 END),
 gone AS (SELECT doc_id, text, list(place) AS places FROM lines JOIN merged USING (leaf, body) JOIN often USING (leaf, template)
     WHERE doc_id IS DISTINCT FROM first GROUP BY doc_id, text)
 SELECT d.doc_id, coalesce(len(list_filter(string_split(d.text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))), 0)::BIGINT AS n_lines,

@@ -62,9 +62,12 @@ def test_stages_on_odd_rows_and_none(spark, rows, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (documents(spark, rows), documents(spark, rows).limit(0)):
         for _, stage in P.STAGES[:-1]:
-            out = stage(spark, docs, str(tmp_path))
-            assert out.columns == docs.columns
-            out.collect()
+            odd = docs
+            for c in ("kept", "shard", "n_lines", "n_dropped", "places", "part", "copies", "_row", "_mix", "probability"):
+                odd = odd.withColumn(c, F.lit(7))
+            out = stage(spark, odd, str(tmp_path))
+            assert out.columns == odd.columns
+            assert all(r[c] == 7 for r in out.collect() for c in ("kept", "shard", "n_lines", "places", "_mix"))
         assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
 
 
@@ -256,8 +259,23 @@ def test_templates(spark):
     docs = [(i, f"unique words of document number {i} {prose(random.Random(i), 8)}\n{line.format(i, i * 7)}\nshort", "s") for i in range(5)]
     docs += [(10, None, "s"), (11, "", "s"), (12, "alpha beta gamma delta words\n\nalpha beta gamma delta words", "s"), (0, docs[0][1], "s")]
     got = {r.doc_id: r for r in templates.cleaned(documents(spark, docs)).collect()}
-    assert got[0].n_dropped == 0 and [got[i].n_dropped for i in range(1, 5)] == [1, 1, 1, 1]  # too little of the first line is constant
-    assert got[12].n_dropped == 0 and got[10].text is None and got[11].text == "" and got[1].text == docs[1][1].split("\n")[0] + "\nshort"
+    assert got[0].n_dropped == 0 and [got[i].n_dropped for i in range(1, 5)] == [2, 2, 2, 2]  # too little of the first line is constant
+    assert got[12].n_dropped == 0 and got[10].text is None and got[11].text == "" and got[1].text == docs[1][1].split("\n")[0]
+
+
+def test_lines_of_other_content_stay(spark):
+    rows = [[f"12 7 33 4 {i}", f"the quick brown fox{chr(97 + i)} jumped{chr(97 + i)}", "All rights reserved.", "", f"only {i}"] for i in range(5)]
+    long = prose(random.Random(9), 25)
+    docs = [(i, "\n".join(r), "s") for i, r in enumerate(rows)] + [(20, f"a\n{long}", "s"), (21, f"{long}\nb", "s"), (None, "All rights reserved.", "s")]
+    df = documents(spark, docs)
+    for c in ("places", "n_lines", "n_dropped", "_id", "_version", "_row", "leaf"):
+        df = df.withColumn(c, F.lit(7))
+    out = templates.cleaned(df)
+    assert sorted(out.columns) == sorted(df.columns)
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].text.split("\n") for i in range(5)] == [rows[0]] + [r[:2] + r[3:] for r in rows[1:]]
+    assert got[20].text == docs[5][1] and got[21].text == "b" and got[21].n_lines == 2 and got[21].places == 7
+    assert got[None].text == "" and got[None].n_dropped == 1
 
 
 def test_template_words_generalise(spark):
@@ -353,6 +371,16 @@ def test_quality_counts(spark, rows):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed)
 
 
+def test_lines_are_told_apart_by_more_than_their_form(spark):
+    word = "a"
+    while len(word) < 1024:  # a word and its complement meet in every polynomial of a power of two
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = documents(spark, [(1, f"{word}\n{other}", "s"), (2, f"{word}\n{word}", "s"), (3, f"{word} x y {other} x y", "s")])
+    got = {r.doc_id: r for r in quality.judged(docs, None).collect()}
+    assert [got[i].n_dup_lines for i in (1, 2)] == [0, 1] and got[3].n_repeat_words == 0
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
