@@ -94,3 +94,13 @@ def bleu_tokens(text: Column, lowercase: bool) -> Column:
                           ("([.,])([^0-9])", " $1 $2"), ("([0-9])(-)", "$1 $2 ")):
         t = F.regexp_replace(t, pattern, swap)
     return words(t)
+
+
+_NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$"
+
+
+def number_of(text: Column) -> Column:
+    """A text as a number, null where it is none: no suffix letters, as a cast
+    would take them."""
+    plain = strip(text)
+    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))

@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.jsonpath import path_is_readable
-from ..functions.text import fold_case, name_from_prompt, recorded_answer
+from ..functions.text import fold_case, name_from_prompt, number_of, recorded_answer
 from ..schemas import ASSIGNMENT
-from .keyed import number_within, slice_of
+from .keyed import number_within, numbered, slice_of
 
 SLICE = 1 << 16
 
@@ -106,8 +106,8 @@ def number_names(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """Names 'New Test n', going on from the highest number any test has."""
     number = F.regexp_extract("name", "^New Test ([0-9]{1,18})$", 1).try_cast("long")
     highest = existing.agg(F.coalesce(F.max(number), F.lit(0)).alias("top")).scalar()
-    placed = number_within(new.withColumn("_all", F.lit(1)), ["_all"], [order], slice_of(order, SLICE), "_n")
-    return placed.withColumn("name", F.concat(F.lit("New Test "), (highest + F.col("_n")).cast("string"))).drop("_all", "_n")
+    placed = numbered(new, [F.col(order)], "_n")
+    return placed.withColumn("name", F.concat(F.lit("New Test "), (highest + F.col("_n")).cast("string"))).drop("_n")
 
 
 def label_key(label: Column) -> Column:
@@ -146,7 +146,7 @@ def label_assignments(assignments: DataFrame) -> DataFrame:
 # ── validation ───────────────────────────────────────────────────────────────
 
 def _number_problem(field: Column, value: Column) -> Column:
-    n = value.try_cast("double")
+    n = number_of(value)
     low, high = field["min"], field["max"]
     out = (low.isNotNull() & (n < low)) | (high.isNotNull() & (n > high))
     return (F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), "not_a_number")

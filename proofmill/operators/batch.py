@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions.numeric import let, r4
-from .keyed import join_on, spread
+from ..functions.text import number_of
 from ..schemas import IN_FLIGHT_STATUSES, JUDGE_ENGINE, MAX_TIMES, POWER
+from .keyed import join_on, spread
 
 KEYS = ["batch_id", "entry_id", "label"]
 SCORE_ENGINES = ("one_sample_t", "sequential_t")
@@ -326,7 +327,7 @@ def applies(engine: str) -> Column:
 
 def threshold_value(raw: Column) -> Column:
     """A configured threshold as a finite number, else null."""
-    number = raw.try_cast("double")
+    number = number_of(raw)
     return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.text import strip
+from ...functions.text import number_of, strip
 
 RESULT = ("passed", "score", "detail", "errored")
 
@@ -38,14 +38,11 @@ def outcome(df: DataFrame, error: Column, passed: Column, miss: Column, score: C
         "errored": failed}).drop("_error", "_passed", "_miss", "_score")
 
 
-_NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$"
-
-
 def threshold_columns(score: Column) -> tuple[Column, Column, Column]:
     """(error, passed, miss) of a four-decimal score against its threshold, in
     the direction the catalogue row declares; equality passes."""
     raw = F.col("config")["threshold"]
-    number = F.when(strip(raw).rlike(_NUMBER), strip(raw).try_cast("double"))
+    number = number_of(raw)
     error = (F.when(F.col("reference").isNull(), "no_reference")
              .when(raw.isNull() | (strip(raw) == ""), "no_threshold").when(number.isNull(), "threshold_not_number")
              .when(F.col("comparison").isNull() | ~F.col("comparison").isin("gte", "lte"), "no_comparison"))

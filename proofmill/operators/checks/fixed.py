@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions import jsonpath as J
-from ...functions.text import fold_case, normalize_lookalikes, strip, words
+from ...functions.text import fold_case, normalize_lookalikes, number_of, strip, words
 from . import option, outcome, setting
 
 
@@ -66,10 +66,11 @@ def contains_columns(case_sensitive=None, negate=None, lookalikes=None, plain=Fa
 # quantifier; flat groups without one. Classes hold single characters and the
 # usual ranges: the dialects part over && and -- and over ranges that run
 # backwards. Everything else goes to Python, which also finds what is invalid.
+# Possessive, so that a pattern of any length is told in one pass.
 _ATOM = ("(?:[^\\\\\\[\\](){}*+?|^$.]|\\.|\\\\[dDwWsSbB.\\\\\\[\\](){}*+?|^$/-]|\\[\\^?(?:a-z|A-Z|0-9|a-f|A-F|[A-Za-z0-9 _.,:;!@#%=/'\"<>~](?!-)"
          "|\\\\[dws.\\]\\[-])+\\])(?:(?:[*+?]|\\{[0-9]{1,3},?\\})\\??)?")
-_PORTABLE = (f"^(?:\\(\\?i\\))?\\^?(?:{_ATOM}|\\((?:\\?:)?(?:{_ATOM}|\\|)*\\)){{1,60}}"
-             f"(?:\\|(?:{_ATOM}){{1,40}})?\\$?$")
+_PORTABLE = (f"^(?:\\(\\?i\\))?\\^?(?:{_ATOM}|\\((?:\\?:)?(?:{_ATOM}|\\|)*+\\))++"
+             f"(?:\\|(?:{_ATOM})++)?\\$?$")
 
 
 @F.pandas_udf(T.StringType())
@@ -83,7 +84,7 @@ def _python_match(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Seri
         if pattern not in compiled:
             try:
                 compiled[pattern] = regex.compile(pattern)
-            except regex.error:
+            except (regex.error, RecursionError):
                 compiled[pattern] = None
         matcher = compiled[pattern]
         if matcher is None:
@@ -149,7 +150,7 @@ def length_columns(unit=None) -> tuple[Column, Column, Column]:
     def bound(key):
         raw = F.col("config")[key]
         given = raw.isNotNull() & (strip(raw) != "")
-        number = raw.try_cast("double")
+        number = number_of(raw)
         bad = F.when(given & (number.isNull() | F.isnan(number)), f"{key}_not_number").when(
             given & ((number < 0) | (number != F.floor(number)) | (F.abs(number) == float("inf"))), f"{key}_not_whole")
         return given, F.when(given, number), bad

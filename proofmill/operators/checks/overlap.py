@@ -6,21 +6,20 @@ nothing wider is ever made. Texts are cut into words in the JVM; the words of
 a row go to a short Arrow function as one string per side. (Exploding every
 gram and grouping by it was measured at several times the cost.)
 
-METEOR needs positions matched in stages; its later windows and groups reuse
-the placement the whole texts were given.
+One such function counts for all metrics, each row by its own, so rows of
+different metrics share a pass. METEOR aligns positions in the row as well.
 """
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...functions.stem import stem_tokens, stemmer_of
+from ...functions.stem import stemmer_of
 from ...functions.text import bleu_tokens, meteor_tokens, rouge_tokens
 
 KEYS = ["run_id", "label"]
@@ -107,46 +106,144 @@ def _union_hits(refs: list[list[str]], cans: list[list[str]]) -> int:
     return total
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _rouge_counts(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """hits, answer size, reference size of one variant per row; words are
-    separated by spaces, sentences by newlines."""
-    stems = stemmer_of(4)
+def _chain(pairs: list[tuple[int, int]]) -> int:
+    """Runs of pairs that follow each other in both texts."""
+    pairs.sort()
+    return sum(1 for k, (i, j) in enumerate(pairs) if not k or (i - pairs[k - 1][0], j - pairs[k - 1][1]) != (1, 1))
+
+
+def _aligned(answer: list[str], reference: list[str], stems: Callable | None, groups: dict[str, list[str]]) -> list[float]:
+    """Pairs, chunks and both sizes of an alignment: the same word, the same
+    stem, a common group of stems. What repeats pairs up from the end of both
+    texts, the last with the last; a word of several groups takes the latest
+    place any of them offers."""
+    names = [[[w] for w in t] for t in (answer, reference)]
+    stemmed = [stems(t) if stems else t for t in (answer, reference)]
+    stages = [names]
+    if stems:
+        stages.append([[[w] for w in t] for t in stemmed])
+    if groups:
+        stages.append([[groups.get(w, []) for w in t] for t in stemmed])
+    left_a, left_r = range(len(answer)), range(len(reference))
+    pairs: list[tuple[int, int]] = []
+    for keys_a, keys_r in stages:
+        places: dict[str, list[int]] = {}
+        for j in left_r:
+            for key in keys_r[j]:
+                places.setdefault(key, []).append(j)
+        used_a, used_r = set(), set()
+        for i in reversed(left_a):
+            best = -1
+            for key in keys_a[i]:
+                open_ = places.get(key)
+                while open_ and open_[-1] in used_r:
+                    open_.pop()
+                if open_:
+                    best = max(best, open_[-1])
+            if best >= 0:
+                pairs.append((i, best))
+                used_a.add(i)
+                used_r.add(best)
+        left_a = [i for i in left_a if i not in used_a]
+        left_r = [j for j in left_r if j not in used_r]
+    return [float(len(pairs)), float(_chain(pairs)), float(len(answer)), float(len(reference))]
+
+
+def counted_by(groups: dict[str, list[str]] | None = None):
+    """The Arrow function (metric, answer, reference, variant, stemmed) that
+    counts what each row's metric needs; words are separated by spaces, for
+    ROUGE sentences by newlines. `groups`: the synonym groups of stems."""
+    known = groups or {}
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def counts(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        stems, all_stems = stemmer_of(4), stemmer_of(1)
+
+        def rouge_row(answer, reference, variant, stemmed):
+            shape = stems if stemmed else (lambda words: words)
+            if variant == "rougeLsum":
+                cans, refs = ([shape(s.split()) for s in t.split("\n") if s.strip()] for t in (answer, reference))
+                return [float(_union_hits(refs, cans)), float(sum(map(len, cans))), float(sum(map(len, refs)))]
+            a, r = shape(answer.split()), shape(reference.split())
+            if variant == "rougeL":
+                return [float(_lcs(a, r)), float(len(a)), float(len(r))]
+            n = int(variant[5:])
+            return _overlaps(a, r, range(n, n + 1))
+
+        def one(metric, answer, reference, variant, stemmed):
+            if metric is None or answer is None or reference is None:
+                return None
+            if metric == "rouge":
+                return None if variant is None else rouge_row(answer, reference, variant, stemmed)
+            if metric == "bleu":
+                return _overlaps(answer.split(), reference.split(), range(1, 5))
+            return _aligned(answer.split(), reference.split(), all_stems if stemmed else None, known)
+
+        for rows in parts:
+            yield pd.Series([one(*row) for row in zip(*rows)], dtype="object")
+
+    return counts
 
-    def one(answer, reference, variant, stemmed):
-        shape = stems if stemmed else (lambda words: words)
-        if variant == "rougeLsum":
-            cans, refs = ([shape(s.split()) for s in t.split("\n") if s.strip()] for t in (answer, reference))
-            return [float(_union_hits(refs, cans)), float(sum(map(len, cans))), float(sum(map(len, refs)))]
-        a, r = shape(answer.split()), shape(reference.split())
-        if variant == "rougeL":
-            return [float(_lcs(a, r)), float(len(a)), float(len(r))]
-        n = int(variant[5:])
-        return _overlaps(a, r, range(n, n + 1))
 
-    for rows in parts:
-        yield pd.Series([one(*row) for row in zip(*rows)], dtype="object")
+ROUGE_VARIANT = "^rouge([1-9]|L|Lsum)$"
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _bleu_counts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in parts:
-        yield pd.Series([_overlaps(x.split(), y.split(), range(1, 5)) for x, y in zip(a, b)], dtype="object")
+def shaped(metric: Column, name: str, lowercase: Column) -> Column:
+    """A text as its metric's words, separated by spaces."""
+    text = F.col(name)
+    lines = F.array_join(F.transform(F.split(text, "\n"), lambda s: F.array_join(rouge_tokens(s), " ")), "\n")
+    bleu_words = F.array_join(bleu_tokens(F.when(lowercase, F.lower(text)).otherwise(text), False), " ")
+    return F.when(metric == "rouge", lines).when(metric == "bleu", bleu_words).when(metric == "meteor", F.array_join(meteor_tokens(text), " "))
 
 
-ROUGE_VARIANT = "^rouge([1-9]|L|Lsum)$"
+def rouge_score(counts: Column, measure: Column) -> Column:
+    score = lambda m: _measure(m, counts[0], counts[1], counts[2])
+    return F.when(measure == "precision", score("precision")).when(measure == "recall", score("recall")).when(measure == "f1", score("f1"))
+
+
+def bleu_score(counts: Column, kind: Column) -> Column:
+    hits, total = [counts[3 * n] for n in range(4)], [counts[3 * n + 1] for n in range(4)]
+    ref_len = counts[2]
+    logs, used, zeros, reached = F.lit(0.0), F.lit(0), F.lit(0), F.lit(True)
+    for n in range(4):
+        bump = F.when(kind == "add-k", 1.0).otherwise(0.0) if n else F.lit(0.0)
+        h, t = hits[n] + bump, total[n] + bump
+        reached = reached & (t > 0)
+        zeros = zeros + F.when(reached & (h == 0), 1).otherwise(0)
+        empty = F.when(kind == "exp", 100 / (F.pow(F.lit(2.0), zeros) * t)).when(kind == "floor", 100 * 0.1 / t).otherwise(0.0)
+        precision = F.when(h > 0, 100 * h / t).otherwise(empty)
+        logs = logs + F.when(reached, F.when(precision > 0, F.ln(precision)).otherwise(-9999999999.0)).otherwise(0.0)
+        used = used + F.when(reached, 1).otherwise(0)
+    brevity = F.when(total[0] >= ref_len, 1.0).otherwise(F.exp(1 - ref_len / total[0]))
+    something = hits[0] + hits[1] + hits[2] + hits[3] > 0
+    score = F.when(something, brevity * F.exp(logs / used)).otherwise(0.0)
+    return F.when(kind.isin("exp", "floor", "add-k", "none"), score)
+
+
+def meteor_score(counts: Column, alpha: Column, beta: Column, gamma: Column) -> Column:
+    m, chunks = counts[0], counts[1]
+    p, r = m / counts[2], m / counts[3]
+    score = p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * F.pow(chunks / m, beta))
+    return F.when(m > 0, score).otherwise(0.0)
+
+
+def _as_column(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def _counted(df: DataFrame, metric: str, variant: Column, stemmed: Column, lowercase: Column, keep: dict[str, Column], groups: dict | None = None) -> DataFrame:
+    """Rows with both texts, `keep`, and `_o`, what the metric counts."""
+    name = F.lit(metric)
+    rows = _spread(df).select(*KEYS, shaped(name, "answer", lowercase).alias("ta"), shaped(name, "reference", lowercase).alias("tr"),
+                              variant.alias("v"), stemmed.alias("st"), *[c.alias(n) for n, c in keep.items()])
+    return rows.withColumn("_o", counted_by(groups)(name, "ta", "tr", "v", "st"))
 
 
 def rouge(df: DataFrame, variant: Column | str = "rougeL", measure: Column | str = "f1", stemmer: Column | bool = True) -> DataFrame:
     """run_id, label, raw_score. Variant, measure and stemming may differ by row."""
-    variant, measure, stemmer = (x if isinstance(x, Column) else F.lit(x) for x in (variant, measure, stemmer))
-    def lines(c):
-        return F.array_join(F.transform(F.split(F.col(c), "\n"), lambda s: F.array_join(rouge_tokens(s), " ")), "\n")
-    rows = _spread(df).select(*KEYS, lines("answer").alias("ta"), lines("reference").alias("tr"), variant.alias("v"), measure.alias("ms"), stemmer.alias("st"))
-    counted = rows.filter(F.col("v").rlike(ROUGE_VARIANT)).withColumn("_o", _rouge_counts("ta", "tr", "v", "st"))
-    score = lambda m: _measure(m, F.col("_o")[0], F.col("_o")[1], F.col("_o")[2])
-    return counted.select(*KEYS, F.when(F.col("ms") == "precision", score("precision")).when(F.col("ms") == "recall", score("recall"))
-                          .when(F.col("ms") == "f1", score("f1")).alias("raw_score"))
+    v = _as_column(variant)
+    counted = _counted(df.filter(v.rlike(ROUGE_VARIANT)), "rouge", v, _as_column(stemmer), F.lit(False), {"ms": _as_column(measure)})
+    return counted.select(*KEYS, rouge_score(F.col("_o"), F.col("ms")).alias("raw_score"))
 
 
 def rouge_n(df: DataFrame, n: int, measure: str = "f1", stemmer: bool = False) -> DataFrame:
@@ -167,77 +264,31 @@ def rouge_lsum(df: DataFrame, measure: str = "f1", stemmer: bool = False) -> Dat
 def bleu(df: DataFrame, smooth: Column | str = "exp", lowercase: Column | bool = False) -> DataFrame:
     """Sentence BLEU up to four words, 0-100. Smoothing (exp, floor, add-k,
     none) and case may differ by row."""
-    smooth, lowercase = (x if isinstance(x, Column) else F.lit(x) for x in (smooth, lowercase))
-    words = lambda c: F.array_join(bleu_tokens(F.when(lowercase, F.lower(F.col(c))).otherwise(F.col(c)), False), " ")
-    rows = _spread(df).select(*KEYS, words("answer").alias("ta"), words("reference").alias("tr"), smooth.alias("s"))
-    counted = rows.withColumn("_o", _bleu_counts("ta", "tr"))
-    kind = F.col("s")
-    hits, total = [F.col("_o")[3 * n] for n in range(4)], [F.col("_o")[3 * n + 1] for n in range(4)]
-    ref_len = F.col("_o")[2]
-    logs, used, zeros, reached = F.lit(0.0), F.lit(0), F.lit(0), F.lit(True)
-    for n in range(4):
-        bump = F.when(kind == "add-k", 1.0).otherwise(0.0) if n else F.lit(0.0)
-        h, t = hits[n] + bump, total[n] + bump
-        reached = reached & (t > 0)
-        zeros = zeros + F.when(reached & (h == 0), 1).otherwise(0)
-        empty = F.when(kind == "exp", 100 / (F.pow(F.lit(2.0), zeros) * t)).when(kind == "floor", 100 * 0.1 / t).otherwise(0.0)
-        precision = F.when(h > 0, 100 * h / t).otherwise(empty)
-        logs = logs + F.when(reached, F.when(precision > 0, F.ln(precision)).otherwise(-9999999999.0)).otherwise(0.0)
-        used = used + F.when(reached, 1).otherwise(0)
-    brevity = F.when(total[0] >= ref_len, 1.0).otherwise(F.exp(1 - ref_len / total[0]))
-    something = hits[0] + hits[1] + hits[2] + hits[3] > 0
-    score = F.when(something, brevity * F.exp(logs / used)).otherwise(0.0)
-    return counted.select(*KEYS, F.when(kind.isin("exp", "floor", "add-k", "none"), score).alias("raw_score"))
+    counted = _counted(df, "bleu", F.lit(None).cast("string"), F.lit(False), _as_column(lowercase), {"s": _as_column(smooth)})
+    return counted.select(*KEYS, bleu_score(F.col("_o"), F.col("s")).alias("raw_score"))
+
+
+SENT_SYNONYMS = 200_000  # rows of a synonym table that is sent along
+
+
+def synonym_groups(synonyms: DataFrame | None) -> dict[str, list[str]]:
+    """A synonym table (word, group) by word. It is a vocabulary, sent to every
+    task, so its size is checked first."""
+    if synonyms is None:
+        return {}
+    rows = synonyms.select("word", F.col("group").cast("string").alias("g")).dropna().distinct().limit(SENT_SYNONYMS + 1).collect()
+    if len(rows) > SENT_SYNONYMS:
+        raise ValueError(f"a synonym table of more than {SENT_SYNONYMS} rows is no vocabulary; select the words of the texts first")
+    out: dict[str, list[str]] = {}
+    for word, group in sorted(map(tuple, rows)):
+        out.setdefault(word, []).append(group)
+    return out
 
 
 def meteor(df: DataFrame, alpha: Column | float = 0.9, beta: Column | float = 3.0, gamma: Column | float = 0.5, stemmer: bool = False,
            synonyms: DataFrame | None = None) -> DataFrame:
     """Unigram alignment: the same word, then the same stem, then the same
-    synonym group (`synonyms`: word, group; words as the stem step left them).
-
-    Equal words pair up from the end of both texts: the last with the last.
-    Each stage numbers what is left per word and meets both sides in one
-    group, so no join of positions is made.
-    """
-    parameters = [(x if isinstance(x, Column) else F.lit(float(x))).alias(n) for n, x in (("_al", alpha), ("_be", beta), ("_ga", gamma))]
-    texts = _spread(df).select(*KEYS, meteor_tokens(F.col("answer")).alias("ta"), meteor_tokens(F.col("reference")).alias("tr"), *parameters)
-    stem = (lambda c: stem_tokens(c)) if stemmer else (lambda c: c)
-    tokens = texts.select(*KEYS, "_al", "_be", "_ga", F.col("ta"), F.col("tr"), stem(F.col("ta")).alias("sa"), stem(F.col("tr")).alias("sr"))
-    sizes = tokens.select(*KEYS, "_al", "_be", "_ga", F.size("ta").alias("n_a"), F.size("tr").alias("n_r"))
-    def listed(words, stems, side):
-        return F.transform(F.arrays_zip(words.alias("w"), stems.alias("s")), lambda z, i: F.struct(
-            F.lit(side).alias("side"), i.alias("pos"), z["w"].alias("word"), z["s"].alias("stem")))
-    # keep the placement: explode only, no new exchange
-    named = tokens.select(*KEYS, F.explode(F.concat(listed(F.col("ta"), F.col("sa"), "a"), listed(F.col("tr"), F.col("sr"), "r"))).alias("x")
-                          ).select(*KEYS, "x.*")
-
-    def stage(left: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-        turn = W.partitionBy(*KEYS, "side", column).orderBy(F.desc("pos"))
-        met = left.withColumn("_turn", F.row_number().over(turn)).groupBy(*KEYS, column, "_turn").agg(
-            F.max(F.when(F.col("side") == "a", F.col("pos"))).alias("pos_a"),
-            F.max(F.when(F.col("side") == "r", F.col("pos"))).alias("pos_r"),
-            F.max(F.when(F.col("side") == "a", F.struct("word", "stem"))).alias("x_a"),
-            F.max(F.when(F.col("side") == "r", F.struct("word", "stem"))).alias("x_r"))
-        both = F.col("pos_a").isNotNull() & F.col("pos_r").isNotNull()
-        pairs = met.filter(both).select(*KEYS, "pos_a", "pos_r")
-        rest = met.filter(~both).select(*KEYS, F.when(F.col("pos_a").isNotNull(), "a").otherwise("r").alias("side"),
-                                        F.coalesce("pos_a", "pos_r").alias("pos"),
-                                        F.coalesce("x_a", "x_r").alias("_x")).select(*KEYS, "side", "pos", "_x.word", "_x.stem")
-        return pairs, rest
-
-    pairs, rest = stage(named, "word")
-    if stemmer:
-        more, rest = stage(rest, "stem")
-        pairs = pairs.unionByName(more)
-    if synonyms is not None:
-        grouped = rest.join(synonyms.select(F.col("word").alias("stem"), F.col("group").cast("string").alias("_g")), "stem")
-        more, _ = stage(grouped.select(*KEYS, "side", "pos", "word", F.col("_g").alias("stem")), "stem")
-        pairs = pairs.unionByName(more)
-    along = W.partitionBy(*KEYS).orderBy("pos_a")
-    breaks = F.when((F.col("pos_a") - F.lag("pos_a").over(along) == 1) & (F.col("pos_r") - F.lag("pos_r").over(along) == 1), 0).otherwise(1)
-    matched = pairs.withColumn("_break", breaks).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("m"), F.sum("_break").alias("chunks"))
-    p, r = F.col("m") / F.col("n_a"), F.col("m") / F.col("n_r")
-    al, be, ga = F.col("_al"), F.col("_be"), F.col("_ga")
-    score = p * r / (al * p + (1 - al) * r) * (1 - ga * F.pow(F.col("chunks") / F.col("m"), be))
-    return sizes.join(matched, KEYS, "left").select(*KEYS, F.coalesce(score, F.lit(0.0)).alias("raw_score"))
+    synonym group (`synonyms`: word, group; words as the stem step left them)."""
+    keep = {n: _as_column(float(x) if isinstance(x, (int, float)) else x) for n, x in (("al", alpha), ("be", beta), ("ga", gamma))}
+    counted = _counted(df, "meteor", F.lit(None).cast("string"), F.lit(stemmer), F.lit(False), keep, synonym_groups(synonyms))
+    return counted.select(*KEYS, meteor_score(F.col("_o"), F.col("al"), F.col("be"), F.col("ga")).alias("raw_score"))

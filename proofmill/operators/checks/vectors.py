@@ -20,7 +20,9 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return let(F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)), lambda n: F.when(n > 0, _dot(a, b) / n).otherwise(0.0))
+    """Null where either vector is missing."""
+    length = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when(a.isNotNull() & b.isNotNull(), let(length, lambda n: F.when(n > 0, _dot(a, b) / n).otherwise(0.0)))
 
 
 def cosine_scores(checks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -47,6 +49,15 @@ def _greedy(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
         yield pd.Series([one(x, y) for x, y in zip(a, b)])
 
 
+token_match = _greedy  # (precision, recall) of two arrays of token vectors
+
+
+def token_score(found: Column, measure: Column) -> Column:
+    p, r = found[0], found[1]
+    f1 = F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return F.when(measure == "precision", p).when(measure == "recall", r).otherwise(f1)
+
+
 def token_vector_scores(tokens: DataFrame, measure: str = "f1", baseline: float | None = None) -> DataFrame:
     """Best match of every token vector. `tokens` has run_id, label, and the
     token vectors of one text each side as arrays; a model reads at most 512

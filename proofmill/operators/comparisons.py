@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..functions import numeric as N
-from ..functions.numeric import let, log_factorial
 from ..schemas import POWER
 from .keyed import running_before, spread
 
@@ -71,8 +71,8 @@ def two_by_two(df: DataFrame, a: Column, b: Column, c: Column, d: Column) -> Dat
     """Pearson's chi-square (no correction) and Fisher's exact p of the table
     [[a, b], [c, d]], and the smallest expected count.
 
-    Fisher sums only outward from each edge of the likely region: terms fall
-    off geometrically, and each is got from its neighbour by one ratio.
+    Fisher is asked only where a table is given whole: its cost is that of two
+    tails, each summed until it adds nothing (`_fisher`).
     """
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))
     n, r1, r2, c1, c2 = a + b + c + d, a + b, c + d, a + c, b + d
@@ -84,25 +84,59 @@ def two_by_two(df: DataFrame, a: Column, b: Column, c: Column, d: Column) -> Dat
            .withColumn("p_chi_square", F.when(F.col("chi_square") == 0, 1.0)
                        .otherwise(N.chi_square_above(F.col("chi_square"), F.lit(1.0)))))
 
-    def fisher(s):
-        def log_p(x):
-            return (s["k"] - log_factorial(x) - log_factorial(s["r1"] - x) - log_factorial(s["c1"] - x)
-                    - log_factorial(s["r2"] - s["c1"] + x))
-        return let(log_p(s["a"]), lambda seen: F.aggregate(
-            F.sequence(s["low"].cast("long"), s["high"].cast("long")), F.lit(0.0),
-            lambda total, x: total + let(log_p(x.cast("double")),
-                                         lambda l: F.when(l <= seen + 1e-7, F.exp(l)).otherwise(0.0))))
-
-    width = F.sqrt(r1 * r2 * c1 * c2 / (n * n) / F.greatest(n - 1, F.lit(1.0)))
-    centre = r1 * c1 / n
-    reach = F.greatest(F.abs(a - centre), F.lit(0.0)) + 40 * width + 40
-    state = F.struct(
-        a.alias("a"), r1.alias("r1"), r2.alias("r2"), c1.alias("c1"),
-        F.greatest(F.lit(0.0), c1 - r2, F.floor(centre - reach).cast("double")).alias("low"),
-        F.least(r1, c1, F.ceil(centre + reach).cast("double")).alias("high"),
-        (log_factorial(r1) + log_factorial(r2) + log_factorial(c1) + log_factorial(c2)
-         - log_factorial(n)).alias("k"))
-    return out.withColumn("p_fisher", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), let(state, fisher))))
+    # the table's own chance and, on the other side of the mode, the first one no larger
+    state = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), r1.alias("r1"), r2.alias("r2"), c1.alias("c1"), c2.alias("c2"), n.alias("n"))
+    return out.withColumn("p_fisher", F.when((n == 0) | empty, 1.0).otherwise(F.least(F.lit(1.0), _fisher(state))))
+
+
+@F.pandas_udf(T.DoubleType())
+def _fisher(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    """Two-sided exact p: the chances of all tables no likelier than the seen
+    one. From a table outward each chance is its neighbour's times a ratio that
+    only falls, so a tail is summed in blocks until it adds nothing any more;
+    where the other tail begins is found by bisection."""
+    from math import exp, lgamma
+
+    def tail(a, b, c, d):  # the sum of the tables from this one on, in shares of its own chance, a rising
+        total, term = 1.0, 1.0
+        while term > 1e-17 * total and b > 0 and c > 0:
+            k = np.arange(min(4096.0, min(b, c)))
+            steps = np.cumprod((b - k) * (c - k) / ((a + k + 1) * (d + k + 1)))
+            total += term * float(steps.sum())
+            term *= float(steps[-1])
+            a, b, c, d = a + len(k), b - len(k), c - len(k), d + len(k)
+        return total
+
+    def log_p(a, r1, r2, c1):
+        return -(lgamma(a + 1) + lgamma(r1 - a + 1) + lgamma(c1 - a + 1) + lgamma(r2 - c1 + a + 1))
+
+    def one(a, b, c, d, r1, r2, c1, c2, n):
+        if min(r1, r2, c1, c2) <= 0:
+            return 1.0
+        low, high = max(0.0, c1 - r2), min(r1, c1)
+        mode = min(max(float(int((r1 + 1) * (c1 + 1) / (n + 2))), low), high)
+        seen = log_p(a, r1, r2, c1)
+        norm = lgamma(r1 + 1) + lgamma(r2 + 1) + lgamma(c1 + 1) + lgamma(c2 + 1) - lgamma(n + 1)
+        slack = 1e-7 + 4e-16 * abs(norm)
+        if seen >= log_p(mode, r1, r2, c1) - slack:
+            return 1.0
+        up = a > mode
+        # the table nearest to the mode on the other side that is no likelier
+        near, far = mode, (low if up else high)
+        other = None
+        if log_p(far, r1, r2, c1) <= seen + slack:
+            while abs(far - near) > 1:
+                mid = float(int((far + near) / 2))
+                near, far = (near, mid) if log_p(mid, r1, r2, c1) <= seen + slack else (mid, far)
+            other = far
+        def sum_from(x, rising):
+            cells = (x, r1 - x, c1 - x, r2 - c1 + x)
+            a_, b_, c_, d_ = cells if rising else (cells[1], cells[0], cells[3], cells[2])
+            return exp(min(0.0, norm + log_p(x, r1, r2, c1))) * tail(a_, b_, c_, d_)
+        return sum_from(a, up) + (sum_from(other, not up) if other is not None else 0.0)
+
+    for rows in parts:
+        yield pd.Series([one(*row) for row in rows.itertuples(index=False, name=None)], dtype="float64")
 
 
 def compare_pass_rates(matched: DataFrame, confidence: float) -> DataFrame:

@@ -133,63 +133,178 @@ def stream_stale_pending(events: DataFrame, minutes: int = 15, late: str = "1 ho
     return out.select("run_id", F.timestamp_micros("us").alias("pending_since"))
 
 
-DECISIONS = "batch_id string, entry_id long, label string, verdict string, at_time int, passes int, evaluated int"
-
+DECISIONS = "batch_id string, entry_id long, label string, verdict string, at_time int, passes int, evaluated int, error string"
+MEAN_DECISIONS = "batch_id string, entry_id long, label string, verdict string, at_time int, n int, mean double, sd double, error string"
+
+
+def plan_problems(plans: DataFrame, means: bool = False) -> DataFrame:
+    """The plans with `error`, null for plans a stream can follow. A batch with
+    several rows has a plan that cannot be told."""
+    looks = F.col("looks")
+    rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size("looks") - 1, F.lit(1))), lambda i: F.get("looks", i).isNull() | (F.get("looks", i) > F.get("looks", i - 1)))
+    aim = (F.when(F.col("threshold").isNull() | F.isnan("threshold"), "no_threshold").when(F.col("higher_passes").isNull(), "no_direction") if means else
+           F.when(F.col("target").isNull() | ~((F.col("target") > 0) & (F.col("target") < 1)), "target_out_of_range"))
+    error = (F.when(looks.isNull() | (F.size("looks") == 0), "no_looks").when(F.exists("looks", lambda x: x.isNull()) | (looks[0] < 1) | ~rising, "looks_not_rising")
+             .when(F.col("level").isNull() | ~((F.col("level") > 0) & (F.col("level") < 1)), "level_out_of_range").otherwise(aim))
+    kept_columns = [c for c in plans.columns if c != "batch_id"]
+    found = plans.withColumn("error", error)
+    several = F.when(F.count(F.lit(1)) > 1, "several_plans").otherwise(F.first("error"))
+    return found.groupBy("batch_id").agg(*[F.first(c).alias(c) for c in kept_columns], several.alias("error"))
+
+
+def _tail(k: int, n: int, p: float, above: bool) -> float:
+    """Chance of k or more (or k or fewer) of n: from the term at k outward each
+    term is its neighbour's times a ratio, until nothing is added."""
+    if above and k <= 0 or not above and k >= n:
+        return 1.0
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    if (k < n * p) == above:  # the long side: one less the short one
+        return 1.0 - _tail(k - 1 if above else k + 1, n, p, not above)
+    term = total = math.exp(log)
+    while term > 1e-18 * total and (k < n if above else k > 0):
+        term *= (n - k) / (k + 1) * p / (1 - p) if above else k / (n - k + 1) * (1 - p) / p
+        k += 1 if above else -1
+        total += term
+    return min(total, 1.0)
+
+
+def _t_above(t: float, df: int) -> float:
+    """Chance of more than t on `df` degrees of freedom: Simpson's rule over the
+    angle whose tangent is t / sqrt(df)."""
+    angle, steps = math.atan2(t, math.sqrt(df)), 400
+    power = df - 1
+    def area(x):  # of cos^power from 0 to x
+        h = x / steps
+        return h / 3 * math.fsum((1 if i in (0, steps) else 4 if i % 2 else 2) * math.cos(i * h) ** power for i in range(steps + 1))
+    whole = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    # the half line has area 1 / (2 * whole); beyond eight widths of the cosine nothing is left
+    edge = min(abs(angle), 12 / math.sqrt(df))
+    half = 0.5 - whole * area(edge)
+    return max(half, 0.0) if t >= 0 else 1 - max(half, 0.0)
+
+
+class _Waves:
+    """A check's times of the waves still open, and its judgement at each look.
+    `read` makes a value of a result, null where it counts for nothing."""
+
+    def __init__(self, state, empty: tuple):
+        times, values, self.done, self.closed, *self.sums = state if state else ([], [], 0, False, *empty)
+        self.times, self.values = list(times), list(values)
+
+    def take(self, index: list[int], values: list, plan: list[int]) -> None:
+        edge, seen = (plan[self.done - 1] if self.done else 0), set(self.times)
+        for t, v in zip(index, values):
+            if edge < t <= plan[-1] and t not in seen:
+                seen.add(t)
+                self.times.append(t)
+                self.values.append(v)
+
+    def next_wave(self, plan: list[int]) -> list | None:
+        """The values of the next wave once it is complete."""
+        if self.closed or self.done >= len(plan):
+            return None
+        edge, last = (plan[self.done - 1] if self.done else 0), plan[self.done]
+        wave = [v for t, v in zip(self.times, self.values) if t <= last]
+        if len(wave) < last - edge:
+            return None
+        rest = [(t, v) for t, v in zip(self.times, self.values) if t > last]
+        self.times, self.values = [t for t, _ in rest], [v for _, v in rest]
+        self.done += 1
+        return [v for v in wave if v is not None]
+
+    def close(self) -> None:
+        self.closed, self.times, self.values = True, [], []
+
+    def state(self) -> tuple:
+        return (self.times, self.values, self.done, self.closed, *self.sums)
+
+
+def _decided(results: DataFrame, plans: DataFrame, value: str, empty: tuple, state: str, shape: str, judge, keep: list[str], idle: str | None) -> DataFrame:
+    """One decision a check, by `judge(waves, plan, row)` on complete waves. A
+    bad plan gives each of its checks one row with the error."""
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def run(key, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        waves, out = _Waves(held.get if held.exists else None, empty), []
+        for part in parts:
+            row = part.iloc[0]
+            if waves.closed:
+                continue
+            if isinstance(row["error"], str):
+                waves.close()
+                out.append((*key, *[None] * (len(names) - 4), row["error"]))
+                continue
+            plan = [int(x) for x in row["looks"]]
+            fine = (~part["errored"].astype(bool)) & part[value].notna()
+            waves.take([int(x) for x in part["batch_index"]], [float(v) if ok else None for v, ok in zip(part[value], fine)], plan)
+            while not waves.closed and (wave := waves.next_wave(plan)) is not None:
+                facts, verdict = judge(waves, wave, row)
+                if verdict or waves.done == len(plan):
+                    at = plan[waves.done - 1] if verdict else None
+                    waves.close()
+                    out.append((*key, verdict, at, *facts, None))
+        held.update(waves.state())
+        if idle and waves.closed:
+            held.setTimeoutDuration(idle)
+        if out:
+            yield pd.DataFrame(out, columns=names).astype({"at_time": "Int32", **({"passes": "Int32", "evaluated": "Int32"} if "passes" in names else {"n": "Int32"})})
 
-def _tails(k: int, n: int, p: float) -> tuple[float, float]:
-    term = [math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p)
-                     + (n - i) * math.log(1 - p)) for i in range(n + 1)]
-    return math.fsum(term[k:]), math.fsum(term[:k + 1])
+    planned = results.join(plans.select("batch_id", "looks", "level", *keep, "error"), "batch_id").filter(F.col("batch_index").isNotNull())
+    columns = ["batch_id", "entry_id", "label", "batch_index", value, "errored", "looks", "level", *keep, "error"]
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return planned.select(*columns).groupBy("batch_id", "entry_id", "label").applyInPandasWithState(run, shape, f"times array<int>, vals array<double>, done int, closed boolean, {state}", "append", timeout)
 
 
-def stream_sequential(results: DataFrame, plans: DataFrame, agreement: bool = False) -> DataFrame:
+def stream_sequential(results: DataFrame, plans: DataFrame, agreement: bool = False, idle: str | None = None) -> DataFrame:
     """Each check's decision, once, when a wave is complete; it never changes.
     A check that no look decides comes out undecided after the last. Append mode.
 
     `plans` is a table: batch_id, looks (int array), level, target; results of
-    other batches are no business of this stream. With `agreement`, the runs
-    that gave the usual verdict count. A replayed result changes nothing: the
-    times seen of the waves still open are state, at most as many as a batch
-    has times, and a result of a wave already judged is late and ignored. What
-    stays of a decided check is a row of empty lists.
+    other batches are no business of this stream, and a plan that cannot be
+    followed gives its checks one row each with the error. With `agreement`,
+    the runs that gave the usual verdict count. A replayed result changes
+    nothing: the times seen of the waves still open are state, at most as many
+    as a batch has times, and a result of a wave already judged is late and
+    ignored. What stays of a decided check is a row of empty lists; with
+    `idle`, such as '30 days', it goes after that time without results.
     """
-    def judge(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, fine, good, done, n, k, closed = state.get if state.exists else ([], [], [], 0, 0, 0, False)
-        times, fine, good = list(times), list(fine), list(good)
-        plan = None
-        for part in parts:
-            plan = [int(x) for x in part["looks"].iloc[0]]
-            level, target = float(part["level"].iloc[0]), float(part["target"].iloc[0])
-            if closed:
-                continue
-            edge = plan[done - 1] if done else 0
-            new = part[(part["batch_index"] > edge) & (part["batch_index"] <= plan[-1]) & ~part["batch_index"].isin(times)].drop_duplicates("batch_index")
-            decided = (~new["errored"].astype(bool)) & new["passed"].notna()
-            times += [int(x) for x in new["batch_index"]]
-            fine += [bool(x) for x in decided]
-            good += [bool(x) for x in decided & new["passed"].fillna(False).astype(bool)]
-        out = []
-        while plan and not closed and done < len(plan):
-            edge = plan[done - 1] if done else 0
-            wave = [i for i, t in enumerate(times) if t <= plan[done]]
-            if len(wave) < plan[done] - edge:
-                break
-            n, k, done = n + sum(fine[i] for i in wave), k + sum(good[i] for i in wave), done + 1
-            rest = [i for i, t in enumerate(times) if t > plan[done - 1]]
-            times, fine, good = ([x[i] for i in rest] for x in (times, fine, good))
-            counted, verdict = max(k, n - k) if agreement else k, None
-            if n:
-                up, down = _tails(counted, n, target)
-                verdict = "pass" if up <= 1 - level else "fail" if down <= 1 - level else None
-            if verdict or done == len(plan):
-                closed, times, fine, good = True, [], [], []
-                out.append((*key, verdict, plan[done - 1] if verdict else None, counted, n))
-        state.update((times, fine, good, done, n, k, closed))
-        if out:
-            rows = pd.DataFrame(out, columns=["batch_id", "entry_id", "label", "verdict", "at_time", "passes", "evaluated"])
-            yield rows.astype({"at_time": "Int32"})
-
-    planned = results.join(plans.select("batch_id", "looks", "level", "target"), "batch_id")
-    return (planned.select("batch_id", "entry_id", "label", "batch_index", "passed", "errored", "looks", "level", "target").groupBy("batch_id", "entry_id", "label")
-            .applyInPandasWithState(judge, DECISIONS, "times array<int>, fine array<boolean>, good array<boolean>, done int, n int, k int, closed boolean",
-                                    "append", GroupStateTimeout.NoTimeout))
+    def judge(waves: _Waves, wave: list, row) -> tuple[tuple, str | None]:
+        n, k = waves.sums = [waves.sums[0] + len(wave), waves.sums[1] + int(sum(wave))]
+        counted, verdict, alpha = max(k, n - k) if agreement else k, None, 1 - float(row["level"])
+        if n:
+            p = float(row["target"])
+            verdict = "pass" if _tail(counted, n, p, True) <= alpha else "fail" if _tail(counted, n, p, False) <= alpha else None
+        return (counted, n), verdict
+
+    return _decided(results, plan_problems(plans), "passed", (0, 0), "n int, k int", DECISIONS, judge, ["target"], idle)
+
+
+def stream_sequential_means(results: DataFrame, plans: DataFrame, idle: str | None = None) -> DataFrame:
+    """The same for averages. `plans`: batch_id, looks, level, threshold,
+    higher_passes; `results` has `score`. The state holds the number of scores,
+    their mean, the sum of squares about it and both ends; a wave's own moments
+    are merged in, so no score is kept once its wave is judged. A look needs
+    two scores; equal scores decide by themselves."""
+    def judge(waves: _Waves, wave: list, row) -> tuple[tuple, str | None]:
+        n, mean, spread, low, high = waves.sums
+        if wave:
+            m = math.fsum(wave) / len(wave)
+            shift, both = m - mean, n + len(wave)
+            spread += math.fsum((x - m) ** 2 for x in wave) + shift * shift * n * len(wave) / both
+            mean += shift * len(wave) / both
+            n, low, high = both, min(low, *wave), max(high, *wave)
+            waves.sums = [n, mean, spread, low, high]
+        if n < 2:
+            return (n, None, None), None
+        alpha, threshold, higher = 1 - float(row["level"]), float(row["threshold"]), bool(row["higher_passes"])
+        if low == high:
+            return (n, low, 0.0), "pass" if (low >= threshold if higher else low <= threshold) else "fail"
+        sd = math.sqrt(spread / (n - 1))
+        t = (mean - threshold) / (sd / math.sqrt(n)) * (1 if higher else -1)
+        return (n, mean, sd), "pass" if _t_above(t, n - 1) <= alpha else "fail" if _t_above(-t, n - 1) <= alpha else None
+
+    return _decided(results, plan_problems(plans, True), "score", (0, 0.0, 0.0, math.inf, -math.inf), "n int, mean double, spread double, low double, high double",
+                    MEAN_DECISIONS, judge, ["threshold", "higher_passes"], idle)

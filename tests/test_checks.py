@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofmill.functions import text as X
 from proofmill.functions.stem import stem
 from proofmill.operators.checks import fixed, overlap
-from proofmill.operators.checks.dispatch import score_checks
+from proofmill.operators.checks.dispatch import Sides, score_checks
 from proofmill.sources.catalogue import CHECK_TYPES, check_types, engine_specs, stat_tests, validate_catalogue
 
 CHECK = ("run_id int, label string, answer string, reference string, config map<string,string>, "
@@ -110,9 +110,58 @@ def test_dispatch_scores_each_check_by_its_type(spark):
                                "run_id int, label string, test_type string, answer string, reference string, config map<string,string>")
     got = {r["label"]: (r["passed"], r["score"], r["detail"], r["errored"]) for r in score_checks(df, check_types(spark)).collect()}
     assert got["a"] == (True, None, None, False) and got["b"] == (True, pytest.approx(0.6667), None, False)
-    assert got["c"][2:] == ("unknown_type", True) and got["d"][2:] == ("engine_not_available", True) and got["e"][2:] == ("no_reference", True)
+    assert got["c"][2:] == ("unknown_type", True) and got["d"][2:] == ("no_rubric", True) and got["e"][2:] == ("no_reference", True)
 
 
 def test_the_catalogue_is_sound(spark):
     assert len(CHECK_TYPES) == 32
     assert validate_catalogue(stat_tests(spark), engine_specs(spark)).count() == 0
+
+
+def test_every_engine_in_one_pass(spark):
+    """Sides come by (run, label); each metric scores as it does alone; the
+    checks are read once."""
+    schema = "run_id int, label string, test_type string, answer string, reference string, config map<string,string>"
+    texts = [("the cat sat on the mat", "the cats sat on a mat."), ("buy a big car", "purchase a large automobile"), ("", "x"), ("same words", "same words")]
+    kinds = ["ROUGE", "ROUGE-2", "BLEU", "METEOR", "METEOR (balanced)", "Cosine Similarity", "BERTScore", "Toxicity", "Correctness", "Exact Match"]
+    rows = [(i, k, k, a, r, {"threshold": "0.3", "rubric": "Be kind."}) for i, (a, r) in enumerate(texts) for k in kinds]
+    df = spark.createDataFrame(rows, schema)
+    synonyms = spark.createDataFrame([("buy", 1), ("purchas", 1), ("big", 2), ("larg", 2), ("big", 3), ("car", 4), ("automobil", 4)], "word string, group int")
+    vectors = spark.createDataFrame([(0, "Cosine Similarity", [1.0, 0.0], [1.0, 1.0]), (2, "Cosine Similarity", [1.0], [1.0]), (3, "Cosine Similarity", [1.0], [1.0, 2.0])],
+                                    "run_id int, label string, answer_vector array<double>, reference_vector array<double>")
+    pieces = [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]
+    tokens = spark.createDataFrame([(0, "BERTScore", pieces, pieces)], "run_id int, label string, answer_vectors array<array<double>>, reference_vectors array<array<double>>")
+    said = lambda ok: '{"content": [{"type": "tool_use", "input": {"passed": %s, "rationale": "r"}}]}' % str(ok).lower()
+    replies = spark.createDataFrame([(0, "Toxicity", said(True)), (1, "Toxicity", said(False)), (2, "Toxicity", "no"), (0, "Correctness", said(True))], "run_id int, label string, body string")
+    out = score_checks(df, check_types(spark), sides=Sides(vectors, tokens, replies, synonyms))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # one function each: two texts made plain, wording, patterns, token vectors; one exchange of the checks and one of the sides
+    assert plan.count("ArrowEvalPython") == 5 and plan.count("SortMergeJoin") == 1 and plan.count("[counts(") == 1
+    assert "engine_not_available" not in {r.detail for r in out.collect()}
+    got = {(r.run_id, r.label): (r.passed, r.score, r.detail) for r in out.collect()}
+    assert len(got) == len(rows)
+    one = lambda k, fn: {r.run_id: round(r.raw_score, 4) for r in fn(df.filter(F.col("label") == k)).collect()}
+    for k, fn in (("ROUGE", lambda d: overlap.rouge(d)), ("ROUGE-2", lambda d: overlap.rouge_n(d, 2, stemmer=True)), ("BLEU", lambda d: overlap.bleu(d)),
+                  ("METEOR", lambda d: overlap.meteor(d, stemmer=True, synonyms=synonyms)), ("METEOR (balanced)", lambda d: overlap.meteor(d, 0.5, stemmer=True, synonyms=synonyms))):
+        assert {i: got[i, k][1] for i in range(4)} == pytest.approx(one(k, fn)), k
+    assert one("METEOR", lambda d: overlap.meteor(d, stemmer=True))[1] < 0.2 < 0.9 < got[1, "METEOR"][1]  # a, and three by their synonyms
+    assert [got[i, "Cosine Similarity"][1:] for i in range(4)] == [(0.7071, None), (None, "no_vectors"), (0.0, "below_threshold"), (None, "no_vectors")]
+    assert got[0, "BERTScore"] == (True, 1.0, None) and got[1, "BERTScore"][2] == "no_vectors"
+    assert [got[i, "Toxicity"][::2] for i in range(4)] == [(True, None), (False, "judged_not_passed"), (False, "unreadable"), (False, "no_reply")]
+    assert got[0, "Correctness"][0] and got[3, "Exact Match"][0]
+
+
+def test_numbers_have_no_suffix(spark):
+    df = spark.createDataFrame([(0, "l", "Word Count Limit", "a b", None, {"max": "10d"}), (1, "l", "Word Count Limit", "a b", None, {"max": " 10 "}),
+                                (2, "l", "Word Count Limit", "a b", None, {"max": "1e1"}), (3, "l", "Word Count Limit", "a b", None, {"max": "5f"})],
+                               "run_id int, label string, test_type string, answer string, reference string, config map<string,string>")
+    got = {r.run_id: r.detail for r in score_checks(df, check_types(spark), metrics=()).collect()}
+    assert got == {0: "max_not_number", 1: None, 2: None, 3: "max_not_number"}
+
+
+def test_patterns_of_any_length_keep_their_dialect(spark):
+    long = "".join(f"[a-z]{i % 7}" for i in range(3000))
+    df = spark.createDataFrame([(0, "".join("q" + str(i % 7) for i in range(3000)), {"pattern": long}), (1, "x", {"pattern": "(" * 3000})], "run_id int, answer string, config map<string,string>")
+    df = df.withColumns({"label": F.lit("l"), "reference": F.lit(None).cast("string"), "engine_settings": F.expr("map('mode', 'search')"), "comparison": F.lit(None).cast("string")})
+    got = {r.run_id: (r.passed, r.detail) for r in fixed.check_regex(df, mode="search", negate=False, lookalikes=False).collect()}
+    assert got == {0: (True, None), 1: (False, "invalid_pattern")}

@@ -82,6 +82,25 @@ def test_two_by_two_and_newcombe(spark):
     assert (-got[56]["upper"], -got[56]["lower"]) == pytest.approx((0.0524, 0.3339), abs=1e-4)
 
 
+def test_exact_p_of_any_size(spark):
+    from math import comb
+    import time
+    tables = [(a, b, c, d) for a in (0, 1, 3, 9) for b in (0, 2, 7) for c in (0, 1, 5) for d in (1, 4, 12)]
+    big = [(10**9, 10**9, 10**9, 10**9), (10**9 + 10**5, 10**9, 10**9, 10**9 + 10**5), (5 * 10**8, 10**9, 10**9, 10**9), (3, 10**9, 10, 10**9)]
+    df = spark.createDataFrame(tables + big, "a long, b long, c long, d long")
+    start = time.time()
+    got = {(r.a, r.b, r.c, r.d): r.p_fisher for r in C.two_by_two(df, *map(F.col, "abcd")).collect()}
+    assert time.time() - start < 60
+    for a, b, c, d in tables:
+        r1, r2, c1 = a + b, c + d, a + c
+        chance = lambda x: comb(r1, x) * comb(r2, c1 - x)
+        every = [chance(x) for x in range(max(0, c1 - r2), min(r1, c1) + 1)]
+        want = sum(x for x in every if x <= chance(a)) / sum(every) if min(r1, r2, c1, b + d) else 1.0
+        assert got[(a, b, c, d)] == pytest.approx(want, rel=1e-6), (a, b, c, d)
+    assert got[big[0]] == 1.0 and got[big[2]] == 0.0
+    assert 0 < got[big[1]] < 0.01 and 0.04 < got[big[3]] < 0.1
+
+
 def rank(spark, a, b):
     rows = [("k", "a", float(v), True) for v in a] + [("k", "b", float(v), True) for v in b]
     return C.compare_ranks(spark.createDataFrame(rows, "k string, side string, score double, higher_passes boolean"), ["k"], 0.95).first()

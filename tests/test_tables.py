@@ -1,3 +1,4 @@
+import pytest
 """Ingest, authoring, listings, skewed keys and streams on small inputs."""
 import random
 from datetime import datetime
@@ -96,6 +97,37 @@ def test_a_streamed_decision_is_made_once_and_late_results_change_nothing(spark,
     put("1", [("b", 1, "x", i, True, False) for i in range(1, 31)] + [("b", 2, "x", i, i % 2 == 0, False) for i in range(1, 31)])
     put("2", [("b", 1, "x", i, False, False) for i in range(31, 61)] + [("b", 3, "x", i, True, False) for i in range(1, 20)])
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    folder, _ = R.to_table(R.stream_sequential(stream, {"b": [30, 60]}, {"b": 0.95}, 0.9), "append", "t")
-    got = {r["entry_id"]: (r["verdict"], r["at_time"], r["passes"]) for r in spark.read.schema(R.DECISIONS).parquet(folder).collect()}
+    put("3", [("b", 1, "x", i, False, False) for i in range(1, 61)] + [(x, 9, "x", 1, True, False) for x in ("none", "empty", "sure", "twice", "back")])
+    plans = spark.createDataFrame([("b", [30, 60], 0.95, 0.9), ("none", None, 0.95, 0.9), ("empty", [], 0.95, 0.9), ("sure", [1], 0.95, 1.0), ("back", [5, 2], 0.95, 0.9),
+                                   ("twice", [1], 0.95, 0.9), ("twice", [2], 0.95, 0.9)], "batch_id string, looks array<int>, level double, target double")
+    folder, _ = R.to_table(R.stream_sequential(stream, plans), "append", "t")
+    rows = spark.read.schema(R.DECISIONS).parquet(folder).collect()
+    got = {r["entry_id"]: (r["verdict"], r["at_time"], r["passes"]) for r in rows if r["batch_id"] == "b"}
     assert got == {1: ("pass", 30, 30), 2: ("fail", 30, 15)}
+    assert sorted((r["batch_id"], r["error"], r["verdict"]) for r in rows if r["batch_id"] != "b") == [
+        ("back", "looks_not_rising", None), ("empty", "no_looks", None), ("none", "no_looks", None), ("sure", "target_out_of_range", None), ("twice", "several_plans", None)]
+
+
+def test_streamed_tails_are_exact():
+    from math import comb
+    for n in (1, 5, 40):
+        for k in range(n + 1):
+            for p in (0.05, 0.5, 0.9):
+                terms = [comb(n, i) * p**i * (1 - p)**(n - i) for i in range(n + 1)]
+                assert R._tail(k, n, p, True) == pytest.approx(sum(terms[k:]), rel=1e-9, abs=1e-14)
+                assert R._tail(k, n, p, False) == pytest.approx(sum(terms[:k + 1]), rel=1e-9, abs=1e-14)
+    for t, df, want in ((0.0, 5, 0.5), (1.0, 1, 0.25), (2.0, 10, 0.036694), (-2.0, 10, 0.963306), (1.96, 100000, 0.024998), (12.0, 3, 0.000622)):
+        assert R._t_above(t, df) == pytest.approx(want, abs=2e-6)
+
+
+def test_streamed_means(spark, tmp_path):
+    schema = "batch_id string, entry_id long, label string, batch_index int, score double, errored boolean"
+    rows = [("b", 1, "x", i, 0.9 + i % 3 / 100, False) for i in range(1, 21)] + [("b", 2, "x", i, 0.4, i % 2 == 0) for i in range(1, 11)]
+    rows += [("b", 3, "x", i, 0.49 + i % 2 / 50, False) for i in range(1, 21)]
+    for name in ("1", "2"):  # replayed as a whole
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in" / name))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    plans = spark.createDataFrame([("b", [10, 20], 0.975, 0.5, True)], "batch_id string, looks array<int>, level double, threshold double, higher_passes boolean")
+    folder, _ = R.to_table(R.stream_sequential_means(stream, plans), "append", "m")
+    got = {r.entry_id: (r.verdict, r.at_time, r.n, round(r["mean"], 6)) for r in spark.read.schema(R.MEAN_DECISIONS).parquet(folder).collect()}
+    assert got == {1: ("pass", 10, 10, 0.91), 2: ("fail", 10, 5, 0.4), 3: (None, None, 20, 0.5)}

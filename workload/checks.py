@@ -7,7 +7,8 @@ from proofmill.functions import text as X
 from proofmill.operators import answers as A
 from proofmill.operators.checks import against_threshold
 from proofmill.operators.checks import fixed, judge, overlap, vectors
-from proofmill.operators.checks.dispatch import score_checks
+from proofmill.operators.checks.dispatch import Sides, score_checks
+from proofmill.operators.keyed import numbered
 from proofmill.operators.rollup import count_checks, roll_up_runs, run_passed
 from proofmill.sources.catalogue import check_types
 
@@ -277,31 +278,48 @@ def meteor_with_stems(spark, sf):
 
 # ── vectors ──────────────────────────────────────────────────────────────────
 
-@query("cosine_scores", """
+_COSINE_SQL = """
 SELECT a.vec_id AS run_id, 'cos' AS label, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) /
   (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score
-FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+FROM embeddings a LEFT JOIN (SELECT vec_id, lead(vec_id) OVER (ORDER BY vec_id) AS after FROM embeddings) n USING (vec_id) LEFT JOIN embeddings b ON b.vec_id = n.after"""
+
+
+@query("cosine_scores", _COSINE_SQL)
 def cosine_scores(spark, sf):
-    e = world.table(spark, sf, "embeddings")
-    v = e.select(F.col("vec_id").alias("run_id"), F.lit("cos").alias("label"), F.col("embedding").alias("answer_vector")).join(
-        e.select((F.col("vec_id") - 1).alias("run_id"), F.col("embedding").alias("reference_vector")), "run_id")
+    v = _vectors(spark, sf)
     checks = v.select("run_id", "label", F.lit("text").alias("answer"))
     return vectors.cosine_scores(checks, v).select("run_id", "label", F.round("raw_score", 6).alias("score"))
 
 
-@query("token_vector_scores", """
+def _vectors(spark, sf):
+    """Every vector against the one that follows it by id; the last has none."""
+    e = world.table(spark, sf, "embeddings")
+    ids = numbered(e.select("vec_id"), [F.col("vec_id")], "_n")
+    after = ids.join(ids.select((F.col("_n") - 1).alias("_n"), F.col("vec_id").alias("_after")), "_n", "left").drop("_n")
+    return e.join(after, "vec_id").select(F.col("vec_id").alias("run_id"), F.lit("cos").alias("label"), F.col("embedding").alias("answer_vector"), "_after").join(
+        e.select(F.col("vec_id").alias("_after"), F.col("embedding").alias("reference_vector")), "_after", "left").drop("_after")
+
+
+_TOKENS_SQL = """
 WITH t AS (SELECT vec_id // 16 AS run_id, CASE WHEN vec_id % 16 < 8 THEN 'a' ELSE 'r' END AS side, vec_id AS pos, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT *, row_number() OVER (PARTITION BY run_id, side ORDER BY pos) AS i, count(*) OVER (PARTITION BY run_id, side) AS n FROM t),
 s AS (SELECT a.run_id, a.i AS ai, a.n AS an, r.i AS ri, r.n AS rn, list_dot_product(a.v, r.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(r.v, r.v)) AS c
   FROM u a JOIN u r ON a.run_id = r.run_id AND a.side = 'a' AND r.side = 'r'),
 p AS (SELECT run_id, avg(m) AS p FROM (SELECT run_id, ai, max(c) AS m FROM s WHERE ai > 1 AND ai < an AND an > 2 AND rn > 2 GROUP BY 1, 2) GROUP BY 1),
 q AS (SELECT run_id, avg(m) AS r FROM (SELECT run_id, ri, max(c) AS m FROM s WHERE ri > 1 AND ri < rn AND an > 2 AND rn > 2 GROUP BY 1, 2) GROUP BY 1)
-SELECT run_id, 'tok' AS label, round(coalesce(2 * p * r / (p + r), 0.0), 6) AS score FROM (SELECT DISTINCT run_id FROM t) LEFT JOIN p USING (run_id) LEFT JOIN q USING (run_id)""")
+SELECT run_id, 'tok' AS label, round(coalesce(2 * p * r / (p + r), 0.0), 6) AS score FROM (SELECT DISTINCT run_id FROM t) LEFT JOIN p USING (run_id) LEFT JOIN q USING (run_id)"""
+
+
+@query("token_vector_scores", _TOKENS_SQL)
 def token_vector_scores(spark, sf):
+    return vectors.token_vector_scores(_token_vectors(spark, sf)).select("run_id", "label", F.round("raw_score", 6).alias("score"))
+
+
+def _token_vectors(spark, sf):
     pieces = world.table(spark, sf, "embeddings").select(
         F.floor(F.col("vec_id") / 16).cast("long").alias("run_id"), F.lit("tok").alias("label"),
         F.when(F.col("vec_id") % 16 < 8, "answer").otherwise("reference").alias("side"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
-    return vectors.token_vector_scores(vectors.collect_token_vectors(pieces)).select("run_id", "label", F.round("raw_score", 6).alias("score"))
+    return vectors.collect_token_vectors(pieces)
 
 
 # ── judging ──────────────────────────────────────────────────────────────────
@@ -453,3 +471,33 @@ def run_check_counts(spark, sf):
 @query("run_passed_decided", "SELECT run_id, bool_and(passed) FILTER (WHERE NOT errored) AS run_passed FROM mixed GROUP BY 1", ["mixed"])
 def run_passed_decided(spark, sf):
     return run_passed(_results(spark, sf), ["run_id"])
+
+
+_ENGINES = [("has the", "Contains", "map('substring', 'the')"), ("short", "Word Count Limit", "map('max', '200')"), ("cos", "Cosine Similarity", "map('threshold', '0.1')"),
+            ("tok", "BERTScore", "map('threshold', '0.3')"), ("judge", "Toxicity", "map('rubric', 'Be kind.')"), ("right", "Correctness", "map('rubric', 'Be right.')"),
+            ("blank", "Bias", "map('rubric', ' ')"), ("odd", "Mind Reading", "map('x', 'y')")]
+
+
+@query("every_engine_scored", f"""
+WITH cos AS ({_COSINE_SQL.replace("round(", "(").replace(", 6)", ")")}), tok AS ({_TOKENS_SQL.replace("round(", "(").replace(", 6)", ")")}),
+c AS (SELECT d.*, t.label FROM documents d, (VALUES {", ".join(f"('{x[0]}')" for x in _ENGINES)}) t(label)),
+s AS (SELECT c.*, round(coalesce(cos.score, tok.score), 4) AS score, quality, toxic, CASE
+    WHEN c.label IN ('cos', 'tok') AND lang = 'es' THEN 'no_reference' WHEN c.label = 'cos' AND cos.score IS NULL THEN 'no_vectors' WHEN c.label = 'tok' AND tok.score IS NULL THEN 'no_vectors'
+    WHEN c.label = 'blank' THEN 'no_rubric' WHEN c.label = 'right' AND lang = 'es' THEN 'no_reference' WHEN c.label IN ('judge', 'right') AND l.doc_id IS NULL THEN 'no_reply'
+    WHEN c.label = 'right' AND toxic = 1 THEN 'unreadable' WHEN c.label = 'odd' THEN 'unknown_type' END AS bad
+  FROM c LEFT JOIN cos ON c.label = 'cos' AND cos.run_id = doc_id LEFT JOIN tok ON c.label = 'tok' AND tok.run_id = doc_id LEFT JOIN labels l USING (doc_id))
+SELECT doc_id AS run_id, label, bad IS NOT NULL AS errored, bad AS reason, CASE WHEN bad IS NULL THEN score END AS score, coalesce(bad IS NULL AND CASE label
+  WHEN 'has the' THEN contains(text, 'the') WHEN 'short' THEN len(regexp_extract_all(text, '{_NWS}+')) <= 200 WHEN 'cos' THEN score >= 0.1 WHEN 'tok' THEN score >= 0.3
+  ELSE quality = 1 END, false) AS passed FROM s""")
+def every_engine_scored(spark, sf):
+    """Fixed, vector, token-vector and judge checks of every document in one pass."""
+    d = world.table(spark, sf, "documents")
+    checks = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(k).alias("test_type"), F.expr(c).alias("config")) for n, k, c in _ENGINES])
+    rows = d.select(F.col("doc_id").alias("run_id"), F.col("text").alias("answer"), F.when(F.col("lang") != "es", F.col("lang")).alias("reference"), F.explode(checks).alias("c"))
+    said = F.format_string('{"content": [{"type": "tool_use", "input": {"passed": %s, "rationale": "r"}}]}', F.when(F.col("quality") == 1, "true").otherwise("false"))
+    labels = F.explode(F.array(F.lit("judge"), F.lit("right"), F.lit("blank"))).alias("label")
+    replies = world.table(spark, sf, "labels").select(F.col("doc_id").alias("run_id"), labels, said.alias("body"), "toxic").withColumn(
+        "body", F.when((F.col("label") == "right") & (F.col("toxic") == 1), "{").otherwise(F.col("body")))
+    sides = Sides(vectors=_vectors(spark, sf), token_vectors=_token_vectors(spark, sf), replies=replies)
+    out = score_checks(rows.select("run_id", "answer", "reference", "c.*"), check_types(spark), metrics=(), sides=sides)
+    return out.select("run_id", "label", "errored", F.when(F.col("errored"), F.col("detail")).alias("reason"), "score", "passed")

@@ -14,6 +14,7 @@ from proofmill.sources.catalogue import check_types
 from proofmill.streaming import runs as R
 
 from . import world
+from .batches import t_tail_sql
 from .registry import query, view
 
 STATUS = "CASE event_type WHEN 'purchase' THEN 'Green' WHEN 'click' THEN 'Amber' WHEN 'view' THEN 'Red' WHEN 'error' THEN 'NotRan' ELSE 'Pending' END"
@@ -105,19 +106,25 @@ SELECT b AS batch_id, entry_id, label, verdict, CAST(CASE WHEN verdict IS NOT NU
 FROM v QUALIFY row_number() OVER (PARTITION BY b ORDER BY verdict IS NULL, CASE WHEN verdict IS NULL THEN -look ELSE look END) = 1"""
 
 
-def _streamed(spark, sf, agreement=False):
+def _streamed(spark, sf, agreement=False, means=False):
     """Every check is a batch of its own with looks from its tenth time to its
     last; all results come twice."""
     folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
     rows = world.timed_results(spark, sf).withColumn("batch_index", F.col("batch_index").cast("int")).withColumn("batch_id", F.concat_ws("-", "batch_id", "entry_id", "label"))
-    rows.select("batch_id", "entry_id", "label", "batch_index", "passed", "errored").write.parquet(folder)
-    kind = "batch_id string, entry_id long, label string, batch_index int, passed boolean, errored boolean"
+    value = "score double" if means else "passed boolean"
+    rows.select("batch_id", "entry_id", "label", "batch_index", value.split()[0], "errored").write.parquet(folder)
+    kind = f"batch_id string, entry_id long, label string, batch_index int, {value}, errored boolean"
     plans = spark.read.schema(kind).parquet(folder).groupBy("batch_id").agg(F.max("batch_index").alias("m")).withColumn("looks", looks(F.lit(10), F.col("m")))
     plans = plans.select("batch_id", "looks", even_level(F.col("looks"), 0.95).alias("level"), F.lit(0.9).alias("target"))
     once = spark.readStream.schema(kind).option("maxFilesPerTrigger", 3).parquet(folder)
     again = spark.readStream.schema(kind).option("maxFilesPerTrigger", 2).parquet(folder)
-    out, _ = R.to_table(R.stream_sequential(once.unionByName(again), kept(plans, "plans"), agreement), "append", "decisions")
-    return spark.read.schema(R.DECISIONS).parquet(out).drop("epoch")
+    both = once.unionByName(again)
+    if means:
+        plans = kept(plans.drop("target").withColumns({"threshold": F.lit(0.45), "higher_passes": F.lit(True)}), "plans")
+        out, _ = R.to_table(R.stream_sequential_means(both, plans), "append", "means")
+        return spark.read.schema(R.MEAN_DECISIONS).parquet(out).drop("epoch", "error")
+    out, _ = R.to_table(R.stream_sequential(both, kept(plans, "plans"), agreement), "append", "decisions")
+    return spark.read.schema(R.DECISIONS).parquet(out).drop("epoch", "error")
 
 
 @query("streamed_decisions", _streamed_sql("passes"), ["results"])
@@ -132,6 +139,25 @@ def streamed_agreement(spark, sf):
     return _streamed(spark, sf, agreement=True)
 
 
+@query("streamed_means", f"""
+WITH r AS (SELECT *, batch_id || '-' || entry_id || '-' || label AS b FROM results),
+x AS (SELECT b, entry_id, label, 10 AS f, m, least(8, m - 9) AS c FROM (SELECT b, entry_id, label, max(batch_index) AS m FROM r GROUP BY ALL)),
+p AS (SELECT DISTINCT b, m, CASE WHEN m <= f THEN f ELSE f + CAST(round_even((m - f)::DOUBLE / (c - 1) * i, 0) AS BIGINT) END AS look FROM x, generate_series(0, 7) g(i) WHERE i < greatest(c, 1)
+  UNION SELECT b, m, greatest(m, f) FROM x),
+lv AS (SELECT *, 1 - 0.05 / count(*) OVER (PARTITION BY b) AS level FROM p),
+a AS (SELECT b, entry_id, label, look, level, count(score) FILTER (WHERE NOT errored) AS n, avg(score) FILTER (WHERE NOT errored) AS mean, stddev_samp(score) FILTER (WHERE NOT errored) AS sd,
+  min(score) FILTER (WHERE NOT errored) AS lo, max(score) FILTER (WHERE NOT errored) AS hi FROM r JOIN lv USING (b) WHERE m >= 10 AND batch_index <= look GROUP BY ALL),
+t AS (SELECT *, (mean - 0.45) / (sd / sqrt(n)) AS t FROM a),
+w AS (SELECT *, CASE WHEN n >= 2 AND lo < hi THEN {t_tail_sql('t', '(n - 1)')} END AS pp FROM t),
+v AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN lo = hi THEN CASE WHEN lo >= 0.45 THEN 'pass' ELSE 'fail' END WHEN pp <= 1 - level THEN 'pass' WHEN 1 - pp <= 1 - level THEN 'fail' END AS verdict FROM w)
+SELECT b AS batch_id, entry_id, label, verdict, CAST(CASE WHEN verdict IS NOT NULL THEN look END AS INTEGER) AS at_time, CAST(n AS INTEGER) AS n,
+  CASE WHEN n >= 2 THEN round(mean, 8) END AS mean, CASE WHEN n >= 2 THEN round(coalesce(sd, 0), 4) END AS sd
+FROM v QUALIFY row_number() OVER (PARTITION BY b ORDER BY verdict IS NULL, CASE WHEN verdict IS NULL THEN -look ELSE look END) = 1""", ["results"])
+def streamed_means(spark, sf):
+    """Averages decided on a stream, all results twice, each check once."""
+    return _streamed(spark, sf, means=True).withColumns({"mean": F.round("mean", 8), "sd": F.round("sd", 4)})
+
+
 def _starts_with(df):
     want = F.col("config")["prefix"]
     return outcome(df, F.when(want.isNull(), "no_prefix"), F.startswith(F.col("answer"), want), F.lit("other_start"))
