@@ -129,32 +129,65 @@ def created_buckets(column: str, edges: dict[str, object]) -> dict[str, Column]:
     return out
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """A left join a listing may need: one row of `table` per `key`, met by the
+    listing's column `on`; `columns` are what it brings, by their names there."""
+    table: DataFrame
+    on: str
+    key: str
+    columns: dict[str, str]
+
+    def join(self, df: DataFrame) -> DataFrame:
+        side = self.table.select(F.col(self.key).alias("_key"), *[F.col(c).alias(n) for n, c in self.columns.items()])
+        return df.join(side, F.col(self.on) == F.col("_key"), "left").drop("_key")
+
+
 @dataclass(frozen=True)
 class Listing:
     """One row per `key` in `df`; `filters` turn chosen values into conditions;
-    a facet leaves out the filter of its own name."""
+    a facet leaves out the filter of its own name.
+
+    `lookups` are joins made only for what is asked: `reads` names, for a
+    filter, facet or sort, the lookups it reads; a page or a list has all
+    columns of the lookups in `shows` besides. Columns worked out from a
+    lookup's stand in `derived`, by the lookups they need.
+    """
     df: DataFrame
     key: str
     filters: dict[str, Callable[[Sequence], Column]] = field(default_factory=dict)
     facets_of: dict[str, Facet] = field(default_factory=dict)
     sorts: dict[str, list[Column]] = field(default_factory=dict)
+    lookups: dict[str, Lookup] = field(default_factory=dict)
+    reads: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    shows: tuple[str, ...] = ()
+    derived: dict[str, tuple[Column, tuple[str, ...]]] = field(default_factory=dict)
+
+    def _with(self, *names: str, shows: tuple[str, ...] = ()) -> DataFrame:
+        """The rows with the lookups that the named filters, facets or sorts read."""
+        wanted = {x for n in names for x in self.reads.get(n, ())} | set(shows)
+        df = reduce(lambda d, name: self.lookups[name].join(d), [n for n in self.lookups if n in wanted], self.df)
+        return df.withColumns({n: c for n, (c, needs) in self.derived.items() if set(needs) <= wanted})
 
     def _conditions(self, chosen: dict[str, Sequence]) -> dict[str, Column]:
         return {name: F.coalesce(self.filters[name](values), F.lit(False))
                 for name, values in chosen.items() if values}
 
-    def where(self, chosen: dict[str, Sequence]) -> DataFrame:
+    def where(self, chosen: dict[str, Sequence], *sorts: str) -> DataFrame:
         """Values of one filter are alternatives; filters add up."""
-        return reduce(DataFrame.filter, self._conditions(chosen).values(), self.df)
+        return self._kept(chosen, self._with(*chosen, *sorts, shows=self.shows))
+
+    def _kept(self, chosen: dict[str, Sequence], df: DataFrame) -> DataFrame:
+        return reduce(DataFrame.filter, self._conditions(chosen).values(), df)
 
     def count(self, chosen: dict[str, Sequence]) -> DataFrame:
-        return self.where(chosen).agg(F.count(F.lit(1)).alias("total"))
+        return self._kept(chosen, self._with(*[n for n, v in chosen.items() if v])).agg(F.count(F.lit(1)).alias("total"))
 
     def page(self, chosen: dict[str, Sequence], sort: str, offset: int = 0, limit: int = 50) -> DataFrame:
         """Sorted by a named order, then by key; a top-n, never a full sort."""
         if not 1 <= limit <= MAX_PAGE:
             raise ValueError(f"limit is 1 to {MAX_PAGE}")
-        return self.where(chosen).orderBy(*self.sorts[sort], F.col(self.key)).offset(offset).limit(limit)
+        return self.where(chosen, sort).orderBy(*self.sorts[sort], F.col(self.key)).offset(offset).limit(limit)
 
     def facets(self, chosen: dict[str, Sequence]) -> DataFrame:
         """facet, value, count: each facet within every other filter.
@@ -170,7 +203,7 @@ class Listing:
             own = F.when(conditions[name], 0).otherwise(1) if name in conditions else F.lit(0)
             tagged = self._tag(name, facet.values())
             pairs.append(F.when(F.col("_misses") - own == 0, tagged).otherwise(F.array().cast("array<struct<facet:string,value:string>>")))
-        rows = self.df.withColumn("_misses", misses).select(F.explode(F.concat(*pairs)).alias("_f")).select("_f.*")
+        rows = self._with(*[n for n, v in chosen.items() if v], *self.facets_of).withColumn("_misses", misses).select(F.explode(F.concat(*pairs)).alias("_f")).select("_f.*")
         counted = rows.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
         known = [(name, v) for name, facet in self.facets_of.items() for v in facet.zeros()]
         if not known:

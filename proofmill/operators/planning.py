@@ -316,13 +316,19 @@ def fewest_left_out(checks: DataFrame, chances: DataFrame) -> DataFrame:
 
 # ── cost and warnings ────────────────────────────────────────────────────────
 
-def resolve_scope(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """Every entry of every scope: of each set, and of each plan through its sets."""
+def resolve_scope(entries: DataFrame, links: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """Every entry of every scope: of each set, of each plan through its sets,
+    and, with `tests` (test_id, name, model_output, assignments), of each test
+    alone: itself."""
     of_set = entries.filter("test_set_id is not null").withColumn("scope_kind", F.lit("test_set")).withColumn("scope_id", F.col("test_set_id"))
     of_plan = links.select("test_set_id", F.col("plan_id").alias("scope_id")).join(entries.drop("plan_id") if "plan_id" in entries.columns else entries, "test_set_id") \
         .withColumn("scope_kind", F.lit("test_plan"))
     keep = ["scope_kind", "scope_id", "entry_id", "name", "model_output", "assignments"]
-    return of_set.select(*keep).unionByName(of_plan.select(*keep))
+    out = of_set.select(*keep).unionByName(of_plan.select(*keep))
+    if tests is None:
+        return out
+    alone = tests.select(F.lit("test").alias("scope_kind"), F.col("test_id").alias("scope_id"), F.col("test_id").alias("entry_id"), "name", "model_output", "assignments")
+    return out.unionByName(alone)
 
 
 def estimate_cost(scope_entries: DataFrame, types: DataFrame, times: int) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from proofmill.operators import keyed
 from proofmill.operators import listing as L
+from proofmill.operators import listings
 from proofmill.operators import standing as S
 
 from . import world
@@ -276,13 +277,31 @@ c AS (SELECT a.batch_id || '/' || b.batch_id AS id, a.batch_id AS batch_a, b.bat
   b.created_at FROM b a JOIN b ON b.scope_id = a.scope_id AND b.yr = a.yr + 1)
 SELECT id, batch_a, batch_b, outcome FROM c WHERE outcome IN ('worse', 'no_difference') ORDER BY created_at DESC, id LIMIT 300""", ["sbatches"])
 def listed_comparisons(spark, sf):
+    return _comparisons(spark, sf).page({"outcome": ["worse", "no_difference"]}, "newest", 0, 300).select("id", "batch_a", "batch_b", "outcome")
+
+
+def _comparisons(spark, sf):
     b = world.scope_batches(spark, sf).withColumn("yr", F.split("batch_id", "-")[2].cast("int"))
     a = b.select(F.col("batch_id").alias("batch_a"), "scope_id", (F.col("yr") + 1).alias("yr"), F.col("status").alias("sa"))
     c = a.join(b.withColumnsRenamed({"batch_id": "batch_b", "status": "sb"}), ["scope_id", "yr"])
     outcome = F.when(F.col("sa") == F.col("sb"), "no_difference").when(F.col("sb") == "Passed", "better").when(F.col("sa") == "Passed", "worse").otherwise("inconclusive")
-    rows = c.withColumn("id", F.concat_ws("/", "batch_a", "batch_b")).withColumn("outcome", outcome).withColumn("batches", F.array("batch_a", "batch_b"))
-    listing = L.Listing(rows, "id", filters={"outcome": L.among("outcome"), "batch": L.holds_any("batches")}, sorts={"newest": [F.desc("created_at")]})
-    return listing.page({"outcome": ["worse", "no_difference"]}, "newest", 0, 300).select("id", "batch_a", "batch_b", "outcome")
+    rows = c.withColumn("id", F.concat_ws("/", "batch_a", "batch_b")).withColumn("outcome", outcome)
+    return listings.comparison_listing(rows, {"y1997": _ts("1997-01-01")})
+
+
+@query("comparison_facets", """
+WITH b AS (SELECT *, CAST(split_part(batch_id, '-', 3) AS INTEGER) AS yr FROM sbatches),
+c AS (SELECT a.batch_id AS batch_a, b.batch_id AS batch_b, b.created_at,
+  CASE WHEN a.status = b.status THEN 'no_difference' WHEN b.status = 'Passed' THEN 'better' WHEN a.status = 'Passed' THEN 'worse' ELSE 'inconclusive' END AS outcome
+  FROM b a JOIN b ON b.scope_id = a.scope_id AND b.yr = a.yr + 1),
+f AS (SELECT 'outcome' AS facet, outcome AS value, count(*) AS n FROM c GROUP BY 2
+UNION ALL SELECT 'outcome', s, 0 FROM (VALUES ('better'), ('worse'), ('no_difference'), ('inconclusive')) v(s)
+UNION ALL SELECT 'batch', x, count(*) FROM (SELECT unnest([batch_a, batch_b]) AS x FROM c WHERE outcome = 'worse') GROUP BY 2
+UNION ALL SELECT 'created', 'y1997', count(*) FROM c WHERE outcome = 'worse' AND created_at >= TIMESTAMP '1997-01-01'
+UNION ALL SELECT 'created', 'before', count(*) FROM c WHERE outcome = 'worse' AND created_at < TIMESTAMP '1997-01-01')
+SELECT facet, value, CAST(sum(n) AS BIGINT) AS count FROM f GROUP BY 1, 2""", ["sbatches"])
+def comparison_facets(spark, sf):
+    return _comparisons(spark, sf).facets({"outcome": ["worse"]})
 
 
 # ── sets and plans ───────────────────────────────────────────────────────────
@@ -305,6 +324,24 @@ def described_plans(spark, sf):
     return S.describe_plans(plans, links, world.entries(spark, sf))
 
 
+@query("plans_linking_sets", "SELECT n_nationkey AS test_set_id, r_regionkey AS plan_id, r_name AS plan_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def plans_linking_sets(spark, sf):
+    plans = world.table(spark, sf, "region").select(F.col("r_regionkey").alias("plan_id"), F.col("r_name").alias("name"))
+    return listings.plans_linking(world.table(spark, sf, "nation").select(F.col("n_nationkey").alias("test_set_id"), F.col("n_regionkey").alias("plan_id")), plans)
+
+
+@query("scopes_by_holdings", """
+SELECT id, name, strftime(last_at, '%Y-%m-%d') AS last_day FROM standing WHERE id IN (SELECT test_set_id FROM copies_of) AND (last_outcome IN ('Green', 'Red') OR last_outcome IS NULL)
+ORDER BY last_at DESC NULLS LAST, id LIMIT 100""", ["standing", "copies_of"])
+def scopes_by_holdings(spark, sf):
+    """Sets that hold any copy, newest run first, from the package's listing."""
+    held = _copies(spark, sf).filter("test_set_id is not null").groupBy(F.col("test_set_id").alias("id")).agg(F.collect_set("test_id").alias("tests"))
+    none = F.array().cast("array<long>")
+    scopes = _standing(spark, sf).select("id", "name").join(held, "id", "left").withColumns({"plans": none, "sets": none, "created_at": F.lit(_ts("1994-01-01"))})
+    listing = listings.scope_listing(scopes, _standing(spark, sf).select("id", "last_verdict", "last_outcome", "last_at"))
+    return listing.page({"holds_test": ["any"], "outcome": ["Green", "Red", "never"]}, "latest", 0, 100).select("id", "name", F.date_format("last_at", "yyyy-MM-dd").alias("last_day"))
+
+
 @query("listed_entries", "SELECT entry_id, name, test_set_name FROM entries WHERE plan_id IN (1, 3) ORDER BY lower(name), entry_id LIMIT 60", ["entries"])
 def listed_entries(spark, sf):
     listing = L.Listing(world.entries(spark, sf), "entry_id", filters={"plan": L.among("plan_id")}, sorts={"name": [F.lower("name")]})
