@@ -166,11 +166,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def head(docs: DataFrame) -> Head:
-    """At most `HEAD_WORDS` words and `HEAD_PAIRS` pairs, whatever the size of the table."""
+    """At most `HEAD_WORDS` words and `HEAD_PAIRS` pairs, whatever the size of
+    the table: counts fall into eight steps an octave, and as many of the upper
+    steps as fit come to the driver."""
     counts = docs.select("text").mapInArrow(_counted, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    counts = written(counts, "counts")
-    top = lambda kind, most: counts.filter(kind).orderBy(F.desc("n"), "a", "b").limit(most).collect()
-    return head_of([bytes(r.a) for r in top("b is null", HEAD_WORDS)], [(bytes(r.a), bytes(r.b)) for r in top("b is not null", HEAD_PAIRS)])
+    counts = written(counts.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "counts")
+    sizes = counts.groupBy(F.col("b").isNull().alias("single"), "step").count().collect()
+
+    def top(single: bool, most: int) -> list:
+        least, total = 1 << 30, 0
+        for r in sorted((r for r in sizes if r["single"] == single), key=lambda r: -r["step"]):
+            total += r["count"]
+            if total > most:
+                break
+            least = r["step"]
+        rows = counts.filter((F.col("b").isNull() == F.lit(single)) & (F.col("step") >= least)).collect()
+        return sorted(rows, key=lambda r: (-r.n, bytes(r.a), bytes(r.b or b"")))
+
+    return head_of([bytes(r.a) for r in top(True, HEAD_WORDS)], [(bytes(r.a), bytes(r.b)) for r in top(False, HEAD_PAIRS)])
 
 
 def _summed(known: Callable[[], Head]) -> Callable:
