@@ -1,17 +1,22 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-A page becomes lines, one per block element. Lines of markup that is never
-article text (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments) and lines that are mostly link text count as empty. The
-text lengths are summed over windows of `WINDOW` lines; a region begins where
-a window surges over `SURGE` characters and ends where the text dives to
-nothing for a whole window. Where a page marks its article, the lines outside
-it count as empty and any text inside is a surge.
+A page becomes lines, one per block element. Markup that is never article text
+(menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader
+comments) leaves an empty line; a line that is mostly link text counts as
+empty. The text lengths are summed over windows of `WINDOW` lines; a region
+begins where a window surges over `SURGE` characters and ends where the text
+dives to nothing for a whole window; between the two every line of text stays.
+
+Where a page marks an article and a window surges inside the mark, the lines
+outside count as empty and any text inside is a surge, so that only menus of
+`WINDOW` links or more fall out there. A mark without a surge (a teaser, an empty
+frame) decides nothing unless the whole page has no surge.
 """
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,118 +33,212 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 NEVER = frozenset("head nav footer aside form button select option textarea dialog menu noscript template iframe svg canvas object audio video title".split())
 RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSED_BY = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
+CLOSED_BY = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
              "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|notification\w*|popup|modal|overlay|"
                   r"nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related|recommend\w*|share|sharing|social|subscribe|newsletter|"
                   r"comments?|commentlist|respond|disqus\w*|replies|reply|footer|foot|header|masthead|topbar|toolbar|pagination|pager|login|signup|search\w*)(?:$|[\s_-])", re.I)
+ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsored|comments?|replies|reply)(?:$|\s)", re.I)  # of an <article> itself
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+READ = frozenset("class id role hidden aria-hidden href".split())
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.I)
-_CUT = re.compile(r"</?[a-zA-Z][^>]*\Z")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)(\s*+>)?")
+_ATTRIBUTE = re.compile(r"[\s/]*+(>|=?[^\s/>=]*+)(\s*+=\s*+)?")
+_BARE = re.compile(r"[^\s>]*+")
 _SPACE = re.compile(r"\s+")
 
 
-def _unwanted(name: str, attributes: str, article: bool) -> bool:
-    if name in NEVER or (name == "header" and not article):
+class _Reader:
+    """Tags of one page, read once from left to right by the standard's rules.
+    A quote that is never closed ends with its tag, at the next `>`."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.open_quotes = set()  # quote characters that do not come again
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int]:
+        """What is read of a tag's attributes from `at` on, and where the tag ends."""
+        page, found = self.page, {}
+        while at < len(page):
+            m = _ATTRIBUTE.match(page, at)
+            at = m.end()
+            if m[1] == ">":
+                return found, m.end(1)
+            value = ""
+            if m[2]:
+                quote = page[at:at + 1]
+                if quote in ("'", '"'):
+                    end = -1 if quote in self.open_quotes else page.find(quote, at + 1)
+                    if end < 0:
+                        self.open_quotes.add(quote)
+                        end = page.find(">", at)
+                        return found, end + 1 if end >= 0 else len(page)
+                    value, at = page[at + 1:end], end + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            name = m[1].lower()
+            if name in READ:
+                found.setdefault(name, value)
+        return found, at
+
+    def after(self, name: str, at: int) -> int:
+        """Where the content of a raw element that begins at `at` is over."""
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.page.find(">", m.end()) if m else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+    def tags(self) -> Iterator[tuple[str, str, bool, dict[str, str]]]:
+        """(text before, name, closing, attributes); the last one has no name."""
+        page, at, start = self.page, 0, 0
+        while True:
+            start = page.find("<", start)
+            if start < 0:
+                yield page[at:], "", False, {}
+                return
+            m = _NAME.match(page, start)
+            if m:
+                name, attributes, end = m[2].lower(), {}, m.end()
+                if not m[3]:
+                    attributes, end = self.attributes(m.end())
+                if not m[1] and name in RAW:
+                    end = self.after(name, end)
+                yield page[at:start], name, bool(m[1]), attributes
+            elif page.startswith("<!--", start):
+                end = start + 5 if page.startswith("<!-->", start) else page.find("-->", start + 4)
+                end = len(page) if end < 0 else end if page.startswith("<!-->", start) else end + 3
+                yield page[at:start], "!", False, {}
+            elif page[start + 1:start + 2] in ("!", "?") or page.startswith("</", start) and start + 2 < len(page):
+                end = page.find(">", start)
+                end = end + 1 if end >= 0 else len(page)
+                yield page[at:start], "!", False, {}
+            else:  # a `<` of the text
+                start += 1
+                continue
+            at = start = end
+
+
+def _unwanted(name: str, attributes: dict[str, str], article: bool) -> bool:
+    if name in NEVER or name in RAW or (name == "header" and not article):
+        return True
+    if not attributes:
+        return False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").strip().lower() in ROLES:
         return True
-    for key, *values in _NAMED.findall(attributes) if attributes else ():
-        key, value = key.lower(), "".join(values)
-        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value.strip().lower() in ROLES):
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and HINT.search(value):
-            return True
-    return False
-
-
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """The page's blocks in order: text, whether it may be article text, whether
-    it stands in a marked article, and how much of it is link text."""
-    out: list[tuple[str, bool, bool, int]] = []
+    hint = None if name in ("html", "body", "main") else ASIDE if name == "article" else HINT
+    return hint is not None and any(hint.search(attributes.get(key, "")) for key in ("class", "id"))
+
+
+def lines(page: str) -> list[tuple[str, bool, int]]:
+    """The page's blocks in order: the text that may be article text, whether it
+    stands in a marked article, and how many of its characters are link text.
+    Blocks that hold nothing count as one between two others."""
+    out: list[tuple[str, bool, int]] = []
     stack: list[tuple[str, bool, bool]] = []
+    depth: Counter[str] = Counter()  # of each name in the stack
     parts: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, link = 0, None  # the stack's height where a link began
+    left_out, gap = False, False  # text not wanted in this block; the last line is a bare gap between blocks
 
-    def state() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    def pop() -> None:
+        nonlocal link
+        depth[stack.pop()[0]] -= 1
+        if link is not None and len(stack) < link:
+            link = None
 
     def flush() -> None:
-        nonlocal linked
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        unwanted, article = state()
-        out.append((text, not unwanted, article, linked))
+        nonlocal linked, left_out, gap
+        text = _SPACE.sub(" ", "".join(parts)).strip()
+        bare = not text and not left_out
+        if not (bare and gap):
+            out.append((text, bool(stack) and stack[-1][2], linked))
         parts.clear()
-        linked = 0
+        linked, left_out, gap = 0, False, bare
 
-    while True:
-        m = _MARK.search(page, at)
-        text = page[at:m.start()] if m else _CUT.sub("", page[at:])
-        if text:
+    for text, name, closing, attributes in _Reader(page).tags():
+        unwanted, article = stack[-1][1:] if stack else (False, False)
+        if unwanted:
+            left_out = left_out or bool(text) and not text.isspace()
+        elif text:
+            text = html.unescape(text)
             parts.append(text)
-            linked += len(text.strip()) if in_link else 0
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+            if link is not None:
+                linked += len(_SPACE.sub(" ", text).strip())
+        if not name or name == "!":
             continue
-        name, closing = m[2].lower(), bool(m[1])
         if name == "br":
             parts.append("\n")
             continue
         if name == "a":
-            in_link = not closing
+            link = len(stack) if "href" in attributes and not closing else None
         if name in BLOCKS:
             flush()
         if closing:
-            places = [i for i, x in enumerate(stack) if x[0] == name]
-            if places:
-                del stack[places[-1]:]
+            while depth[name]:
+                last = stack[-1][0]
+                pop()
+                if last == name:
+                    break
             continue
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS:
+        if name in VOID or name in RAW:
             continue
-        if name in CLOSED_BY:
-            while stack and stack[-1][0] in CLOSED_BY[name]:
-                stack.pop()
-        unwanted, article = state()
-        if name in RAW or name == "script" or name == "style":
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            at = end.end()
-            continue
-        if name in BLOCKS or _unwanted(name, m[3], article):
-            if name not in BLOCKS:
-                flush()
-            stack.append((name, unwanted or _unwanted(name, m[3], article), article or name in ("article", "main")))
+        if name in BLOCKS and stack and stack[-1][0] == "p":
+            pop()
+        while name in CLOSED_BY and stack and stack[-1][0] in CLOSED_BY[name]:
+            pop()
+        unwanted, article = stack[-1][1:] if stack else (False, False)
+        unwanted = unwanted or _unwanted(name, attributes, article)
+        if name in BLOCKS or unwanted:
+            stack.append((name, unwanted, article or name in ("article", "main")))
+            depth[name] += 1
     flush()
     return out
 
 
-def regions(lengths: np.ndarray, surge: int) -> np.ndarray:
+def windowed(lengths: np.ndarray) -> np.ndarray:
+    """The sum of each length and the next `WINDOW - 1`."""
+    return np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1:] if len(lengths) else lengths
+
+
+def regions(lengths: np.ndarray, surge: int = SURGE) -> np.ndarray:
     """Which lines lie between a surge and the dive after it."""
-    n = len(lengths)
-    sums = np.convolve(lengths, np.ones(WINDOW, np.int64))[WINDOW - 1:] if n else lengths
+    n, sums = len(lengths), windowed(lengths)
     keep, i = np.zeros(n, bool), 0
-    while i < n:
-        if lengths[i] and sums[i] > surge:
-            j = i
-            while j < n and sums[j]:
-                j += 1
-            keep[i:j] = True
-            i = j
-        else:
-            i += 1
-    return keep & (lengths > 0)
+    dives = np.flatnonzero(sums == 0)
+    for start in np.flatnonzero((lengths > 0) & (sums > surge)):
+        if start >= i:
+            after = np.searchsorted(dives, start)
+            i = int(dives[after]) if after < len(dives) else n
+            keep[start:i] = True
+    return keep
+
+
+def _in_menus(linked: np.ndarray) -> np.ndarray:
+    """Which lines stand in a row of `WINDOW` or more lines of links."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], linked.astype(np.int8), [0]])))
+    out = np.zeros(len(linked), bool)
+    for a, b in edges.reshape(-1, 2):
+        out[a:b] = b - a >= WINDOW
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by newlines; empty when there is none."""
     found = lines(page or "")
-    marked = any(article and own and text for text, own, article, _ in found)
-    lengths = np.array([len(text) if own and (article or not marked) and (article or linked <= LINKED * len(text)) else 0
-                        for text, own, article, linked in found], np.int64)
-    keep = regions(lengths, 0 if marked else SURGE)
-    if not keep.any():  # too little text for a surge: all there is
-        keep = lengths > 0
+    size = np.array([len(text) for text, _, _ in found], np.int64)
+    marked = np.array([mark for _, mark, _ in found], bool) & (size > 0)
+    linked = np.array([n for _, _, n in found], np.int64) > LINKED * size
+    plain = np.where(linked, 0, size)
+    # Blocks without text (between </p> and <p>) do not part two links of a menu.
+    filled = np.flatnonzero(size)
+    text = np.zeros(len(found), bool)
+    text[filled] = ~_in_menus(linked[filled])
+    if (windowed(np.where(marked, plain, 0)) > SURGE).any():
+        keep = regions(np.where(marked & text, size + SURGE, 0)) & marked & text
+    else:
+        keep = regions(plain) & text
+        if not keep.any():  # too little text for a surge: all there is
+            keep = marked if marked.any() else text if text.any() else size > 0
     return "\n".join(found[i][0] for i in np.flatnonzero(keep))
 
 

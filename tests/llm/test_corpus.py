@@ -5,6 +5,7 @@ import html
 import random
 import re
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -166,6 +167,60 @@ def test_main_text(page, text):
     assert mainline.main_text(page) == text
 
 
+LONG = "long words of an article stand here " * 4
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<p>one</p><a title=don't href=x>link</a><p>it's text</p><p>end</p>", "one\nlink\nit's text\nend"),
+    ('<p>First</p><p class="x>Second para</p><p>third', "First\nSecond para\nthird"),
+    ("<p>one <span class=ad>buy</span> two &amp; 1 < 2</p>", "one two & 1 < 2"), ("a <!-- > x --> b<!--> c", "a b c"), ("<P HIDDEN>x</P>y", "y"),
+    ("<p>see <a href=x>this</p><p>more</p><p>and</p><p>more</p>", "see this\nmore\nand\nmore"), ("a<svg><p>x</svg >b<script>'</script", "ab"),
+    # a mark without a surge does not hide the text; one with a surge does
+    (f"<article><p>teaser</p></article><div>{LONG}</div>", f"teaser\n{LONG.strip()}"), (f"<h1>T</h1><div><div><p>{LONG}", f"T\n{LONG.strip()}"), (f"<article><p>{LONG}</p></article><div>{LONG}</div>", LONG.strip()),
+    # three links in a row are a menu, also in an article; fewer are text
+    (f"<article><p>{LONG}<ul><li><a href=1>a</a><li><a href=2>b</a></ul><p>end</article>", f"{LONG.strip()}\na\nb\nend"),
+    (f"<article><p>{LONG}<ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul><p>end</article>", f"{LONG.strip()}\nend"),
+    (f"<article><p>{LONG}</p><article class=comment><p>{LONG}</p></article></article>", LONG.strip())])
+def test_main_text_of_odd_markup(page, text):
+    assert mainline.main_text(page) == text
+
+
+def test_main_text_by_windows():
+    """Pages without marks against surge and dive written out line by line."""
+    rng = random.Random(8)
+    for _ in range(400):
+        blocks = [(rng.choice("pppplle"), rng.choice([1, 3, 10, 30, 60, 100])) for _ in range(rng.randint(1, 25))]
+        page = "".join("<div class=ad>x</div>" if kind == "e" else f"<a href=x>{'l' * n}</a><hr>" if kind == "l" else f"{'t' * n}<hr>" for kind, n in blocks)
+        shown = []
+        for block in blocks:  # an empty line opens each advert; it counts once
+            shown += [("e", 0), block] if block[0] == "e" else [block]
+        blocks = shown
+        plain = [n if kind == "p" else 0 for kind, n in blocks]
+        window = [sum(plain[i:i + 3]) for i in range(len(plain))]
+        on, kept = False, []
+        for i in range(len(blocks)):
+            on = window[i] > 0 if on else plain[i] > 0 and window[i] > 86
+            kept.append(on)
+        with_text = [i for i, (kind, _) in enumerate(blocks) if kind != "e"]
+        menu, row = set(), []
+        for i in with_text + [None]:
+            if i is not None and blocks[i][0] == "l":
+                row.append(i)
+            else:
+                menu |= set(row) if len(row) >= 3 else set()
+                row = []
+        some = [i for i in with_text if kept[i] and i not in menu] or [i for i in with_text if i not in menu] or with_text
+        assert mainline.main_text(page) == "\n".join(("l" if blocks[i][0] == "l" else "t") * blocks[i][1] for i in some)
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 50_000 + "x" + "</div>" * 50_000, "<a b=\"" * 150_000, "<p x='>t" * 100_000, "<!--" * 250_000,
+                                  "<" * 500_000, "<svg></svg " * 90_000, "<p" + " " * 1_000_000, "<p " + "= " * 300_000])
+def test_main_text_takes_linear_time(page):
+    begun = time.process_time()
+    mainline.main_text(page)
+    assert time.process_time() - begun < 5  # quadratic readers take minutes
+
+
 def test_main_text_of_the_pages(spark):
     for r in mainline.extracted(spark.read.parquet(f"{SF}/pages.parquet")).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.split(r"<article>|</article>", r.html)[1]
