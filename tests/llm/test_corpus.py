@@ -268,6 +268,44 @@ def test_network_finds_held_out_secrets():
     assert (p == (y[225:] == 1)).mean() > 0.95
 
 
+@pytest.mark.parametrize("odds", [1.0, 1e-3, 1e-6])
+def test_recall_does_not_depend_on_how_rare_secrets_are(odds):
+    rng = random.Random(5)
+
+    def found(i):
+        key = "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEF") for _ in range(40))
+        left, value = ("x token = \"", key) if i % 2 else ("see https:", "//www." + "".join(rng.choice("abcdefghij") for _ in range(20)) + ".com/2024/")
+        return left + value + "\" and more", len(left), len(left) + len(value)
+    rows, y = [found(i) for i in range(2000)], np.arange(2000) % 2
+    net = secrets.settle(secrets.train(secrets.windows(rows[:300]), y[:300], epochs=40), secrets.windows(rows[300:1000]), y[300:1000], odds)
+    p = net.probability(secrets.windows(rows[1000:])) >= net.threshold
+    assert p[y[1000:] == 1].mean() >= 0.95 and net.recall >= 0.98 and net.precision > 0.9
+
+
+def test_the_network_adds_keys_that_no_pattern_finds(spark):
+    rng = random.Random(3)
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda: "".join(rng.choice(letters) for _ in range(39)) + "7"
+    docs = [(i, f'set token = "{key()}" here', "s") for i in range(60)] + [(100 + i, f"the key is {key()} for now", "s") for i in range(50)]
+    docs += [(200 + i, f"see https://www.example.com/{'abcde'[i % 5] * 4}/pages/{i:06d}/index", "s") for i in range(400)]
+    net = secrets.fit(documents(spark, docs))
+    got = {r.doc_id: r for r in secrets.findings(documents(spark, docs), net).collect()}
+    assert sum(got[100 + i].spans == "network:11:51" for i in range(50)) >= 45
+    assert all(got[100 + i].n_assign + got[100 + i].n_access + got[100 + i].n_hex == 0 for i in range(50))
+    assert sum(got[200 + i].spans != "" for i in range(400)) <= 8 and net.recall >= 0.98
+
+
+def test_stretches_beside_spans():
+    rng = random.Random(6)
+    for _ in range(200):
+        spans = sorted((a, a + rng.randint(1, 9), "hex") for a in (rng.randrange(60) for _ in range(rng.randint(0, 8))))
+        found = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(8))]
+        assert secrets.beside(spans, found) == [any(a < e and s < b for s, e, _ in spans) for a, b in found]
+    begun = time.process_time()
+    secrets.scan([" ".join(f"token=abcdef123456{i:06d}" for i in range(40_000))], None)
+    assert time.process_time() - begun < 10
+
+
 @pytest.mark.parametrize("labelled", [0, 60])
 def test_network_reads_small_and_lopsided_tables(spark, labelled):
     rng = random.Random(21)
