@@ -26,9 +26,9 @@ KEYS = ["run_id", "label"]
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Rows with both texts, spread by run. Scoring costs seconds per megabyte
-    of text and moving it hundredths, so an even spread pays for itself."""
-    return df.filter(F.col("answer").isNotNull() & F.col("reference").isNotNull()).repartition(*KEYS)
+    """Rows spread by run. Scoring costs seconds per megabyte of text and moving
+    it hundredths, so an even spread pays for itself."""
+    return df.repartition(*KEYS)
 
 
 def _measure(name: str, hits: Column, answer: Column, reference: Column) -> Column:
@@ -198,7 +198,8 @@ def shaped(metric: Column, name: str, lowercase: Column) -> Column:
 
 def rouge_score(counts: Column, measure: Column) -> Column:
     score = lambda m: _measure(m, counts[0], counts[1], counts[2])
-    return F.when(measure == "precision", score("precision")).when(measure == "recall", score("recall")).when(measure == "f1", score("f1"))
+    found = F.when(measure == "precision", score("precision")).when(measure == "recall", score("recall")).when(measure == "f1", score("f1"))
+    return F.when(counts.isNotNull(), found)
 
 
 def bleu_score(counts: Column, kind: Column) -> Column:
@@ -217,14 +218,14 @@ def bleu_score(counts: Column, kind: Column) -> Column:
     brevity = F.when(total[0] >= ref_len, 1.0).otherwise(F.exp(1 - ref_len / total[0]))
     something = hits[0] + hits[1] + hits[2] + hits[3] > 0
     score = F.when(something, brevity * F.exp(logs / used)).otherwise(0.0)
-    return F.when(kind.isin("exp", "floor", "add-k", "none"), score)
+    return F.when(counts.isNotNull() & kind.isin("exp", "floor", "add-k", "none"), score)
 
 
 def meteor_score(counts: Column, alpha: Column, beta: Column, gamma: Column) -> Column:
     m, chunks = counts[0], counts[1]
     p, r = m / counts[2], m / counts[3]
     score = p * r / (alpha * p + (1 - alpha) * r) * (1 - gamma * F.pow(chunks / m, beta))
-    return F.when(m > 0, score).otherwise(0.0)
+    return F.when(counts.isNotNull(), F.when(m > 0, score).otherwise(0.0))
 
 
 def _as_column(x) -> Column:
@@ -232,7 +233,8 @@ def _as_column(x) -> Column:
 
 
 def _counted(df: DataFrame, metric: str, variant: Column, stemmed: Column, lowercase: Column, keep: dict[str, Column], groups: dict | None = None) -> DataFrame:
-    """Rows with both texts, `keep`, and `_o`, what the metric counts."""
+    """Every row, `keep`, and `_o`, what the metric counts: null, like the score,
+    where a text is missing."""
     name = F.lit(metric)
     rows = _spread(df).select(*KEYS, shaped(name, "answer", lowercase).alias("ta"), shaped(name, "reference", lowercase).alias("tr"),
                               variant.alias("v"), stemmed.alias("st"), *[c.alias(n) for n, c in keep.items()])

@@ -165,3 +165,11 @@ def test_patterns_of_any_length_keep_their_dialect(spark):
     df = df.withColumns({"label": F.lit("l"), "reference": F.lit(None).cast("string"), "engine_settings": F.expr("map('mode', 'search')"), "comparison": F.lit(None).cast("string")})
     got = {r.run_id: (r.passed, r.detail) for r in fixed.check_regex(df, mode="search", negate=False, lookalikes=False).collect()}
     assert got == {0: (True, None), 1: (False, "invalid_pattern")}
+
+
+def test_a_missing_text_keeps_its_row_without_a_score(spark):
+    df = spark.createDataFrame([(1, "x", "a b", None), (2, "x", None, "a b"), (3, "x", "", "a b"), (4, "x", "a b", "a b")],
+                               "run_id int, label string, answer string, reference string")
+    for out in (overlap.rouge_n(df, 1), overlap.rouge_l(df), overlap.rouge_lsum(df), overlap.bleu(df), overlap.meteor(df)):
+        got = {r.run_id: r.raw_score for r in out.collect()}
+        assert set(got) == {1, 2, 3, 4} and got[1] is None and got[2] is None and got[3] == 0 and got[4] > 0

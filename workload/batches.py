@@ -9,7 +9,7 @@ from proofmill.operators import batch as B
 from proofmill.plans.jobs import gate_batches
 
 from . import world
-from .registry import query
+from .registry import query, view
 from .world import binomial_sql
 
 TARGET, SURE = 0.9, 0.95
@@ -114,14 +114,20 @@ def gate_rule_at_size(spark, sf):
     return sizes.withColumn("_r", rule).select("n", "_r.pass_at_least", "_r.fail_at_most")
 
 
+view("own_targets", """SELECT batch_id, entry_id, label, least(0.99, greatest(0.5, round(passed::DOUBLE / evaluated, 2))) AS target
+FROM plain_fold""", ["plain_fold"])
+
+
+def own_targets(spark, sf):
+    """Each check's own pass rate in whole percents, 50 to 99, as its target."""
+    target = F.least(F.lit(0.99), F.greatest(F.lit(0.5), F.round(F.col("passed") / F.col("evaluated"), 2)))
+    return _folded(spark, sf).select("batch_id", "entry_id", "label", target.alias("target"))
+
+
 @query("gate_floors", """
-SELECT entry_id, label, least(0.99, greatest(0.5, round(passed::DOUBLE / evaluated, 2))) AS target,
-  CAST(ceil(ln(0.05) / ln(least(0.99, greatest(0.5, round(passed::DOUBLE / evaluated, 2)))) - 1e-9) AS BIGINT) AS floor
-FROM plain_fold WHERE batch_id = 'F'""", ["plain_fold"])
+SELECT batch_id, entry_id, label, target, CAST(ceil(ln(0.05) / ln(target) - 1e-9) AS BIGINT) AS floor FROM own_targets""", ["own_targets"])
 def gate_floors(spark, sf):
-    target = F.least(F.lit(0.99), F.greatest(F.lit(0.5), F.round(F.col("passed") / F.col("evaluated"), 2)))
-    return (_folded(spark, sf).filter("batch_id = 'F'").select("entry_id", "label", target.alias("target"))
-            .withColumn("floor", B.gate_floor(F.col("target"), SURE)))
+    return own_targets(spark, sf).withColumn("floor", B.gate_floor(F.col("target"), SURE))
 
 
 _RULES_1000 = """

@@ -8,7 +8,6 @@ from proofmill.operators import answers as A
 from proofmill.operators.checks import against_threshold
 from proofmill.operators.checks import fixed, judge, overlap, vectors
 from proofmill.operators.checks.dispatch import Sides, score_checks
-from proofmill.operators.keyed import numbered
 from proofmill.operators.rollup import count_checks, roll_up_runs, run_passed
 from proofmill.sources.catalogue import check_types
 
@@ -209,14 +208,14 @@ def _gram_sql(n: int, tokens: str = "regexp_extract_all(lower(~C~), '[a-z0-9]+')
     return f"""a{n} AS ({side('answer')}), r{n} AS ({side('reference')}),
 sa{n} AS (SELECT run_id, label, sum(c)::DOUBLE AS na FROM a{n} GROUP BY 1, 2), sr{n} AS (SELECT run_id, label, sum(c)::DOUBLE AS nr FROM r{n} GROUP BY 1, 2),
 sh{n} AS (SELECT run_id, label, sum(least(a.c, r.c))::DOUBLE AS hits FROM a{n} a JOIN r{n} r USING (run_id, label, g) GROUP BY 1, 2),
-h{n} AS (SELECT run_id, label, coalesce(hits, 0) AS hits, coalesce(na, 0) AS na, coalesce(nr, 0) AS nr FROM pairs
+h{n} AS (SELECT run_id, label, coalesce(hits, 0) AS hits, coalesce(na, 0) AS na, coalesce(nr, 0) AS nr, reference IS NULL AS alone FROM pairs
   LEFT JOIN sh{n} USING (run_id, label) LEFT JOIN sa{n} USING (run_id, label) LEFT JOIN sr{n} USING (run_id, label))"""
 
 
 for _n in (1, 2):
     def _register(n):
         @query(f"rouge_{n}_scores", f"""WITH {_gram_sql(n)}
-SELECT run_id, label, round(CASE WHEN hits = 0 THEN 0.0 ELSE 2 * (hits / na) * (hits / nr) / (hits / na + hits / nr) END, 6) AS score FROM h{n}""", ["pairs"])
+SELECT run_id, label, round(CASE WHEN alone THEN NULL WHEN hits = 0 THEN 0.0 ELSE 2 * (hits / na) * (hits / nr) / (hits / na + hits / nr) END, 6) AS score FROM h{n}""", ["pairs"])
         def rouge_scores(spark, sf):
             return overlap.rouge_n(world.text_pairs(spark, sf), n).select("run_id", "label", F.round("raw_score", 6).alias("score"))
     _register(_n)
@@ -240,7 +239,7 @@ _BT = f"regexp_extract_all({_B3}, '{_NWS}+')"
 
 @query("bleu_scores", f"""
 WITH {', '.join(_gram_sql(n, _BT) for n in (1, 2, 3, 4))},
-w AS (SELECT run_id, label, h1.hits AS c1, h2.hits AS c2, h3.hits AS c3, h4.hits AS c4, h1.na AS t1, h2.na AS t2, h3.na AS t3, h4.na AS t4, h1.nr AS r
+w AS (SELECT run_id, label, h1.hits AS c1, h2.hits AS c2, h3.hits AS c3, h4.hits AS c4, h1.na AS t1, h2.na AS t2, h3.na AS t3, h4.na AS t4, h1.nr AS r, h1.alone
   FROM h1 JOIN h2 USING (run_id, label) JOIN h3 USING (run_id, label) JOIN h4 USING (run_id, label)),
 z AS (SELECT *, (c1 = 0)::INT AS z1, (c1 = 0)::INT + (c2 = 0)::INT AS z2, (c1 = 0)::INT + (c2 = 0)::INT + (c3 = 0)::INT AS z3,
   (c1 = 0)::INT + (c2 = 0)::INT + (c3 = 0)::INT + (c4 = 0)::INT AS z4 FROM w),
@@ -249,7 +248,7 @@ l AS (SELECT *, CASE WHEN t1 > 0 THEN ln(CASE WHEN c1 > 0 THEN 100 * c1 / t1 ELS
   + CASE WHEN t3 > 0 THEN ln(CASE WHEN c3 > 0 THEN 100 * c3 / t3 ELSE 100 / (pow(2, z3) * t3) END) ELSE 0 END
   + CASE WHEN t4 > 0 THEN ln(CASE WHEN c4 > 0 THEN 100 * c4 / t4 ELSE 100 / (pow(2, z4) * t4) END) ELSE 0 END AS logs,
   (t1 > 0)::INT + (t2 > 0)::INT + (t3 > 0)::INT + (t4 > 0)::INT AS used FROM z)
-SELECT run_id, label, round(CASE WHEN c1 + c2 + c3 + c4 = 0 THEN 0.0 ELSE CASE WHEN t1 >= r THEN 1.0 ELSE exp(1 - r / t1) END * exp(logs / used) END, 6) AS score FROM l""",
+SELECT run_id, label, round(CASE WHEN alone THEN NULL WHEN c1 + c2 + c3 + c4 = 0 THEN 0.0 ELSE CASE WHEN t1 >= r THEN 1.0 ELSE exp(1 - r / t1) END * exp(logs / used) END, 6) AS score FROM l""",
        ["pairs"])
 def bleu_scores(spark, sf):
     return overlap.bleu(world.text_pairs(spark, sf)).select("run_id", "label", F.round("raw_score", 6).alias("score"))
@@ -265,7 +264,7 @@ r AS (SELECT run_id, i, t, row_number() OVER (PARTITION BY run_id, t ORDER BY i
 m AS (SELECT run_id, a.i AS pa, r.i AS pr FROM a JOIN r USING (run_id, t, k)),
 b AS (SELECT run_id, CASE WHEN pa - lag(pa) OVER o = 1 AND pr - lag(pr) OVER o = 1 THEN 0 ELSE 1 END AS br FROM m WINDOW o AS (PARTITION BY run_id ORDER BY pa)),
 s AS (SELECT run_id, count(*)::DOUBLE AS m, sum(br)::DOUBLE AS c FROM b GROUP BY 1)
-SELECT w.run_id, label, round(coalesce((m / len(ta)) * (m / len(tr)) / (0.9 * m / len(ta) + 0.1 * m / len(tr)) * (1 - 0.5 * pow(c / m, 3)), 0.0), 6) AS score
+SELECT w.run_id, label, round(CASE WHEN tr IS NULL THEN NULL ELSE coalesce((m / len(ta)) * (m / len(tr)) / (0.9 * m / len(ta) + 0.1 * m / len(tr)) * (1 - 0.5 * pow(c / m, 3)), 0.0) END, 6) AS score
 FROM w LEFT JOIN s USING (run_id)""", ["pairs"])
 def meteor_scores(spark, sf):
     return overlap.meteor(world.text_pairs(spark, sf)).select("run_id", "label", F.round("raw_score", 6).alias("score"))
@@ -294,9 +293,7 @@ def cosine_scores(spark, sf):
 def _vectors(spark, sf):
     """Every vector against the one that follows it by id; the last has none."""
     e = world.table(spark, sf, "embeddings")
-    ids = numbered(e.select("vec_id"), [F.col("vec_id")], "_n")
-    after = ids.join(ids.select((F.col("_n") - 1).alias("_n"), F.col("vec_id").alias("_after")), "_n", "left").drop("_n")
-    return e.join(after, "vec_id").select(F.col("vec_id").alias("run_id"), F.lit("cos").alias("label"), F.col("embedding").alias("answer_vector"), "_after").join(
+    return e.join(world.following(e, "vec_id"), "vec_id").select(F.col("vec_id").alias("run_id"), F.lit("cos").alias("label"), F.col("embedding").alias("answer_vector"), "_after").join(
         e.select(F.col("vec_id").alias("_after"), F.col("embedding").alias("reference_vector")), "_after", "left").drop("_after")
 
 

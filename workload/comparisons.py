@@ -87,19 +87,19 @@ def pass_rate_comparison(spark, sf):
         "entry_id", "label", *[r4(F.col(x)).alias(x) for x in ("difference", "lower", "upper")], "verdict", "times_to_decide")
 
 
-_LF = "lgamma({} + 1)"
 @query("two_by_two_tests", f"""
-WITH t AS (SELECT entry_id, label, ka AS a, na - ka AS b, kb AS c, nb - kb AS d, na + nb AS n FROM sides)
-SELECT entry_id, label, round(n * pow(1.0 * a * d - 1.0 * b * c, 2) / (1.0 * (a + b) * (c + d) * (a + c) * (b + d)), 4) AS chi_square,
+WITH t AS (SELECT entry_id, label, ka AS a, na - ka AS b, kb AS c, nb - kb AS d, na + nb AS n, ka + kb = 0 OR ka + kb = na + nb AS plain FROM sides)
+SELECT entry_id, label, CASE WHEN plain THEN 0.0 ELSE round(n * pow(1.0 * a * d - 1.0 * b * c, 2) / (1.0 * (a + b) * (c + d) * (a + c) * (b + d)), 4) END AS chi_square,
   round(least(a + b, c + d)::DOUBLE * least(a + c, b + d) / n, 4) AS min_expected,
-  round((SELECT sum(exp(lp)) FROM (SELECT lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(n+1)-lgamma(x+1)-lgamma(a+b-x+1)-lgamma(a+c-x+1)-lgamma(c+d-a-c+x+1) AS lp
+  CASE WHEN plain THEN 1.0 ELSE round((SELECT sum(exp(lp)) FROM (SELECT lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(n+1)-lgamma(x+1)-lgamma(a+b-x+1)-lgamma(a+c-x+1)-lgamma(c+d-a-c+x+1) AS lp
       FROM generate_series(greatest(0, a + c - c - d), least(a + b, a + c)) g(x))
-    WHERE lp <= lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(n+1)-lgamma(a+1)-lgamma(b+1)-lgamma(c+1)-lgamma(d+1) + 1e-7), 4) AS p_fisher
-FROM t WHERE a + c > 0 AND b + d > 0""", ["sides"])
+    WHERE lp <= lgamma(a+b+1)+lgamma(c+d+1)+lgamma(a+c+1)+lgamma(b+d+1)-lgamma(n+1)-lgamma(a+1)-lgamma(b+1)-lgamma(c+1)-lgamma(d+1) + 1e-7), 4) END AS p_fisher
+FROM t""", ["sides"])
 def two_by_two_tests(spark, sf):
-    m = _rates(spark, sf)
+    """Checks of both batches; where all or none passed nothing differs."""
+    m = _rates(spark, sf).filter("only_in is null")
     ka, na, kb, nb = (F.col(x) for x in ("passed_a", "evaluated_a", "passed_b", "evaluated_b"))
-    out = C.two_by_two(m, ka, na - ka, kb, nb - kb).filter((ka + kb > 0) & (na + nb > ka + kb))
+    out = C.two_by_two(m, ka, na - ka, kb, nb - kb)
     return out.select("entry_id", "label", *[r4(F.col(x)).alias(x) for x in ("chi_square", "min_expected", "p_fisher")])
 
 

@@ -12,7 +12,7 @@ from proofmill.session import kept
 from proofmill.sources.catalogue import check_types
 
 from . import world
-from .batches import _RULES_1000, _catalogued, t_tail_sql
+from .batches import _RULES_1000, _catalogued, own_targets, t_tail_sql
 from .registry import query, view
 from .world import binomial_sql
 
@@ -184,10 +184,14 @@ bb AS (SELECT passed, failed, n, pa, fa, k, {_BB} AS p FROM sh, sz, generate_ser
 ch AS (SELECT passed, failed, n, pa AS pass_at_least, fa AS fail_at_most, sum(p) FILTER (WHERE k >= pa) AS passes, coalesce(sum(p) FILTER (WHERE k <= fa), 0) AS fails FROM bb GROUP BY 1, 2, 3, 4, 5)"""
 
 
-@query("gate_peaks", f"WITH {_R8} SELECT CAST(n - pa AS BIGINT) AS misses, CAST(min(n) AS BIGINT) AS n FROM rules WHERE pa IS NOT NULL GROUP BY 1")
+@query("gate_peaks", """
+WITH r0 AS (SELECT target, n, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(target) + (n - k) * ln(1 - target)) AS p
+  FROM (SELECT DISTINCT target FROM own_targets), generate_series(1, 1000) a(n), generate_series(0, n) g(k)),
+r1 AS (SELECT target, n, k, sum(p) OVER (PARTITION BY target, n ORDER BY k DESC) AS up FROM r0),
+rules AS (SELECT target, n, min(k) AS pa FROM r1 WHERE up <= 0.05 GROUP BY 1, 2)
+SELECT target, CAST(n - pa AS BIGINT) AS misses, CAST(min(n) AS BIGINT) AS n FROM rules GROUP BY 1, 2""", ["own_targets"])
 def gate_peaks(spark, sf):
-    targets = world.plain_results(spark, sf).select(F.lit(0.8).alias("target")).distinct()
-    return B.runs_allowing(B.gate_rules(targets, 0.95)).select("misses", "n")
+    return B.runs_allowing(B.gate_rules(own_targets(spark, sf), 0.95)).select("target", "misses", "n")
 
 
 @query("answer_chances", f"WITH {_CH_SQL} SELECT passed, failed, CAST(n AS INTEGER) AS n, round(passes, 4) AS passes, round(fails, 4) AS fails FROM ch", ["hist"])

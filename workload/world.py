@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from proofmill.operators.keyed import number_within, slice_of
+from proofmill.operators.keyed import number_within, numbered, slice_of
 
 from .registry import view
 
@@ -220,16 +220,23 @@ FROM sruns WHERE batch_id IS NOT NULL GROUP BY 1, 2""", ["sruns"])
 
 # ── texts ────────────────────────────────────────────────────────────────────
 
+def following(ids: DataFrame, key: str) -> DataFrame:
+    """(key, _after): the next existing id of each id, null for the last."""
+    places = numbered(ids.select(key), [F.col(key)], "_n")
+    return places.join(places.select((F.col("_n") - 1).alias("_n"), F.col(key).alias("_after")), "_n", "left").drop("_n")
+
+
 def text_pairs(spark, sf) -> DataFrame:
-    """Whole documents, each against the next document by id."""
+    """Whole documents, each against the next document by id; the last has none."""
     d = table(spark, sf, "documents")
-    after = d.select((F.col("doc_id") - 1).alias("run_id"), F.col("text").alias("reference"))
-    return d.select(F.col("doc_id").alias("run_id"), F.lit("text").alias("label"),
-                    F.col("text").alias("answer")).join(after, "run_id")
+    after = d.select(F.col("doc_id").alias("_after"), F.col("text").alias("reference"))
+    return d.join(following(d, "doc_id"), "doc_id").join(after, "_after", "left").select(
+        F.col("doc_id").alias("run_id"), F.lit("text").alias("label"), F.col("text").alias("answer"), "reference")
 
 
 view("pairs", """SELECT a.doc_id AS run_id, 'text' AS label, a.text AS answer, b.text AS reference
-FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+FROM documents a LEFT JOIN (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS after FROM documents) n USING (doc_id)
+LEFT JOIN documents b ON b.doc_id = n.after""")
 
 
 def turn_pairs(spark, sf) -> DataFrame:
