@@ -45,3 +45,20 @@ def test_open_checks_share_states(spark, tmp_path, monkeypatch):
     means = [*names[:4], "n", F.round("mean", 6).alias("mean")]
     assert sorted(map(str, got.select(*means).collect())) == sorted(map(str, want.select(*means).collect()))
     assert 0 < _most_states(query) <= 3
+
+
+def test_an_open_result_costs_a_few_bytes_of_state(spark, tmp_path):
+    n = spark.range(300_000).selectExpr("'b' AS batch_id", "id % 3 AS entry_id", "'x' AS label", "int(id / 3) + 2 AS batch_index", "double(id % 977) / 977 AS score", "false AS errored")
+    n.repartition(2, "batch_index").write.parquet(str(tmp_path / "in"))  # no wave is complete, as the first time lacks
+    stream = spark.readStream.schema(n.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    plans = spark.sql("SELECT 'b' AS batch_id, array(100001) AS looks, 0.95D AS level, 0.5D AS threshold, true AS higher_passes")
+    folder, query = R.to_table(R.stream_sequential_means(stream, plans), "append", "m")
+    assert not any(p["stateOperators"][0]["numRowsUpdated"] == 0 for p in query.recentProgress if p["numInputRows"])
+    assert spark.read.schema(R.MEAN_DECISIONS).parquet(folder).count() == 0
+    assert max(p["stateOperators"][0]["customMetrics"]["stateOnCurrentVersionSizeBytes"] for p in query.recentProgress if p["stateOperators"]) < 16 * 300_000
+
+
+def test_a_t_tail_serves_both_directions():
+    for t, df in ((0.0, 3), (1.7, 9), (-2.5, 40), (60.0, 5)):
+        above, below = R._t_tails(t, df)
+        assert above + below == 1 and R._t_tails(-t, df) == (below, above)

@@ -106,13 +106,19 @@ SELECT b AS batch_id, entry_id, label, verdict, CAST(CASE WHEN verdict IS NOT NU
 FROM v QUALIFY row_number() OVER (PARTITION BY b ORDER BY verdict IS NULL, CASE WHEN verdict IS NULL THEN -look ELSE look END) = 1"""
 
 
+# how many files the results come in: a micro-batch costs seconds whatever it
+# brings, so it brings a share of all results rather than a file of fixed size
+RESULT_FILES = 24
+
+
 def _streamed(spark, sf, agreement=False, means=False):
     """Every check is a batch of its own with looks from its tenth time to its
     last; all results come twice."""
     folder = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
     rows = world.timed_results(spark, sf).withColumn("batch_index", F.col("batch_index").cast("int")).withColumn("batch_id", F.concat_ws("-", "batch_id", "entry_id", "label"))
     value = "score double" if means else "passed boolean"
-    rows.select("batch_id", "entry_id", "label", "batch_index", value.split()[0], "errored").write.parquet(folder)
+    names = ["batch_id", "entry_id", "label", "batch_index"]  # every file holds results of all checks
+    rows.select(*names, value.split()[0], "errored").repartition(RESULT_FILES, *names).write.parquet(folder)
     kind = f"batch_id string, entry_id long, label string, batch_index int, {value}, errored boolean"
     plans = spark.read.schema(kind).parquet(folder).groupBy("batch_id").agg(F.max("batch_index").alias("m")).withColumn("looks", looks(F.lit(10), F.col("m")))
     plans = plans.select("batch_id", "looks", even_level(F.col("looks"), 0.95).alias("level"), F.lit(0.9).alias("target"))
