@@ -4,7 +4,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +25,18 @@ _COMPOSABLE = ("[\\p{M}\\u1100-\\u11ff\\u0374\\u037e\\u0387\\u1f71-\\u1fff\\u200
 _NOT_ASCII = "[^\\x00-\\x7f]"
 
 
-@F.pandas_udf(T.StringType())
-def _compose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def slices(columns: tuple[pa.Array, ...], rows: int = 256) -> Iterator[zip]:
+    """The rows of Arrow columns, a few at a time: a batch holds thousands of
+    whole texts, and Python's copies of them are gone before the next few."""
+    for i in range(0, len(columns[0]), rows):
+        yield zip(*[c.slice(i, rows).to_pylist() for c in columns])
+
+
+@F.arrow_udf(T.StringType())
+def _compose(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in parts:
-        yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+        for rows in slices((texts,)):
+            yield pa.array([None if t is None else unicodedata.normalize("NFC", t) for t, in rows], pa.string())
 
 
 def normalize_lookalikes(text: Column) -> Column:

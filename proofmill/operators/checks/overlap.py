@@ -14,13 +14,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions.stem import stemmer_of
-from ...functions.text import bleu_tokens, meteor_tokens, rouge_tokens
+from ...functions.text import bleu_tokens, meteor_tokens, rouge_tokens, slices
 
 KEYS = ["run_id", "label"]
 
@@ -55,50 +55,72 @@ def _overlaps(answer: list[str], reference: list[str], orders: range) -> list[fl
 
 def _lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, a row of the table per bit."""
-    places: dict[str, int] = {}
-    for i, word in enumerate(b):
-        places[word] = places.get(word, 0) | (1 << i)
-    full = (1 << len(b)) - 1
+    places, full = _places(b), (1 << len(b)) - 1
     row = full
     for word in a:
-        hit = row & places.get(word, 0)
-        row = ((row + hit) | (row - hit)) & full
+        if word in places:
+            hit = row & places[word]
+            row = ((row + hit) | (row - hit)) & full
     return len(b) - row.bit_count()
 
 
-def _lcs_places(ref: list[str], can: list[str]) -> set[int]:
-    """Positions of `ref` on a longest common subsequence with `can`."""
+def _places(words: list[str]) -> dict[str, int]:
+    """A bit for each place of each word."""
     places: dict[str, int] = {}
-    for j, word in enumerate(can):
+    for j, word in enumerate(words):
         places[word] = places.get(word, 0) | (1 << j)
-    full = (1 << len(can)) - 1
-    rows = [full]
-    for word in ref:
-        hit = rows[-1] & places.get(word, 0)
-        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+    return places
 
-    def common(i, j):  # of the first i and j words
-        return j - (rows[i] & ((1 << j) - 1)).bit_count()
 
-    found, i, j = set(), len(ref), len(can)
-    while i and j:
-        if ref[i - 1] == can[j - 1]:
-            found.add(i - 1)
+def _lcs_places(ref: list[str], can: list[str], places: dict[str, int]) -> set[int]:
+    """Positions of `ref` on a longest common subsequence with `can`, whose
+    words stand at `places`. Only words of both texts are walked through."""
+    shared = [i for i, word in enumerate(ref) if word in places]
+    full = (1 << len(can)) - 1
+    rows = [full]
+    for i in shared:
+        row = rows[-1]
+        hit = row & places[ref[i]]
+        rows.append(((row + hit) | (row - hit)) & full)
+    length = len(can) - rows[-1].bit_count()
+    if length == len(shared):  # all of them, so no way back has to be found
+        return set(shared)
+    found, i, j = set(), len(shared), len(can)
+    here, above = length, len(can) - rows[i - 1].bit_count()  # common to the first i and j words, and i - 1 and j
+    while here:
+        if ref[shared[i - 1]] == can[j - 1]:
+            found.add(shared[i - 1])
             i, j = i - 1, j - 1
-        elif common(i, j - 1) > common(i - 1, j):
+        elif here > above and rows[i] >> (j - 1) & 1:
+            above -= not rows[i - 1] >> (j - 1) & 1
             j -= 1
+            continue
         else:
             i -= 1
+        if not i:
+            break
+        low = (1 << j) - 1
+        here, above = j - (rows[i] & low).bit_count(), j - (rows[i - 1] & low).bit_count()
     return found
 
 
 def _union_hits(refs: list[list[str]], cans: list[list[str]]) -> int:
     """Sentence by sentence: reference words on a common subsequence with any
-    answer sentence, each word used as often as both texts hold it."""
+    answer sentence, each word used as often as both texts hold it. Equal
+    sentences are compared once, and only with sentences of a common word."""
     left_r, left_c = Counter(w for s in refs for w in s), Counter(w for s in cans for w in s)
+    others = [(can, _places(can)) for can in map(list, dict.fromkeys(map(tuple, cans)))]
+    having: dict[str, list[int]] = {}
+    for k, (_, places) in enumerate(others):
+        for word in places:
+            having.setdefault(word, []).append(k)
+    known: dict[tuple, list[int]] = {}
     total = 0
     for ref in refs:
-        for i in sorted(set().union(*[_lcs_places(ref, can) for can in cans])):
+        if tuple(ref) not in known:
+            near = {k for word in set(ref) for k in having.get(word, ())}
+            known[tuple(ref)] = sorted(set().union(*[_lcs_places(ref, *others[k]) for k in near]))
+        for i in known[tuple(ref)]:
             if left_r[ref[i]] > 0 and left_c[ref[i]] > 0:
                 left_r[ref[i]] -= 1
                 left_c[ref[i]] -= 1
@@ -155,8 +177,8 @@ def counted_by(groups: dict[str, list[str]] | None = None):
     ROUGE sentences by newlines. `groups`: the synonym groups of stems."""
     known = groups or {}
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def counts(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def counts(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         stems, all_stems = stemmer_of(4), stemmer_of(1)
 
         def rouge_row(answer, reference, variant, stemmed):
@@ -179,8 +201,9 @@ def counted_by(groups: dict[str, list[str]] | None = None):
                 return _overlaps(answer.split(), reference.split(), range(1, 5))
             return _aligned(answer.split(), reference.split(), all_stems if stemmed else None, known)
 
-        for rows in parts:
-            yield pd.Series([one(*row) for row in zip(*rows)], dtype="object")
+        for columns in parts:
+            for rows in slices(columns):
+                yield pa.array([one(*row) for row in rows], pa.list_(pa.float64()))
 
     return counts
 

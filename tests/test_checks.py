@@ -173,3 +173,22 @@ def test_a_missing_text_keeps_its_row_without_a_score(spark):
     for out in (overlap.rouge_n(df, 1), overlap.rouge_l(df), overlap.rouge_lsum(df), overlap.bleu(df), overlap.meteor(df)):
         got = {r.run_id: r.raw_score for r in out.collect()}
         assert set(got) == {1, 2, 3, 4} and got[1] is None and got[2] is None and got[3] == 0 and got[4] > 0
+
+
+def test_sentences_without_a_common_word_are_not_compared(monkeypatch):
+    from proofmill.operators.checks import overlap
+    pairs = []
+    real = overlap._lcs_places
+    monkeypatch.setattr(overlap, "_lcs_places", lambda *x: pairs.append(x[:2]) or real(*x))
+    refs = [[f"r{i}", "a", f"s{i}"] for i in range(40)] + [["z", "a"]] * 40
+    cans = [[f"c{i}", "b"] for i in range(40)] + [["a", "z", "a"]] * 40
+    assert overlap._union_hits(refs, cans) == 40 + 40 + 40  # each a of a reference, each z
+    assert len(pairs) == 41
+
+
+def test_texts_are_made_python_strings_a_few_at_a_time():
+    import pyarrow as pa
+    from proofmill.functions.text import slices
+    columns = (pa.array([str(i) for i in range(1000)]), pa.array(range(1000)))
+    parts = [list(rows) for rows in slices(columns)]
+    assert sum(parts, []) == [(str(i), i) for i in range(1000)] and max(map(len, parts)) <= 256
