@@ -108,7 +108,7 @@ FROM v QUALIFY row_number() OVER (PARTITION BY b ORDER BY verdict IS NULL, CASE
 
 # how many files the results come in: a micro-batch costs seconds whatever it
 # brings, so it brings a share of all results rather than a file of fixed size
-RESULT_FILES = 24
+RESULT_FILES = 12
 
 
 def _streamed(spark, sf, agreement=False, means=False):
