@@ -192,3 +192,18 @@ def test_texts_are_made_python_strings_a_few_at_a_time():
     columns = (pa.array([str(i) for i in range(1000)]), pa.array(range(1000)))
     parts = [list(rows) for rows in slices(columns)]
     assert sum(parts, []) == [(str(i), i) for i in range(1000)] and max(map(len, parts)) <= 256
+
+
+def test_documents_of_one_group_are_dealt_to_several_tasks(spark, tmp_path):
+    from workload.checks import _copies
+    spark.range(400).selectExpr("id AS doc_id", "concat('text ', id % 7) AS text", "'web' AS source", "'en' AS lang").write.parquet(str(tmp_path / "documents.parquet"))
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        rows = _copies(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 400 and {r.reference for r in rows} == {"text 0"} and len({r.task for r in rows}) > 1
