@@ -150,19 +150,21 @@ def _descend(slots, shares, rows, y, steps: int = 250, rate: float = 0.5, pull:
     return w, b
 
 
-def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, on smoothed targets (Platt)."""
-    good, bad = y.sum(), (1 - y).sum()
+def calibrated(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset by Newton's method, on smoothed targets (Platt); each
+    pair of `z` and `y` counts `n` times, or once."""
+    n = np.ones(len(z)) if n is None else n
+    good, bad = (n * y).sum(), (n * (1 - y)).sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
     def loss(a: float, c: float) -> float:
         s = a * z + c
-        return float((np.logaddexp(0, s) - target * s).sum() + 5e-4 * (a - 1) ** 2)
+        return float((n * (np.logaddexp(0, s) - target * s)).sum() + 5e-4 * (a - 1) ** 2)
 
     a, c, now = 1.0, 0.0, loss(1.0, 0.0)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * z + c, -40, 40)))
-        w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
+        w = n * np.maximum(p * (1 - p), 1e-6)
+        g = np.array([(n * (p - target) * z).sum() + 1e-3 * (a - 1), (n * (p - target)).sum()])
         h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         while (then := loss(a - step[0], c - step[1])) > now and np.abs(step).max() > 1e-9:

@@ -4,13 +4,14 @@ Candidates are runs of 16 or more of `A-Za-z0-9+/_.=-` that hold a digit. The
 network reads the whole candidate and `CONTEXT` characters on either side:
 one convolution over character classes, the strongest answer of each filter
 inside the candidate and beside it, then a logistic output. It learns from
-candidates labelled by the base patterns, a bounded sample of either label from
-all documents (see `fit`), and from a fixed made-up set. No label says that a
+all different candidates of all documents, labelled by the base patterns, and
+from a fixed made-up set: each step of the descent is one pass of Spark over them
+that adds up their pulls (see `fit`). No label says that a
 candidate is no secret: those without a pattern that a first network, which reads
 no context and never saw them, takes for secrets by their shape teach nothing.
 Every secret is shown a second time in the context of a candidate that is none,
 so that keys are found that no pattern introduces. The output is calibrated on
-labelled candidates held out; the threshold is even odds, or lower where that is
+all candidates held out; the threshold is even odds, or lower where that is
 needed to find `RECALL` of the held-out secrets, however rare secrets are.
 """
 from __future__ import annotations
@@ -19,21 +20,27 @@ import hashlib
 import random
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from proofmill.llm.quality import calibrated
 from proofmill.llm.tables import written
+from proofmill.operators.keyed import numbered
 
 KINDS = ("assign", "access", "hex")
 ADDED = "network"
 CONTEXT, WIDTH, FILTERS, RECALL = 24, 5, 12, 0.98
-SAMPLE_CANDIDATES, SAMPLE_LENGTH, FIXED_OF_EACH = 6_000, 256, 120
+FIXED_OF_EACH = 120
+PART, PART_LENGTH = 4_096, 1 << 18  # candidates in a file of the training set; characters read together
+GRID, FAR = 1 << 10, 64  # steps of a logit that held-out candidates are counted in, up to so far
+UNIT = float(1 << 30)  # pulls are added up as whole numbers of 1 / UNIT, so their order does not matter
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs: a shorter run fails, a longer one starts where it starts
@@ -124,58 +131,94 @@ class Network:
 
 
 def _strongest(h: np.ndarray, w: Windows) -> np.ndarray:
-    """The place of the strongest answer of each filter, inside and beside."""
-    places = []
-    for first, start, end, last in w.bounds:
-        inside = start + h[start:end].argmax(0)
-        beside = np.r_[first:start, end:last]
-        places.append(np.concatenate([inside, beside[h[beside].argmax(0)]]))
-    return np.array(places)
+    """The place of the strongest answer of each filter, inside and beside; the
+    first of several."""
+    edges = w.bounds[:, :3].ravel()
+    top = np.maximum.reduceat(h, edges)
+    part = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(h))))
+    places = np.empty(top.shape, np.int64)
+    at, f = np.nonzero(h == top[part])
+    places[part[at[::-1]], f[::-1]] = at[::-1]  # the first place is written last
+    top, places = top.reshape(-1, 3, h.shape[1]), places.reshape(-1, 3, h.shape[1])
+    return np.concatenate([places[:, 1], np.where(top[:, 2] > top[:, 0], places[:, 2], places[:, 0])], axis=1)
 
 
-def train(w: Windows, y: np.ndarray, epochs: int = 120, rate: float = 0.05) -> Network:
-    """Full-batch Adam; the gradient runs through each filter's strongest place."""
-    rng = np.random.default_rng(11)
-    net = Network(rng.normal(0, 0.3, (WIDTH, N_CLASSES, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.3, 2 * FILTERS), 0.0)
-    state = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in ("kernel", "shift", "weight")}
-    balance = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    half = WIDTH // 2
-    padded = np.concatenate([np.full(half, BORDER), w.codes, np.full(half, BORDER)])
+def _sizes() -> list[int]:
+    return [WIDTH * N_CLASSES * FILTERS, FILTERS, 2 * FILTERS, 1]
+
+
+def _network(flat: np.ndarray) -> Network:
+    kernel, shift, weight, bias = np.split(flat, np.cumsum(_sizes())[:-1])
+    return Network(kernel.reshape(WIDTH, N_CLASSES, FILTERS), shift, weight, float(bias[0]))
+
+
+def pulls(net: Network, w: Windows, y: np.ndarray) -> dict[int, np.ndarray]:
+    """For either label the sum over its candidates of the slope of their loss by
+    each parameter, in units of 1 / `UNIT`; the gradient runs through each
+    filter's strongest place."""
+    padded = np.concatenate([np.full(WIDTH // 2, BORDER), w.codes, np.full(WIDTH // 2, BORDER)])
     filters = np.tile(np.arange(FILTERS), 2)
-    bias_state = [0.0, 0.0]
+    h = net._answers(w.codes)
+    at = _strongest(h, w)
+    top = h[at, filters]
+    gap = 1 / (1 + np.exp(-np.clip(top @ net.weight + net.bias, -40, 40))) - y
+    inner = np.rint(UNIT * gap[:, None] * net.weight * (top > 0))
+    out = {}
+    for k in (0, 1):
+        own = y == k
+        if own.any():
+            cell = padded[at[own][None] + np.arange(WIDTH)[:, None, None]] * FILTERS + filters
+            kernel = [np.bincount(c.ravel(), inner[own].ravel(), N_CLASSES * FILTERS) for c in cell]
+            out[k] = np.concatenate([*kernel, np.bincount(np.tile(filters, own.sum()), inner[own].ravel(), FILTERS),
+                                     np.rint(UNIT * top[own] * gap[own][:, None]).sum(0), [np.rint(UNIT * gap[own]).sum()]])
+    return out
+
+
+def descended(pulled: Callable[[list[Network]], dict[tuple[int, int], np.ndarray]], counts: dict[tuple[int, int], int], epochs: int, rate: float) -> list[Network]:
+    """Full-batch Adam for several networks at once, either label half of the
+    weight. `counts` and what `pulled` gives are by network and label."""
+    rng = np.random.default_rng(11)
+    start = np.concatenate([rng.normal(0, 0.3, WIDTH * N_CLASSES * FILTERS), np.zeros(FILTERS), rng.normal(0, 0.3, 2 * FILTERS), [0.0]])
+    decay = np.repeat([1e-5, 0, 1e-4, 0], _sizes())
+    flat = [start.copy() for _ in range(1 + max(i for i, _ in counts))]
+    m, v = [np.zeros_like(start) for _ in flat], [np.zeros_like(start) for _ in flat]
     for t in range(1, epochs + 1):
-        h = net._answers(w.codes)
-        at = _strongest(h, w)
-        top = h[at, filters]
-        p = 1 / (1 + np.exp(-np.clip(top @ net.weight + net.bias, -40, 40)))
-        gap = (p - y) * balance
-        inner = gap[:, None] * net.weight * (top > 0)
-        grads = {"weight": top.T @ gap + 1e-4 * net.weight, "shift": np.bincount(np.tile(filters, len(y)), inner.ravel(), FILTERS),
-                 "kernel": np.zeros_like(net.kernel)}
-        for o in range(WIDTH):
-            np.add.at(grads["kernel"][o], (padded[at + o], filters[None, :]), inner)
-        grads["kernel"] += 1e-5 * net.kernel
-        for k, g in grads.items():
-            m, v = state[k]
-            m[:] = 0.9 * m + 0.1 * g
-            v[:] = 0.99 * v + 0.01 * g * g
-            getattr(net, k)[:] -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-        g = gap.sum()
-        bias_state = [0.9 * bias_state[0] + 0.1 * g, 0.99 * bias_state[1] + 0.01 * g * g]
-        net.bias -= rate * (bias_state[0] / (1 - 0.9 ** t)) / (np.sqrt(bias_state[1] / (1 - 0.99 ** t)) + 1e-8)
-    return net
+        found = pulled([_network(x) for x in flat])
+        for i, x in enumerate(flat):
+            g = decay * x
+            for k in (0, 1):
+                if (i, k) in found:
+                    g += found[i, k] * (0.5 / UNIT / max(counts.get((i, k), 0), 1))
+            m[i] = 0.9 * m[i] + 0.1 * g
+            v[i] = 0.99 * v[i] + 0.01 * g * g
+            x -= rate * (m[i] / (1 - 0.9 ** t)) / (np.sqrt(v[i] / (1 - 0.99 ** t)) + 1e-8)
+    return [_network(x) for x in flat]
+
+
+def train(w: Windows, y: np.ndarray, epochs: int = 120, rate: float = 0.05) -> Network:
+    """A network from the candidates in hand."""
+    counts = {(0, k): int((y == k).sum()) for k in (0, 1)}
+    return descended(lambda nets: {(0, k): g for k, g in pulls(nets[0], w, y).items()}, counts, epochs, rate)[0]
 
 
 def settle(net: Network, w: Windows, y: np.ndarray, odds: float = 1.0) -> Network:
     """Calibration, threshold and what it finds, on held-out candidates; `odds` are
     those of a secret among all candidates over those in the sample. They scale
     the probabilities, not the order, so they move the threshold along."""
-    net.slope, net.offset = calibrated(net.logits(w), y.astype(float))
+    return settled(net, net.logits(w), y, np.ones(len(y)), odds)
+
+
+def settled(net: Network, z: np.ndarray, y: np.ndarray, n: np.ndarray, odds: float = 1.0) -> Network:
+    """The same by logits `z` and labels `y` that `n` held-out candidates have."""
+    net.slope, net.offset = calibrated(z, y.astype(float), n)
     net.offset += float(np.log(odds))
-    p = net.probability(w)
-    right = np.sort(p[y > 0])
-    net.threshold = min(float(right[int((1 - RECALL) * len(right))]), 0.5)
-    net.recall, net.precision = float((right >= net.threshold).mean()), float((y[p >= net.threshold] > 0).mean())
+    p = 1 / (1 + np.exp(-np.clip(net.slope * z + net.offset, -40, 40)))
+    order = np.argsort(p, kind="stable")
+    right = order[y[order] > 0]
+    upto = np.cumsum(n[right])
+    net.threshold = min(float(p[right[np.searchsorted(upto, int((1 - RECALL) * upto[-1]), "right")]]), 0.5)
+    hit = p >= net.threshold
+    net.recall, net.precision = float(n[hit & (y > 0)].sum() / upto[-1]), float(n[hit & (y > 0)].sum() / max(n[hit].sum(), 1))
     return net
 
 
@@ -211,55 +254,142 @@ def fixed_set() -> tuple[list[tuple[str, str, str]], list[int]]:
     return rows, y
 
 
-def fit(docs: DataFrame, sample_candidates: int = SAMPLE_CANDIDATES) -> Network:
-    """A network from at most `sample_candidates` different labelled candidates
-    of all documents, half of either label, the first ones in the order of a
-    hash, and the fixed set. Of a longer candidate the sample holds
-    `SAMPLE_LENGTH` characters; the scan reads all of it. A third of either
-    source calibrates, and the output is set to the odds of a secret among all
-    candidates; tables without secrets, or with nothing else, keep the fixed set's.
+SAMPLE = "before string, candidate string, after string, secret int, held boolean, own boolean"
+_ROW = ["before", "candidate", "after", "secret", "held", "own"]
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """All different candidates of all documents, whole, with the label the base
+    patterns give them, and the fixed set. A third of either source is `held`
+    out; three pairs of the fixed set together, so that every kind is."""
+    found = docs.select("text").mapInArrow(_labelled, "before string, candidate string, after string, secret int").distinct()
+    held = F.pmod(F.xxhash64("candidate", "before", "after"), F.lit(3)) == 0
+    found = found.select("before", "candidate", "after", "secret", held.alias("held"), F.lit(True).alias("own"))
+    more = [(*row, k, i // 6 % 3 == 0, False) for i, (row, k) in enumerate(zip(*fixed_set()))]
+    return found.unionByName(docs.sparkSession.createDataFrame(more, SAMPLE))
+
+
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table whose files hold about `PART` rows each."""
+    rows = written(rows.select(*_ROW), name)
+    return written(rows.repartition(1 + rows.count() // PART, "candidate", "before", "after"), f"{name}-dealt")
+
+
+def _read(batches: Iterator[pa.RecordBatch], context: bool) -> Iterator[tuple[pa.RecordBatch, Windows]]:
+    """Rows with their windows, some `PART_LENGTH` characters at a time."""
+    for batch in batches:
+        first, size = 0, 0
+        rows = list(zip(*[batch.column(c).to_pylist() for c in ("before", "candidate", "after")]))
+        for i, row in enumerate(rows):
+            size += len(row[1]) + 2 * CONTEXT + 4
+            if size >= PART_LENGTH or i == len(rows) - 1:
+                texts = [(a + b + c, len(a), len(a) + len(b)) if context else (b, 0, len(b)) for a, b, c in rows[first:i + 1]]
+                yield batch.slice(first, i + 1 - first), windows(texts)
+                first, size = i + 1, 0
+
+
+def encoded(rows: Iterator[Row], context: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The windows of many rows in turn, with their labels and networks."""
+    held, size = [], 0
+    for r in chain(rows, [None]):
+        if held and (r is None or size >= PART_LENGTH):
+            w = windows([(h.before + h.candidate + h.after, len(h.before), len(h.before) + len(h.candidate)) if context else (h.candidate, 0, len(h.candidate)) for h in held])
+            yield w.codes.astype(np.uint8), w.bounds, np.array([h.secret for h in held]), np.array([h.net for h in held])
+            held, size = [], 0
+        if r is not None:
+            held.append(r)
+            size += len(r.candidate) + 2 * CONTEXT + 4
+
+
+def summed(parts: Iterator[tuple], nets: list[Network]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """`pulls` of a task's candidates, each on the network of its number, added up."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for codes, bounds, y, own in parts:
+        w = Windows(codes.astype(np.int64), bounds)
+        for i in np.unique(own).tolist():
+            mine = np.flatnonzero(own == i)
+            for k, g in pulls(nets[i], w if len(mine) == len(own) else _taken(w, mine), y[mine]).items():
+                sums[i, k] = sums[i, k] + g if (i, k) in sums else g
+    yield from sums.items()
+
+
+def pulled(rows: RDD, nets: list[Network]) -> dict[tuple[int, int], np.ndarray]:
+    """`pulls` of all rows, added up: a task sends one row for each network and label."""
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for key, g in rows.mapPartitions(lambda parts: summed(parts, nets)).collect():
+        out[key] = out.get(key, 0) + g
+    return out
+
+
+def _taken(w: Windows, rows: np.ndarray) -> Windows:
+    """The windows of some rows."""
+    first, last = w.bounds[rows, 0], w.bounds[rows, 3]
+    codes = np.concatenate([w.codes[a:b] for a, b in zip(first, last)])
+    shift = first - np.concatenate([[0], np.cumsum(last - first)[:-1]])
+    return Windows(codes, w.bounds[rows] - shift[:, None])
+
+
+def _trained(rows: DataFrame, context: bool, epochs: int, rate: float = 0.05) -> list[Network]:
+    counts = {(r.net, r.secret): r.n for r in rows.groupBy("net", "secret").agg(F.count(F.lit(1)).alias("n")).collect()}  # two numbers a network
+    held = rows.rdd.mapPartitions(lambda part: encoded(part, context)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return descended(lambda nets: pulled(held, nets), counts, epochs, rate)
+    finally:
+        held.unpersist()
+
+
+def judged(rows: DataFrame, nets: list[Network], context: bool) -> DataFrame:
+    """Each row with the logit its network gives it, the number `net` again, and
+    whether that reaches the network's threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, w in _read(batches, context):
+            own = batch.column("net").to_numpy()
+            z, hit = np.zeros(len(own)), np.zeros(len(own), bool)
+            for i in np.unique(own):
+                mine = np.flatnonzero(own == i)
+                part = _taken(w, mine)
+                z[mine], hit[mine] = nets[i].logits(part), nets[i].probability(part) >= nets[i].threshold
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z), pa.array(hit)], [*batch.schema.names, "logit", "hit"])
+
+    return rows.mapInArrow(run, f"{SAMPLE}, net int, logit double, hit boolean")
+
+
+def _settled(rows: DataFrame, nets: list[Network], context: bool) -> list[Network]:
+    """Networks settled on all rows, counted by steps of their logit: at most
+    2 * `FAR` * `GRID` numbers for either label reach the driver."""
+    step = F.floor(F.greatest(F.least("logit", F.lit(float(FAR))), F.lit(-float(FAR))) * GRID)
+    found = judged(rows, nets, context).groupBy("net", "secret", step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy("net", "secret", "step").toArrow()
+    net, secret, at, n = [found.column(c).to_numpy() for c in ("net", "secret", "step", "n")]
+    return [settled(one, at[net == i] / GRID, secret[net == i], n[net == i].astype(float)) for i, one in enumerate(nets)]
+
+
+def fit(docs: DataFrame) -> Network:
+    """A network from all labelled candidates of all documents and the fixed set.
+    Those held out calibrate; tables without secrets, or with nothing else,
+    have the fixed set's. The driver holds the networks and their gradients only.
     """
-    found = docs.select("text").mapInArrow(_labelled, "before string, candidate string, after string, secret int")
-    found = written(found.withColumn("candidate", F.left("candidate", F.lit(SAMPLE_LENGTH))).distinct(), "candidates")
-    numbers = {r.secret: r.n for r in found.groupBy("secret").agg(F.count(F.lit(1)).alias("n")).collect()}  # two numbers
-    order = F.xxhash64("candidate", "before", "after")
-    rows, y = [], []
-    for k in (1, 0):
-        own = found.filter(F.col("secret") == k).orderBy(order, "candidate", "before", "after").limit(sample_candidates // 2).toArrow().to_pylist()
-        rows += [(r["before"], r["candidate"], r["after"]) for r in own]
-        y += [k] * len(own)
-    odds = numbers[1] / numbers[0] * y.count(0) / y.count(1) if y.count(0) and y.count(1) else 1.0
-    more, labels = fixed_set()
-    # three pairs of the fixed set are held out together, so that every kind is
-    held = np.concatenate([np.arange(len(y)) % 3 == 0, np.arange(len(labels)) // 6 % 3 == 0])
-    n_own, rows, y = len(rows), rows + more, np.array(y + labels)
-    shapes = [(b, 0, len(b)) for _, b, _ in rows]
-    unknown = np.zeros(len(y), bool)
-    for part in (False, True):  # each part is judged by the network of the other
-        net = fitted(shapes, y, held == part, epochs=40)
-        unknown[held == part] = (net.probability(windows([x for x, h in zip(shapes, held) if h == part])) >= net.threshold)
-    unknown &= (y == 0) & (np.arange(len(y)) < n_own)
-    rows, y, held = transplanted([r for r, u in zip(rows, unknown) if not u], y[~unknown], held[~unknown])
-    return fitted([(a + b + c, len(a), len(a) + len(b)) for a, b, c in rows], y, held, odds)
-
-
-def fitted(found: list[tuple[str, int, int]], y: np.ndarray, held: np.ndarray, odds: float = 1.0, epochs: int = 120) -> Network:
-    """Trained on what is not held out, settled on what is."""
-    net = train(windows([x for x, h in zip(found, held) if not h]), y[~held], epochs)
-    return settle(net, windows([x for x, h in zip(found, held) if h]), y[held], odds)
-
-
-def transplanted(rows: list[tuple[str, str, str]], y: np.ndarray, held: np.ndarray) -> tuple[list[tuple[str, str, str]], np.ndarray, np.ndarray]:
-    """The sample, and each secret between the words around a candidate that is
-    none; held-out ones stay among themselves."""
-    more, apart = [], []
-    for part in (False, True):
-        others = np.flatnonzero((held == part) & (y == 0))
-        for n, i in enumerate(np.flatnonzero((held == part) & (y > 0)) if len(others) else []):
-            before, _, after = rows[others[n % len(others)]]
-            more.append((before, rows[i][1], after))
-            apart.append(part)
-    return rows + more, np.concatenate([y, np.ones(len(more), y.dtype)]), np.concatenate([held, np.array(apart, bool)])
+    rows = _dealt(training_rows(docs), "candidates")
+    # each part is judged by the network of the other
+    firsts = _trained(rows.withColumn("net", F.when(F.col("held"), 0).otherwise(1)), False, epochs=40)
+    apart = rows.withColumn("net", F.when(F.col("held"), 1).otherwise(0))
+    firsts = _settled(apart, firsts, False)
+    unknown = F.col("own") & (F.col("secret") == 0) & F.col("hit")
+    known = written(judged(apart, firsts, False).filter(~unknown).select(*_ROW), "known")
+    rows = _dealt(known.unionByName(transplanted(known)), "shown").withColumn("net", F.lit(0))
+    return _settled(rows.filter("held"), _trained(rows.filter("not held"), True, epochs=120), True)[0]
+
+
+def transplanted(rows: DataFrame) -> DataFrame:
+    """Each secret between the words around a candidate that is none; held-out
+    ones stay among themselves."""
+    order = [F.xxhash64("candidate", "before", "after"), *map(F.col, _ROW)]
+    sizes = {(r.secret, r.held): r.n for r in rows.groupBy("secret", "held").agg(F.count(F.lit(1)).alias("n")).collect()}  # four numbers
+    def counted(secret: int) -> DataFrame:
+        own = numbered(rows.filter(F.col("secret") == secret), [F.col("held"), *order], "_n")
+        return own.withColumn("_n", F.col("_n") - 1 - F.when(F.col("held"), sizes.get((secret, False), 0)).otherwise(0))
+    many = F.when(F.col("held"), sizes.get((0, True), 0)).otherwise(sizes.get((0, False), 0))
+    secrets = counted(1).filter(many > 0).withColumn("_n", F.col("_n") % many)
+    return secrets.drop("before", "after").join(counted(0).select("held", "_n", "before", "after"), ["held", "_n"]).select(*_ROW)
 
 
 def scan(texts: list[str], net: Network | None) -> list[tuple[list, list]]:

@@ -322,6 +322,21 @@ def test_network_reads_small_and_lopsided_tables(spark, labelled):
     assert (net.probability(secrets.windows(hidden)) >= net.threshold).mean() >= 0.8
 
 
+def test_the_network_learns_from_every_candidate(spark):
+    docs = [(1, " ".join(f"https://www.example.com/{i:05d}/index" for i in range(7_000)), "s"), (2, 'token = "' + "a1" * 400 + '"', "s"), (3, None, "s")]
+    rows = secrets.training_rows(documents(spark, docs)).withColumn("net", F.when(F.col("held"), 0).otherwise(1))
+    own = rows.filter("own").collect()
+    assert len(own) == 7_001 and sum(r.secret for r in own) == 1 and max(len(r.candidate) for r in own) == 800
+    net = secrets.train(secrets.windows([("x token = abcdef12 y", 2, 18), ("see //www.a.com/12 y", 4, 18)]), np.array([1, 0]), epochs=2)
+    got = secrets.pulled(rows.repartition(5).rdd.mapPartitions(lambda part: secrets.encoded(part, True)), [net, net])
+    whole = rows.collect()
+    for i in (0, 1):
+        part = [r for r in whole if r.net == i]
+        w = secrets.windows([(r.before + r.candidate + r.after, len(r.before), len(r.before) + len(r.candidate)) for r in part])
+        want = secrets.pulls(net, w, np.array([r.secret for r in part]))
+        assert all(np.abs(want[k] - got[i, k]).max() <= 1 + 1e-12 * np.abs(want[k]).max() for k in want)
+
+
 def test_mix(spark, rows):
     got = mixing.plan(documents(spark, rows)).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] for r in got)
