@@ -131,3 +131,12 @@ def test_streamed_means(spark, tmp_path):
     folder, _ = R.to_table(R.stream_sequential_means(stream, plans), "append", "m")
     got = {r.entry_id: (r.verdict, r.at_time, r.n, round(r["mean"], 6)) for r in spark.read.schema(R.MEAN_DECISIONS).parquet(folder).collect()}
     assert got == {1: ("pass", 10, 10, 0.91), 2: ("fail", 10, 5, 0.4), 3: (None, None, 20, 0.5)}
+
+
+@pytest.mark.parametrize("name", ["execution_checks", "batch_status_roll_up", "fold_check_results", "check_series"])
+def test_results_are_numbered_once_a_query(spark, monkeypatch, name):
+    from workload import world
+    calls, own = [], world.timed_results
+    monkeypatch.setattr(world, "timed_results", lambda *a: calls.append(a) or own(*a))
+    __import__("__spark_entry__").queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1

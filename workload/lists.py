@@ -419,7 +419,8 @@ SELECT batch_id, entry_id, 'met' AS kind, NULL AS run_id, NULL AS label, count(*
 UNION ALL SELECT batch_id, entry_id, 'unmet', run_id, label, NULL FROM ran WHERE NOT (passed AND NOT errored)
 UNION ALL SELECT batch_id, entry_id, 'not_ran', run_id, NULL, 3 FROM runs_b WHERE status = 'NotRan'""", ["ran", "runs_b"])
 def execution_checks(spark, sf):
-    return S.execution_checks(world.ran_results(spark, sf), world.batch_runs(spark, sf), ["batch_id", "entry_id"])
+    told = world.told_results(spark, sf)
+    return S.execution_checks(world.ran_results(spark, sf, told), world.batch_runs(spark, sf, told), ["batch_id", "entry_id"])
 
 
 @query("run_details", """SELECT b.run_id, b.status, e.name, e.input, e.expected_output, strftime(x.created_at, '%Y-%m-%d') AS executed

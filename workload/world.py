@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from proofmill.operators.keyed import join_on, number_within, numbered, slice_of
+from proofmill.session import kept
 
 from .registry import view
 
@@ -55,8 +56,17 @@ def _marked(spark, sf) -> DataFrame:
     return timed_results(spark, sf).withColumn("not_ran", F.bool_and("errored").over(run))
 
 
-def ran_results(spark, sf) -> DataFrame:
-    return _marked(spark, sf).filter(~F.col("not_ran")).drop("not_ran")
+def told_results(spark, sf) -> DataFrame:
+    """The marked rows, numbered once and written, for queries that read both
+    the runs and their results. What follows from other columns is not written."""
+    told = kept(_marked(spark, sf).drop("run_id", "detail"), "told")
+    return told.withColumn("run_id", F.concat_ws("-", "batch_id", "entry_id", "batch_index")).withColumn(
+        "detail", F.when(F.col("errored"), F.lit("engine failed")))
+
+
+def ran_results(spark, sf, told: DataFrame | None = None) -> DataFrame:
+    rows = _marked(spark, sf) if told is None else told
+    return rows.filter(~F.col("not_ran")).drop("not_ran")
 
 
 def ran_apart(spark, sf) -> DataFrame:
@@ -80,9 +90,10 @@ def check_sizes(spark, sf) -> DataFrame:
         F.col("l_linestatus").alias("batch_id"), F.col("l_suppkey").alias("entry_id"), F.col("l_returnflag").alias("label"), "times")
 
 
-def batch_runs(spark, sf) -> DataFrame:
+def batch_runs(spark, sf, told: DataFrame | None = None) -> DataFrame:
     ok = F.col("passed") & ~F.col("errored")
-    return (timed_results(spark, sf).groupBy("batch_id", "entry_id", "batch_index", "run_id")
+    rows = timed_results(spark, sf) if told is None else told
+    return (rows.groupBy("batch_id", "entry_id", "batch_index", "run_id")
             .agg(F.bool_and("errored").alias("_none"), F.bool_and(ok).alias("_all"),
                  F.bool_or(ok).alias("_some"))
             .withColumn("status", F.when(F.col("_none"), "NotRan").when(F.col("_all"), "Green")
