@@ -57,8 +57,10 @@ def registered_engines() -> tuple[str, ...]:
 
 
 def _with_sides(rows: DataFrame, sides: Sides, spread: bool) -> DataFrame:
-    """The rows with the five side columns, null where nothing is given. All
-    sides become one table with a row for each (run, label), joined once."""
+    """The rows with `_near` and `_body`, null where nothing is given. All
+    sides become one table with a row for each (run, label), joined once by the
+    rows whose engine reads one. Of a text those engines read only whether it is
+    missing or blank, so no text is moved with them."""
     given = []
     for table, names in ((sides.vectors, {"_va": "answer_vector", "_vr": "reference_vector"}),
                          (sides.token_vectors, {"_ta": "answer_vectors", "_tr": "reference_vectors"}), (sides.replies, {"_body": "body"})):
@@ -66,9 +68,15 @@ def _with_sides(rows: DataFrame, sides: Sides, spread: bool) -> DataFrame:
             given.append(table.select(*KEYS, *[(F.col(names[c]) if c in names else F.lit(None)).cast(t).alias(c) for c, t in _SIDE.items()]))
     if not given:  # texts are spread by run even where no side asks for it: scoring costs far more than moving
         rows = rows.repartition(*KEYS) if spread else rows
-        return rows.withColumns({c: F.lit(None).cast(t) for c, t in _SIDE.items()})
+        return _vectored(rows.withColumns({c: F.lit(None).cast(t) for c, t in _SIDE.items()}), sides)
     side = reduce(DataFrame.unionByName, given).groupBy(*KEYS).agg(*[F.first(c, True).alias(c) for c in _SIDE])
-    return rows.join(side, KEYS, "left")
+    reads = F.coalesce(F.col("engine").isin(VECTOR, TOKENS, JUDGE), F.lit(False))
+    short = {"answer": F.when(strip(F.col("answer")) == "", "").when(F.col("answer").isNotNull(), "x"),
+             "reference": F.when(F.col("reference").isNotNull(), "x")}
+    beside = _vectored(rows.filter(reads).withColumns(short).join(side, KEYS, "left"), sides)
+    others = rows.filter(~reads).withColumns({"_near": F.lit(None).cast("double"), "_body": F.lit(None).cast("string")})
+    others = others.repartition(*KEYS) if spread else others
+    return others.unionByName(beside.select(others.columns))
 
 
 def _worded(rows: DataFrame, metrics: tuple[str, ...], synonyms: DataFrame | None) -> DataFrame:
@@ -124,7 +132,6 @@ def score_checks(checks: DataFrame, types: DataFrame, schemas: list[str] | None
     added = F.coalesce(F.col("engine").isin(*_ADDED), F.lit(False)) & ~F.col("_early") if _ADDED else F.lit(False)
     here = with_plain_texts(_with_sides(rows.filter(~added), sides, bool(metrics)))
     here = _worded(here, metrics, sides.synonyms) if metrics else here.withColumns({"_word": F.lit(None).cast("double"), "_unknown": F.lit(False)})
-    here = _vectored(here, sides)
     here = parse_judge_replies(here, "_body").withColumnsRenamed({"passed": "_said", "detail": "_unsaid"}).drop("rationale", "input_tokens", "output_tokens", "errored")
     here = here.withColumn("_score4", F.round(F.coalesce("_word", "_near"), 4))
     t_error, t_passed, t_miss = threshold_columns(F.col("_score4"))
