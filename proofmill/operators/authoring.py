@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.jsonpath import path_is_readable
 from ..functions.text import fold_case, name_from_prompt, number_of, recorded_answer
 from ..schemas import ASSIGNMENT
+from ..session import kept
 from .keyed import number_within, numbered, slice_of
 
 SLICE = 1 << 16
@@ -197,7 +198,8 @@ def validate_values(values: DataFrame) -> DataFrame:
                 found.append(problem)
             yield part.assign(problem=found)
 
-    distinct = values.select("kind", "value").distinct()
+    # as a table: either half below would find the distinct values again
+    distinct = kept(values.select("kind", "value").distinct(), "values")
     in_python = F.col("kind").isin("regex", "json_schema")
     native = distinct.filter(~in_python).withColumn("problem", F.when(
         (F.col("kind") == "json") & F.try_parse_json("value").isNull(), "not_json").when(

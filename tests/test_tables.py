@@ -151,3 +151,10 @@ def test_sides_are_joined_without_texts(spark):
     got = {r.run_id: r for r in dispatch._with_sides(rows, dispatch.Sides(replies=replies), False).collect()}
     assert [got[i].answer for i in range(5)] == ["x", "", None, "kept", "kept too"]
     assert [got[i]._body for i in range(5)] == ["said", None, None, None, None] and got[0].reference == "x" and got[1]._near == 0.0
+
+
+def test_values_are_made_distinct_once(spark):
+    from proofmill.operators import authoring
+    values = spark.createDataFrame([("json", "{"), ("regex", "("), ("json", "{")], "kind string, value string")
+    found = authoring.validate_values(values)
+    assert "Exchange" not in found._jdf.queryExecution().toString() and found.count() == 2

@@ -287,7 +287,8 @@ def assignment_problems(spark, sf):
 
 @query("value_problems")
 def value_problems(spark, sf):
-    d = world.table(spark, sf, "documents").select(F.explode(F.split("text", "\\s+")).alias("value"))
+    # each word once before it stands under every kind
+    d = world.table(spark, sf, "documents").select(F.explode(F.split("text", "\\s+")).alias("value")).distinct()
     kinds = F.explode(F.array(*[F.lit(k) for k in ("regex", "json", "jsonpath", "json_schema")])).alias("kind")
     return A.validate_values(d.select("value", kinds))
 
